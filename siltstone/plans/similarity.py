@@ -1,0 +1,4 @@
+"""Queries on vectors."""
+
+QUERIES = {}
+ORACLE = {}
