@@ -19,16 +19,16 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.words import WordCodes, mix, shingles, word_code, words
+from siltstone.llm.words import WordCodes, mix, run_codes, word_code, words
 from siltstone.runtime import materialize, spread
 
 #: Words of items that one index holds; more items go through in blocks of about so many words.
 BLOCK_WORDS = 2_000_000
 #: Steps that a sample takes, and windows embedded at once.
-SAMPLED, SAMPLED_WITH_EDITS = 10, 8
+SAMPLED, SAMPLED_WITH_EDITS = 10, 12
 AT_ONCE = 16_384
 #: Samples of one walk, and the most walks.
-SAMPLES_A_WALK, MOST_WALKS = 3, 24
+SAMPLES_A_WALK, MOST_WALKS = 6, 40
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -196,12 +196,13 @@ def items_with_shared_runs(items: DataFrame, item: str, text: str, run: int) ->
     def runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         codes = WordCodes()
         for batch in batches:
-            out = []
+            names, places, found = [], [np.empty(0, dtype=np.int32)], [np.empty(0, dtype=np.uint64)]
             for name, t in zip(batch["item"], batch["text"], strict=True):
-                line = np.array([codes[w] for w in words(t)], dtype=np.uint64)
-                for p in range(len(line) - run + 1):
-                    out.append((name, p, int(shingles(line[p : p + run], run)[0].astype(np.int64))))
-            yield pd.DataFrame(out, columns=["item", "place", "code"]).astype({"place": "int32", "code": "int64"})
+                at = run_codes(np.array([codes[w] for w in words(t)], dtype=np.uint64), run)
+                names += [name] * len(at)
+                places.append(np.arange(len(at), dtype=np.int32))
+                found.append(at)
+            yield pd.DataFrame({"item": pd.Series(names, dtype=object), "place": np.concatenate(places), "code": np.concatenate(found).astype(np.int64)})
 
     placed = source.mapInPandas(runs, "item string, place int, code long")
     several = placed.groupBy("code").agg(F.min("item").alias("least"), F.max("item").alias("most")).where("least <> most").select("code")

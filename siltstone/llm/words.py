@@ -38,12 +38,17 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def shingles(codes: np.ndarray, size: int) -> np.ndarray:
-    """The sorted set of 64-bit codes of all runs of size consecutive words; empty if there are fewer words."""
+def run_codes(codes: np.ndarray, size: int) -> np.ndarray:
+    """The 64-bit code of the run of size consecutive words at each place; empty if there are fewer words."""
     n = len(codes) - size + 1
     if n <= 0:
         return np.empty(0, dtype=np.uint64)
     acc = np.zeros(n, dtype=np.uint64)
     for k in range(size):
         acc = mix(acc * np.uint64(0x9E3779B97F4A7C15) + codes[k : k + n])
-    return np.unique(acc)
+    return acc
+
+
+def shingles(codes: np.ndarray, size: int) -> np.ndarray:
+    """The sorted set of the codes of all runs of size consecutive words."""
+    return np.unique(run_codes(codes, size))
