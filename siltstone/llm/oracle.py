@@ -26,6 +26,11 @@ def _run(n: int, at: str = "i") -> str:
 ORACLE = {
     "p1_found": _BEST + "SELECT dataset, test_id, corpus_id FROM ranked WHERE rank <= 10",
     "p1_ranked": _BEST + "SELECT dataset, test_id, corpus_id, score, CAST(rank AS INTEGER) AS rank FROM ranked WHERE rank <= 10",
+    "p2_found": r"""
+SELECT record_id
+FROM raw_record r JOIN chunking_config c ON c.dataset_short_name = r.dataset_short_name
+  AND c.mode = CASE WHEN coalesce(trim(r.mode), '') = '' THEN 'paragraph' ELSE lower(trim(r.mode)) END
+WHERE len(regexp_extract_all(text, '[^ \t\r\n]+')) > max_tokens""",
     "p5_found": f"""
 WITH {_TEXTS},
 runs AS (SELECT DISTINCT corpus_id, unnest([{_run(3)} FOR i IN range(1, len(ws) - 1)]) AS g FROM texts WHERE len(ws) >= 3),

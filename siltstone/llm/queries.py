@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import bpe, leak, lookalike, neardup, topn
+from siltstone.llm import bpe, consensus, leak, lookalike, neardup, split, topn
 from siltstone.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +23,39 @@ def p1_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topn.top_n_per_group(rows, ["dataset", "test_id"], "corpus_id", "score", 10)
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p2_pieces(spark, sf_dir).where("pieces > 1 and piece = 0").select("record_id")
+
+
+def p2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = table(spark, sf_dir, "raw_record", "record_id", "text", "dataset_short_name", "mode")
+    return split.split_oversized(records, table(spark, sf_dir, "chunking_config"), "record_id", "text", "dataset_short_name", "mode")
+
+
+def verdict_consensus(spark: SparkSession, sf_dir: str) -> consensus.Consensus:
+    annotation = table(spark, sf_dir, "annotation", "annotation_id", "pair_id", "is_sd", "checker_is_sd")
+    rater_label = table(spark, sf_dir, "rater_label", "label_id", "pair_id", "rater_id", "is_sd", "match_type", "error", "labelled_at")
+    return consensus.consensus(consensus.pair_verdicts(annotation, rater_label), "pair_id", "annotator", "label")
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rated = table(spark, sf_dir, "rater_label", "pair_id").distinct()
+    decided = verdict_consensus(spark, sf_dir).items.where("n >= 3 and label = 'duplicate'").withColumnRenamed("item", "pair_id")
+    return decided.join(rated, "pair_id", "left_semi").select("pair_id")
+
+
+def p3_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return verdict_consensus(spark, sf_dir).items.select(F.col("item").alias("pair_id"), "label", "n", F.round("agreement", 6).alias("agreement"), F.round("posterior", 6).alias("posterior"))
+
+
+def p3_annotators(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return verdict_consensus(spark, sf_dir).annotators.select("annotator", "n", F.round("accuracy", 4).alias("accuracy"))
+
+
+def p3_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return verdict_consensus(spark, sf_dir).agreement
+
+
 def near_duplicates(spark: SparkSession, sf_dir: str) -> neardup.NearDuplicates:
     config = table(spark, sf_dir, "dedup_config").orderBy("config_name").first()
     texts = table(spark, sf_dir, "annotation", "corpus_id", "corpus_text")
@@ -62,5 +95,5 @@ def p9_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    own = [p1_found, p1_ranked, p5_found, p5_groups, p6_found, p6_leaks, p7_ids, p9_found, p9_forms]
+    own = [p1_found, p1_ranked, p2_found, p2_pieces, p3_found, p3_consensus, p3_annotators, p3_agreement, p5_found, p5_groups, p6_found, p6_leaks, p7_ids, p9_found, p9_forms]
     return {f.__name__: f for f in own}
