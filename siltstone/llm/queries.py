@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import bpe, consensus, leak, lookalike, neardup, split, topn
+from siltstone.llm import bpe, consensus, leak, lookalike, mixing, neardup, pairs, split, topn
 from siltstone.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -56,6 +56,10 @@ def p3_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verdict_consensus(spark, sf_dir).agreement
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairs.defective_pairs(table(spark, sf_dir, "code_answer", "answer_id", "prompt", "claude_code"), "answer_id", "prompt", "claude_code")
+
+
 def near_duplicates(spark: SparkSession, sf_dir: str) -> neardup.NearDuplicates:
     config = table(spark, sf_dir, "dedup_config").orderBy("config_name").first()
     texts = table(spark, sf_dir, "annotation", "corpus_id", "corpus_text")
@@ -86,6 +90,19 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_corpus(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def mixed(spark: SparkSession, sf_dir: str) -> mixing.Mixture:
+    documents = table(spark, sf_dir, "documents", "doc_id", "source", "text")
+    return mixing.mixture(documents, table(spark, sf_dir, "mixture_target"), "doc_id", "source", bpe.token_count(F.col("text")))
+
+
+def p8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixed(spark, sf_dir).copies()
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixed(spark, sf_dir).shares()
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalike.same_looking_pairs(table(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -95,5 +112,5 @@ def p9_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    own = [p1_found, p1_ranked, p2_found, p2_pieces, p3_found, p3_consensus, p3_annotators, p3_agreement, p5_found, p5_groups, p6_found, p6_leaks, p7_ids, p9_found, p9_forms]
+    own = [p1_found, p1_ranked, p2_found, p2_pieces, p3_found, p3_consensus, p3_annotators, p3_agreement, p4_found, p5_found, p5_groups, p6_found, p6_leaks, p7_ids, p8_mixture, p8_shares, p9_found, p9_forms]
     return {f.__name__: f for f in own}
