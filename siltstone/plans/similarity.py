@@ -1,4 +1,181 @@
-"""Queries on vectors."""
+"""Queries on vectors: test vectors are every tenth one, the others are the corpus."""
 
-QUERIES = {}
-ORACLE = {}
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from siltstone.operators import distribution as dist
+from siltstone.operators import vectors as vec
+from siltstone.runtime import table
+
+K = 10
+
+
+def sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    rows = table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label")
+    tests = rows.where("vec_id % 10 = 0").select(F.col("vec_id").alias("test_id"), "embedding", F.col("label").alias("test_label"))
+    corpus = rows.where("vec_id % 10 <> 0").select(F.col("vec_id").alias("corpus_id"), "embedding", F.col("label").alias("corpus_label"))
+    return tests, corpus
+
+
+def all_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vec.scored(*sides(spark, sf_dir)).withColumn("score", F.round("score", 6))
+
+
+def rounded(df: DataFrame, *keep: str, places: int = 6) -> DataFrame:
+    return df.select(*(F.round(c, places).alias(c) if t == "double" and c not in keep else F.col(c) for c, t in df.dtypes))
+
+
+def topk_cosine(spark, sf_dir):
+    return vec.top_matches(*sides(spark, sf_dir), k=K)
+
+
+def topk_nonnegative(spark, sf_dir):
+    return vec.top_matches(*sides(spark, sf_dir), k=K, least=0.0)
+
+
+def global_top_matches(spark, sf_dir):
+    best = vec.top_matches(*sides(spark, sf_dir), k=K)
+    return best.orderBy(F.col("score").desc(), "test_id", "corpus_id").limit(100).select("test_id", "corpus_id", "score")
+
+
+def matches_with_metadata(spark, sf_dir):
+    tests, corpus = sides(spark, sf_dir)
+    best = vec.top_matches(tests, corpus, k=K)
+    return best.join(tests.select("test_id", "test_label"), "test_id").join(corpus.select("corpus_id", "corpus_label"), "corpus_id", "left")
+
+
+def per_test_score_stats(spark, sf_dir):
+    return rounded(dist.score_stats(all_scores(spark, sf_dir), "test_id"))
+
+
+def aggregate_score_stats(spark, sf_dir):
+    per_test = dist.score_stats(all_scores(spark, sf_dir), "test_id")
+    return rounded(per_test.agg(F.avg("max_score").alias("mean_max"), F.max("max_score").alias("max_max"), F.min("max_score").alias("min_max"), F.avg("mean_score").alias("mean_mean"), F.stddev_pop("max_score").alias("std_max"), F.sum("n").alias("comparisons"), F.count(F.lit(1)).alias("tests")))
+
+
+def topk_cut_scores(spark, sf_dir):
+    best = vec.top_matches(*sides(spark, sf_dir), k=100)
+    return dist.cut_scores(best, "test_id")
+
+
+def max_similarity_per_item(spark, sf_dir):
+    return all_scores(spark, sf_dir).groupBy("test_id").agg(F.greatest(F.lit(0.0), F.max("score")).alias("max_score"))
+
+
+def similarity_threshold_rates(spark, sf_dir):
+    return rounded(dist.level_rates(all_scores(spark, sf_dir), "test_id", levels=(0.1, 0.2, 0.3, 0.7)))
+
+
+def similarity_percentiles(spark, sf_dir):
+    return rounded(dist.percentiles(all_scores(spark, sf_dir), "test_id"))
+
+
+def similarity_histogram(spark, sf_dir):
+    return dist.histogram(all_scores(spark, sf_dir), "score", -1.0, 1.0, 200, weight=2.0)
+
+
+def histogram_percentile_threshold(spark, sf_dir):
+    return rounded(dist.histogram_threshold(all_scores(spark, sf_dir), "test_id", "score", 99.0))
+
+
+def similarity_cdf(spark, sf_dir):
+    tests, corpus = sides(spark, sf_dir)
+    found = vec.scored(tests, corpus).withColumn("score", F.round("score", 2)).join(tests.select("test_id", F.col("test_label").alias("label")), "test_id")
+    return rounded(dist.empirical_cdf(found, "score", "label"))
+
+
+def top_percentile_sample(spark, sf_dir):
+    return dist.sample_above(all_scores(spark, sf_dir), "test_id", "corpus_id", "score", 3, percent=95.0, seed=7).select("test_id", "corpus_id", "score")
+
+
+def top_and_random_check(spark, sf_dir):
+    """Five best and five random others of each test."""
+    found = all_scores(spark, sf_dir)
+    from pyspark.sql import Window
+
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("test_id").orderBy(F.col("score").desc(), "corpus_id")))
+    best = ranked.where("rank <= 5").select("test_id", "corpus_id", F.lit("best").alias("part"))
+    order = Window.partitionBy("test_id").orderBy(dist.seeded_order(3, "test_id", "corpus_id"), "corpus_id")
+    other = ranked.where("rank > 5").withColumn("pick", F.row_number().over(order)).where("pick <= 5").select("test_id", "corpus_id", F.lit("random").alias("part"))
+    return best.unionByName(other)
+
+
+def semantic_dedup(spark, sf_dir):
+    tests, corpus = sides(spark, sf_dir)
+    return vec.drop_similar(corpus, tests, 0.3).select("corpus_id")
+
+
+def percentile_rank_vs_background(spark, sf_dir):
+    tests, corpus = sides(spark, sf_dir)
+    labels = tests.select("test_id", F.col("test_label").alias("label"))
+    found = all_scores(spark, sf_dir).join(labels, "test_id")
+    best = found.groupBy("label", "test_id").agg(F.max("score").alias("best"))
+    background = found.select("label", "score")
+    return rounded(dist.percentile_of(best, background, "best", "score", "label"), "best")
+
+
+def vector_norms(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings", "vec_id", "embedding")
+    unit = rows.select("vec_id", F.round(vec.norm("embedding"), 6).alias("length"), vec.l2_normalized("embedding").alias("unit"))
+    return unit.select("vec_id", "length", F.round(F.aggregate("unit", F.lit(0.0), lambda a, x: a + x * x), 6).alias("unit_length"), F.size("unit").alias("dims"))
+
+
+def verify_stored_scores(spark, sf_dir):
+    """Stored against recomputed scores of the best matches, with the tolerance of 0.01."""
+    tests, corpus = sides(spark, sf_dir)
+    best = vec.top_matches(tests, corpus, k=3).withColumn("stored", F.round("score", 2))
+    joined = best.join(tests.select("test_id", F.col("embedding").alias("a")), "test_id").join(corpus.select("corpus_id", F.col("embedding").alias("b")), "corpus_id")
+    off = joined.select("test_id", F.abs(F.round(vec.cosine("a", "b"), 6) - F.col("stored")).alias("off"))
+    return rounded(off.groupBy("test_id").agg(F.max("off").alias("max_off"), F.avg("off").alias("mean_off"), F.count_if(F.col("off") <= 0.01).alias("within")))
+
+
+def result_json(spark, sf_dir):
+    """One JSON document a test: its matches in order and its statistics."""
+    found = all_scores(spark, sf_dir)
+    best = vec.top_matches(*sides(spark, sf_dir), k=3)
+    listed = best.groupBy("test_id").agg(F.sort_array(F.collect_list(F.struct("rank", "score", "corpus_id"))).alias("top"))
+    joined = listed.join(rounded(dist.score_stats(found, "test_id")), "test_id")
+    doc = F.to_json(F.struct("test_id", "top", F.struct("max_score", "n").alias("stats")))
+    return joined.select("test_id", F.get_json_object(doc, "$.top[0].corpus_id").cast("bigint").alias("first_corpus_id"), F.get_json_object(doc, "$.top[2].rank").cast("int").alias("third_rank"), F.get_json_object(doc, "$.stats.n").cast("bigint").alias("n"))
+
+
+_SCORED = """
+WITH t AS (SELECT vec_id AS test_id, embedding::DOUBLE[] AS a, label AS test_label FROM embeddings WHERE vec_id % 10 = 0),
+c AS (SELECT vec_id AS corpus_id, embedding::DOUBLE[] AS b, label AS corpus_label FROM embeddings WHERE vec_id % 10 <> 0),
+scored AS (SELECT test_id, corpus_id, test_label, corpus_label, round(list_cosine_similarity(a, b), 6) AS score FROM t, c),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY test_id ORDER BY score DESC, corpus_id) AS rank FROM scored)
+"""
+_MD5 = "md5(concat_ws(':', '{0}', test_id::VARCHAR, corpus_id::VARCHAR))"
+_STATS = "max(score) AS max_score, min(score) AS min_score, round(avg(score), 6) AS mean_score, round(stddev_pop(score), 6) AS std_score, round(quantile_cont(score, 0.5), 6) AS median_score, count(score) AS n"
+
+ORACLE = {
+    "topk_cosine": _SCORED + "SELECT test_id, CAST(rank AS INTEGER) AS rank, corpus_id, score FROM ranked WHERE rank <= 10",
+    "topk_nonnegative": _SCORED + "SELECT test_id, CAST(rank AS INTEGER) AS rank, corpus_id, score FROM ranked WHERE rank <= 10 AND score >= 0",
+    "global_top_matches": _SCORED + "SELECT test_id, corpus_id, score FROM ranked WHERE rank <= 10 ORDER BY score DESC, test_id, corpus_id LIMIT 100",
+    "matches_with_metadata": _SCORED + "SELECT test_id, CAST(rank AS INTEGER) AS rank, corpus_id, score, test_label, corpus_label FROM ranked WHERE rank <= 10",
+    "per_test_score_stats": _SCORED + f"SELECT test_id, {_STATS} FROM scored GROUP BY test_id",
+    "aggregate_score_stats": _SCORED + ", s AS (SELECT test_id, max(score) AS mx, avg(score) AS av, count(*) AS n FROM scored GROUP BY test_id) SELECT round(avg(mx), 6) AS mean_max, max(mx) AS max_max, min(mx) AS min_max, round(avg(av), 6) AS mean_mean, round(stddev_pop(mx), 6) AS std_max, CAST(sum(n) AS BIGINT) AS comparisons, count(*) AS tests FROM s",
+    "topk_cut_scores": _SCORED + "SELECT test_id, " + ", ".join(f"max(CASE WHEN rank = {k} THEN score END) AS top_{k}" for k in (1, 10, 50, 100)) + " FROM ranked GROUP BY test_id",
+    "max_similarity_per_item": _SCORED + "SELECT test_id, greatest(0.0, max(score)) AS max_score FROM scored GROUP BY test_id",
+    "similarity_threshold_rates": _SCORED + "SELECT test_id, " + ", ".join(f"count_if(score >= {v}) AS n_{round(v * 100)}, round(count_if(score >= {v}) * 100 / count(*)::DOUBLE, 6) AS pct_{round(v * 100)}" for v in (0.1, 0.2, 0.3, 0.7)) + " FROM scored GROUP BY test_id",
+    "similarity_percentiles": _SCORED + "SELECT test_id, " + ", ".join(f"round(quantile_cont(score, {p}), 6) AS {n}" for p, n in ((0.5, "p50"), (0.75, "p75"), (0.9, "p90"), (0.95, "p95"), (0.99, "p99"), (0.999, "p99_9"))) + " FROM scored GROUP BY test_id",
+    "similarity_histogram": _SCORED + "SELECT CAST(least(greatest(floor((score - -1.0) / 0.01), 0), 199) AS INTEGER) AS bin, count(*) AS n, count(*) * 2.0::DOUBLE AS weighted FROM scored GROUP BY 1",
+    "histogram_percentile_threshold": _SCORED + """,
+b AS (SELECT test_id, least(greatest(floor((score - -1.0) / 0.0002), 0), 9999) AS bin, count(*) AS n FROM scored WHERE score BETWEEN -1 AND 1 GROUP BY ALL),
+s AS (SELECT *, sum(n) OVER (PARTITION BY test_id ORDER BY bin DESC) AS above FROM b),
+tot AS (SELECT test_id, count(*) AS total FROM scored GROUP BY test_id)
+SELECT test_id, total, CAST(floor(total * (1 - 99.0::DOUBLE / 100)) AS BIGINT) AS wanted, round(-1.0 + (max(bin) + 0.5) * 0.0002, 6) AS threshold
+FROM s JOIN tot USING (test_id) WHERE above >= CAST(floor(total * (1 - 99.0::DOUBLE / 100)) AS BIGINT) GROUP BY ALL""",
+    "similarity_cdf": _SCORED + ", r AS (SELECT test_label AS label, round(list_cosine_similarity(a, b), 2) AS score FROM t, c) SELECT DISTINCT label, score, round(cume_dist() OVER (PARTITION BY label ORDER BY score), 6) AS cdf FROM r",
+    "top_percentile_sample": _SCORED + f", q AS (SELECT test_id, quantile_cont(score, 0.95) AS cut FROM scored GROUP BY 1), k AS (SELECT scored.*, row_number() OVER (PARTITION BY test_id ORDER BY {_MD5.format(7)}, corpus_id) AS pick FROM scored JOIN q USING (test_id) WHERE score >= cut) SELECT test_id, corpus_id, score FROM k WHERE pick <= 3",
+    "top_and_random_check": _SCORED + f", o AS (SELECT *, row_number() OVER (PARTITION BY test_id ORDER BY {_MD5.format(3)}, corpus_id) AS pick FROM ranked WHERE rank > 5) SELECT test_id, corpus_id, 'best' AS part FROM ranked WHERE rank <= 5 UNION ALL SELECT test_id, corpus_id, 'random' FROM o WHERE pick <= 5",
+    "semantic_dedup": _SCORED + "SELECT corpus_id FROM (SELECT corpus_id, max(list_cosine_similarity(a, b)) AS m FROM t, c GROUP BY 1) WHERE m < 0.3",
+    "percentile_rank_vs_background": _SCORED + ", b AS (SELECT test_label AS label, test_id, max(score) AS best FROM scored GROUP BY ALL) SELECT b.label, b.test_id, b.best, round(100.0::DOUBLE * count_if(s.score < b.best) / count(*), 6) AS pct FROM b JOIN scored s ON s.test_label = b.label GROUP BY ALL",
+    "vector_norms": "SELECT vec_id, round(sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS length, 1.0::DOUBLE AS unit_length, CAST(len(embedding) AS INTEGER) AS dims FROM embeddings",
+    "verify_stored_scores": _SCORED + "SELECT test_id, round(max(abs(score - round(score, 2))), 6) AS max_off, round(avg(abs(score - round(score, 2))), 6) AS mean_off, count_if(abs(score - round(score, 2)) <= 0.01) AS within FROM ranked WHERE rank <= 3 GROUP BY test_id",
+    "result_json": _SCORED + "SELECT test_id, max(CASE WHEN rank = 1 THEN corpus_id END) AS first_corpus_id, CAST(3 AS INTEGER) AS third_rank, count(*) AS n FROM ranked GROUP BY test_id",
+}
+
+QUERIES = {name: globals()[name] for name in ORACLE}
