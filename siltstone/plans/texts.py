@@ -224,7 +224,14 @@ _SOURCE = "coalesce(replace(lower(trim(source)), '-', '_'), 'unknown')"
 _CHAT = r"""WITH chats AS (SELECT record_id, mode, regexp_extract(text, '(?s)^Prompt: (.*?)\r?\n\r?\nResponse: (.*)$', 1) AS q, regexp_extract(text, '(?s)^Prompt: (.*?)\r?\n\r?\nResponse: (.*)$', 2) AS a FROM raw_record WHERE text LIKE 'Prompt: %') """
 _FENCE = r"(CASE WHEN regexp_matches(claude_code, '(?s)```(?:\w+)?\n?(.*?)\n?```') THEN regexp_extract(claude_code, '(?s)```(?:\w+)?\n?(.*?)\n?```', 1) ELSE claude_code END)"
 
+_TOKENS = f"len(regexp_extract_all(text, '{text.TOKEN}'))"
+_PLAIN = f"trim(regexp_replace(text, '{text.URL}', '', 'g'))"
+_PLAIN_WORDS = rf"len(list_filter(regexp_split_to_array({_PLAIN}, '[{_SP}]+'), lambda w: w <> ''))"
+
 ORACLE = {
+    "length_bounded_docs": f"SELECT doc_id, CAST({_TOKENS} AS INTEGER) AS tokens FROM documents WHERE {_TOKENS} BETWEEN 50 AND 512",
+    "token_totals": f"SELECT {_SOURCE} AS category, CAST(sum({_TOKENS}) AS BIGINT) AS tokens, count(*) AS docs FROM documents WHERE text IS NOT NULL GROUP BY 1",
+    "refine_reason": rf"SELECT doc_id, CASE WHEN coalesce(trim(regexp_replace(text, '[{_SP}]+', ' ', 'g')), '') = '' THEN 'no_text' WHEN regexp_matches(text, '{text.WEB_MARKERS}') THEN 'url' WHEN len(regexp_extract_all({_PLAIN}, '[A-Za-z]')) < 20 THEN 'no_text' WHEN {_PLAIN_WORDS} < 6 THEN 'too_short' WHEN {_FRAC.replace('{0}', _PLAIN)} < 0.05 AND regexp_matches({_PLAIN}, '{text.CODE_MARKERS}') THEN 'pure_code' ELSE '' END AS reason FROM documents",
     "approximate_tokens": rf"SELECT doc_id, round(len(list_filter(regexp_split_to_array(text, '[{_SP}]+'), lambda w: w <> '')) * 1.3::DOUBLE, 6) AS tokens FROM documents WHERE text IS NOT NULL",
     "content_hash_ids": "SELECT sha256(text) AS id, count(*) AS n, min(doc_id) AS first_doc_id FROM documents WHERE text IS NOT NULL GROUP BY 1",
     "alpha_ratio": rf"SELECT doc_id, round(coalesce(length(regexp_replace(text, '[^\p{{L}}]', '', 'g')) / nullif(length(regexp_replace(text, '[{_SP}]', '', 'g')), 0)::DOUBLE, 0.0), 6) AS alpha FROM documents WHERE text IS NOT NULL",
@@ -252,5 +259,5 @@ ORACLE = {
     "quality_stats": "SELECT content_type, CAST(min(length(text)) AS INTEGER) AS least, CAST(max(length(text)) AS INTEGER) AS most, count_if(text = '') AS empty, count_if(text IS NULL) AS missing FROM documents GROUP BY 1",
 }
 #: Without SQL: Python's Unicode and compression routines, and the chunker. Tested on literal texts.
-UNCHECKED = ["sanitized", "latex_plain", "compression_ratio", "garbage_split", "chunk_documents", "prepared_chunks", "length_bounded_docs", "token_totals", "refine_reason"]
+UNCHECKED = ["sanitized", "latex_plain", "compression_ratio", "garbage_split", "chunk_documents", "prepared_chunks"]
 QUERIES = {name: globals()[name] for name in [*ORACLE, *UNCHECKED]}
