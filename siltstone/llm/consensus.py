@@ -19,7 +19,7 @@ from siltstone.runtime import materialize
 MOST_LABELS = 64
 #: Smoothing: so many verdicts' worth of an accuracy of START; accuracies stay within the bounds.
 PRIOR, START, LOWEST, HIGHEST = 4.0, 0.7, 0.02, 0.98
-ROUNDS, SETTLED = 40, 1e-4
+ROUNDS, SETTLED = 40, 1e-3
 
 
 @dataclass
