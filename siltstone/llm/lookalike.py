@@ -126,7 +126,8 @@ def member_counts(df: DataFrame, text: str, members: list[str]) -> dict[str, int
                     seen = Counter(t)
                     total.update({m: seen[m] for m in letters if m in seen})
                     total.update({m: t.count(m) for m in strings})
-        yield pd.DataFrame({"member": list(total), "n": [int(v) for v in total.values()]})
+        if total:
+            yield pd.DataFrame({"member": list(total), "n": [int(v) for v in total.values()]})
 
     counted = df.select(F.col(f"`{text}`").alias("text")).mapInPandas(count, "member string, n long")
     return {r["member"]: r["n"] for r in counted.groupBy("member").agg(F.sum("n").alias("n")).collect()}
@@ -179,7 +180,8 @@ def same_looking_pairs(df: DataFrame, key: str = "doc_id", text: str = "text", p
                     keys.append(k)
                     forms.append(digest(form))
                     strings.append(digest(t))
-            yield pd.DataFrame({"key": pd.Series(keys, dtype=batch["key"].dtype), "form": forms, "string": strings})
+            if keys:
+                yield pd.DataFrame({"key": pd.Series(keys, dtype=batch["key"].dtype), "form": forms, "string": strings})
 
     key_type = source.schema["key"].dataType.simpleString()
     rows = materialize(source.mapInPandas(digests, f"key {key_type}, form binary, string binary"))

@@ -87,7 +87,8 @@ def features(df: DataFrame, key: str, text: str, ngram: int, num_perm: int, seed
                     kinds.append(kind.tobytes())
                     sizes.append(len(runs))
                     sigs.append(signature(runs, odd, add).tobytes())
-            yield pd.DataFrame({"key": pd.Series(keys, dtype=object), "kind": kinds, "n": pd.Series(sizes, dtype="int64"), "sig": sigs})
+            if keys:
+                yield pd.DataFrame({"key": pd.Series(keys, dtype=object), "kind": kinds, "n": pd.Series(sizes, dtype="int64"), "sig": sigs})
 
     return spread(source).mapInPandas(compute, f"key {source.schema['key'].dataType.simpleString()}, kind binary, n long, sig binary")
 
@@ -151,7 +152,8 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float, ngram: int) -
                 union = len(x) + len(y) - common
                 if union and common / union >= threshold:
                     found.append((a, b, common / union))
-            yield pd.DataFrame(found, columns=["a", "b", "similarity"])
+            if found:
+                yield pd.DataFrame(found, columns=["a", "b", "similarity"])
 
     kind = pairs.schema["a"].dataType.simpleString()
     with_left = pairs.join(texts.select(F.col("rid").alias("a"), F.col("text").alias("ta")), "a")

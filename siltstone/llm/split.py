@@ -131,7 +131,8 @@ def split_oversized(df: DataFrame, config: DataFrame, key: str, text: str, datas
             for k, t, most, least, overlap in zip(batch["key"], batch["text"], batch["most"], batch["least"], batch["overlap"], strict=True):
                 got = pieces_of(t, int(most), int(least), int(overlap))
                 out += [(k, i, len(got), a, b, n, why, t[a:b]) for i, a, b, n, why in got]
-            yield pd.DataFrame(out, columns=columns)
+            if out:
+                yield pd.DataFrame(out, columns=columns)
 
     kind = rows.schema["key"].dataType.simpleString()
     schema = f"key {kind}, piece int, pieces int, start long, end long, n_tokens long, cut string, text string"
