@@ -14,6 +14,11 @@ def filled(c: Column) -> Column:
     return F.when(c != "", c)
 
 
+def stripped(c: Column) -> Column:
+    """Without outer white space of any kind."""
+    return F.regexp_replace(c, r"^\s+|\s+$", "")
+
+
 def prompt_response(prompt: Column, response: Column) -> Column:
     """Both as one text; null where either is missing or empty."""
     return F.concat(F.lit("Prompt: "), filled(prompt), F.lit("\n\nResponse: "), filled(response))
@@ -49,7 +54,7 @@ def solution_text(prompt: Column, solution: Column) -> Column:
 
 def joined_parts(*parts: Column) -> Column:
     """Parts that aren't blank, with an empty line between."""
-    return F.concat_ws("\n\n", *(F.when((F.trim(p) != "") & (F.lower(p) != "nan"), p) for p in parts))
+    return F.concat_ws("\n\n", *(F.when((stripped(p) != "") & (F.lower(p) != "nan"), p) for p in parts))
 
 
 def benchmark_text(mode: Column, given: Column, expected: Column) -> Column:
@@ -61,10 +66,10 @@ def input_output(df: DataFrame) -> tuple[Column, Column]:
     """(input, output) by the first pair of columns that df has; else the text, cut at its first empty line."""
     for a, b in (("input", "output"), ("instruction", "response"), ("prompt", "completion")):
         if a in df.columns and b in df.columns:
-            return F.trim(F.coalesce(F.col(a), F.lit(""))), F.trim(F.coalesce(F.col(b), F.lit("")))
+            return stripped(F.coalesce(F.col(a), F.lit(""))), stripped(F.coalesce(F.col(b), F.lit("")))
     text = F.coalesce(F.col("text"), F.lit(""))
     halves = F.split(text, "\n\n", 2)
-    return F.trim(halves[0]), F.trim(F.coalesce(F.get(halves, 1), F.lit("")))
+    return stripped(halves[0]), stripped(F.coalesce(F.get(halves, 1), F.lit("")))
 
 
 def messages_text(messages: Column, content: str = "content") -> Column:
@@ -96,7 +101,7 @@ def grid_size(test_id: Column) -> tuple[Column, Column]:
 def prompt_sections(prompt: Column) -> tuple[Column, Column]:
     """The test's and the corpus's section of a stored prompt; both empty where either is missing."""
     pattern = r"(?s)## Test (?:Task|Problem)[^\n]*:\s*\n(.*?)\n## Corpus (?:Task|Problem)[^\n]*:\s*\n(.*?)\n## "
-    return F.trim(F.regexp_extract(prompt, pattern, 1)), F.trim(F.regexp_extract(prompt, pattern, 2))
+    return stripped(F.regexp_extract(prompt, pattern, 1)), stripped(F.regexp_extract(prompt, pattern, 2))
 
 
 def lettered_choices(choices: Column) -> Column:

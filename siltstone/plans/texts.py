@@ -246,7 +246,7 @@ ORACLE = {
     "messages_to_text": _CHAT + "SELECT record_id, md5('user: ' || q || chr(10) || 'assistant: ' || a) AS hash FROM chats",
     "preference_pairs": _CHAT + ", b AS (SELECT record_id, 'chosen' AS dpo_label, q, a FROM chats WHERE lower(trim(mode)) = 'dpo' UNION ALL SELECT record_id, 'rejected', upper(q), upper(a) FROM chats WHERE lower(trim(mode)) = 'dpo') SELECT record_id, dpo_label, md5('Prompt: ' || q || chr(10) || chr(10) || 'Response: ' || a) AS hash FROM b WHERE q <> '' AND a <> ''",
     "solution_texts": "SELECT answer_id, md5('Prompt: ' || prompt || CASE WHEN coalesce(gold_code, '') <> '' THEN chr(10) || chr(10) || 'Response: ' || gold_code ELSE '' END) AS hash FROM code_answer WHERE coalesce(prompt, '') <> ''",
-    "input_output_split": "WITH h AS (SELECT record_id, CASE WHEN strpos(text, chr(10) || chr(10)) > 0 THEN substr(text, 1, strpos(text, chr(10) || chr(10)) - 1) ELSE text END AS a, CASE WHEN strpos(text, chr(10) || chr(10)) > 0 THEN substr(text, strpos(text, chr(10) || chr(10)) + 2) ELSE '' END AS b FROM raw_record WHERE text IS NOT NULL) SELECT record_id, CAST(length(trim(a)) AS INTEGER) AS n_input, md5(trim(b)) AS output_hash FROM h",
+    "input_output_split": r"WITH h AS (SELECT record_id, CASE WHEN strpos(text, chr(10) || chr(10)) > 0 THEN substr(text, 1, strpos(text, chr(10) || chr(10)) - 1) ELSE text END AS a, CASE WHEN strpos(text, chr(10) || chr(10)) > 0 THEN substr(text, strpos(text, chr(10) || chr(10)) + 2) ELSE '' END AS b FROM raw_record WHERE text IS NOT NULL) SELECT record_id, CAST(length(regexp_replace(a, '^[\s\v]+|[\s\v]+$', '', 'g')) AS INTEGER) AS n_input, md5(regexp_replace(b, '^[\s\v]+|[\s\v]+$', '', 'g')) AS output_hash FROM h",
     "benchmark_texts": "SELECT test_id, md5(CASE mode WHEN 'input' THEN text WHEN 'output' THEN 'answer' ELSE text || chr(10) || chr(10) || 'answer' END) AS hash, md5(concat_ws(chr(10) || chr(10), nullif(benchmark, ''), CASE WHEN trim(elo_bin) <> '' AND lower(elo_bin) <> 'nan' THEN elo_bin END)) AS joined FROM benchmark_item",
     "safe_keys": r"SELECT concat_ws('__', regexp_replace(dataset, '[^\w-]', '_', 'g'), regexp_replace(test_id, '[^\w-]', '_', 'g'), substr(corpus_id, 1, 8)) AS key, count(*) AS n FROM annotation GROUP BY 1",
     "grid_sizes": r"SELECT test_id, CAST(coalesce(nullif(regexp_extract(test_id, '(\d+)x(\d+)', 1), ''), '0') AS INTEGER) AS grid_rows, CAST(coalesce(nullif(regexp_extract(test_id, '(\d+)x(\d+)', 2), ''), '0') AS INTEGER) AS grid_cols FROM benchmark_item",

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 
 def write_json_lines(df: DataFrame, path: str, compression: str | None = None, mode: str = "error") -> None:
-    """UTF-8 JSON lines; compression may be gzip or zstd."""
+    """UTF-8 JSON lines; compression may be gzip, bzip2 or deflate."""
     writer = df.write.mode(mode).option("ignoreNullFields", "false")
     (writer.option("compression", compression) if compression else writer).json(path)
 
