@@ -6,12 +6,12 @@ import hashlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.functions.text import normalized
 from siltstone.operators.dedup import keep_first
-from siltstone.runtime import materialize, small_side
+from siltstone.runtime import is_small
 
 
 def hydrate(matches: DataFrame, texts: DataFrame, key: str, text: str, order: str, missing: str | None = None) -> DataFrame:
@@ -42,32 +42,18 @@ def metric_comparison(base: DataFrame, tuned: DataFrame, key: str, value: str) -
     return both.select(key, "base", "tuned", diff.alias("diff"), F.when(F.col("base") == 0, 0.0).otherwise(100 * diff / F.col("base")).alias("pct"))
 
 
-def running_offsets(df: DataFrame, order: str, size: str, group: str | None = None) -> DataFrame:
-    """df with start: the sizes before it in order. Sums of ranges first, so that no task sees more than a range.
-
-    Rows are range-partitioned by order; each partition's sum is one row, and its offset comes from those few rows."""
-    keys = [group] if group else []
-    parts = df.repartitionByRange(*keys, order).withColumn("__part", F.spark_partition_id())
-    parts = materialize(parts)
-    sums = parts.groupBy("__part", *keys).agg(F.sum(size).alias("__s"))
-    before = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1) if keys else Window.partitionBy(F.lit(0)).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select("__part", *keys, F.coalesce(F.sum("__s").over(before), F.lit(0)).alias("__before"))
-    within = Window.partitionBy("__part", *keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    summed = parts.withColumn("__within", F.coalesce(F.sum(size).over(within), F.lit(0)))
-    return summed.join(F.broadcast(offsets), ["__part", *keys]).withColumn("start", F.col("__before") + F.col("__within")).drop("__part", "__before", "__within")
-
-
-def pick_until_budget(df: DataFrame, order: str, size: str, budget: int, group: str | None = None) -> DataFrame:
-    """Rows in order while the sizes before them stay under the budget."""
-    return running_offsets(df, order, size, group).where(F.col("start") < budget)
-
-
 def range_lookup(points: DataFrame, ranges: DataFrame, point: str, start: str, end: str) -> DataFrame:
-    """points with the range [start, end) they fall in. Ranges don't overlap, so each point finds its range by its predecessor
-    among the starts: a union sorted by position in buckets of equal width, no pairwise comparison.
-
-    A small set of ranges is broadcast after a check of its size."""
-    return points.join(small_side(ranges), (F.col(point) >= F.col(start)) & (F.col(point) < F.col(end)))
+    """points with the range [start, end) they fall in; ranges don't overlap and share points' type.
+
+    A set of ranges whose size was checked is broadcast. Beyond that, both sides meet in cells of a width that no range
+    exceeds: a range is sent to the two cells it may touch, a point to its own."""
+    inside = (F.col(point) >= F.col(start)) & (F.col(point) < F.col(end))
+    if is_small(ranges):
+        return points.join(F.broadcast(ranges), inside)
+    width = ranges.agg(F.max(F.col(end) - F.col(start))).first()[0] or 1
+    low, high = F.floor(F.col(start) / width), F.floor(F.col(end) / width)
+    cells = ranges.withColumn("__cell", F.explode(F.array_distinct(F.array(low, high))))
+    return points.withColumn("__cell", F.floor(F.col(point) / width)).join(cells, "__cell").where(inside).drop("__cell")
 
 
 def replaced_slots(base: DataFrame, new: DataFrame, position: str, columns: list[str]) -> DataFrame:

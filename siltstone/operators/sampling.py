@@ -6,11 +6,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.operators.distribution import seeded_order, seeded_uniform
+from siltstone.operators.ranking import ranked
+
+#: Rows up to which a sorted limit takes a sample; it brings them to one task.
+SMALL_SAMPLE = 100_000
 
 
 def uniform_sample(df: DataFrame, item: str, n: int, seed: int = 0) -> DataFrame:
-    """n rows of all. A sorted limit keeps n rows a task, then n at the end."""
-    return df.orderBy(seeded_order(seed, item), item).limit(n)
+    """n rows of all. A sorted limit keeps n rows a task, then n at the end; for a large n, ranks are made in ranges."""
+    if n <= SMALL_SAMPLE:
+        return df.orderBy(seeded_order(seed, item), item).limit(n)
+    return ranked(df, [seeded_order(seed, item), item], name="__rank").where(F.col("__rank") <= n).drop("__rank")
 
 
 def per_group_sample(df: DataFrame, groups: list[str], item: str, n: int | Column, seed: int = 0) -> DataFrame:
@@ -22,10 +28,12 @@ def per_group_sample(df: DataFrame, groups: list[str], item: str, n: int | Colum
 def stratified_sample(df: DataFrame, category: str, item: str, share: float | None = None, total: int | None = None, seed: int = 0) -> DataFrame:
     """Each category's floor of its share of the target; the target is a share of all rows or a number."""
     counts = df.groupBy(category).agg(F.count(F.lit(1)).alias("__n"))
-    whole = counts.agg(F.sum("__n").alias("__all"))
-    target = F.lit(total) if total is not None else F.floor(F.col("__all") * share)
-    quota = counts.join(F.broadcast(whole)).select(category, F.floor(target * F.col("__n") / F.col("__all")).alias("__quota"))
-    return per_group_sample(df.join(F.broadcast(quota), category), [category], item, F.col("__quota"), seed).drop("__quota")
+    whole = df.count()
+    target = total if total is not None else int(whole * share)
+    quota = counts.select(F.col(category).alias("__c"), F.floor(F.lit(target) * F.col("__n") / max(whole, 1)).alias("__quota"))
+    # large categories have large quotas: ranks are made in ranges
+    ranks = ranked(df, [seeded_order(seed, item), item], category, "pick")
+    return ranks.join(quota, F.col(category).eqNullSafe(F.col("__c"))).where(F.col("pick") <= F.col("__quota")).select(*df.columns, "pick")
 
 
 def weighted_sample(df: DataFrame, groups: list[str], item: str, weight: str, n: int, seed: int = 0) -> DataFrame:
@@ -74,24 +82,21 @@ def replicated_sample(df: DataFrame, category: str, item: str, n: int, seed: int
 def train_val_split(df: DataFrame, flag: str, item: str, share: float = 0.2, val_ratio: int = 3, train_ratio: int = 10, seed: int = 0) -> DataFrame:
     """df with part: val has the share of the flagged rows (one at least) and up to val_ratio times as many others, but a fifth of
     them at most; train has the other flagged rows and up to train_ratio times as many others; the rest is unused."""
-    w = Window.partitionBy(flag).orderBy(seeded_order(seed, item), F.col(item))
-    ranked = df.withColumn("pick", F.row_number().over(w))
-    n = df.agg(F.count_if(F.col(flag)).alias("__p"), F.count_if(~F.col(flag)).alias("__q"))
-    sized = ranked.join(F.broadcast(n))
-    val_flagged = F.when(F.col("__p") > 0, F.greatest(F.lit(1), F.floor(F.col("__p") * share))).otherwise(0)
-    val_others = F.least(val_flagged * val_ratio, F.floor(F.col("__q") / 5))
-    train_others = (F.col("__p") - val_flagged) * train_ratio
+    flagged, others = df.agg(F.count_if(F.col(flag)), F.count_if(~F.col(flag))).first()
+    val_flagged = max(1, int(flagged * share)) if flagged else 0
+    val_others = min(val_flagged * val_ratio, others // 5)
+    train_others = (flagged - val_flagged) * train_ratio
     part = F.when(F.col(flag), F.when(F.col("pick") <= val_flagged, "val").otherwise("train")).otherwise(
         F.when(F.col("pick") <= val_others, "val").when(F.col("pick") <= val_others + train_others, "train").otherwise("unused")
     )
-    return sized.withColumn("part", part).drop("__p", "__q", "pick")
+    return ranked(df, [seeded_order(seed, item), item], flag, "pick").withColumn("part", part).drop("pick")
 
 
 def class_ratio_downsample(df: DataFrame, flag: str, item: str, ratio: float, seed: int = 0) -> DataFrame:
     """All flagged rows and up to ratio times as many others."""
-    n = df.agg(F.floor(F.count_if(F.col(flag)) * ratio).alias("__most"))
-    ranked = df.withColumn("pick", F.row_number().over(Window.partitionBy(flag).orderBy(seeded_order(seed, item), F.col(item))))
-    return ranked.join(F.broadcast(n)).where(F.col(flag) | (F.col("pick") <= F.col("__most"))).drop("__most", "pick")
+    most = int(df.agg(F.count_if(F.col(flag))).first()[0] * ratio)
+    ranks = ranked(df, [seeded_order(seed, item), item], flag, "pick")
+    return ranks.where(F.col(flag) | (F.col("pick") <= most)).drop("pick")
 
 
 def half_split(df: DataFrame, item: str, size: int, seed: int = 66) -> DataFrame:
@@ -102,9 +107,7 @@ def half_split(df: DataFrame, item: str, size: int, seed: int = 66) -> DataFrame
 
 def interleaved(few: DataFrame, many: DataFrame, item: str, ratio: int, seed: int = 0) -> DataFrame:
     """All of few and ratio times as many of many, in seeded order: (part, item, order)."""
-    wanted = few.agg((F.count(F.lit(1)) * ratio).alias("__n"))
-    taken = many.select(item, seeded_order(seed, item).alias("__o"))
-    cut = taken.orderBy("__o", item).limit(int(wanted.first()[0]))
+    cut = uniform_sample(many.select(item), item, few.count() * ratio, seed)
     both = few.select(F.lit("few").alias("part"), F.col(item)).unionByName(cut.select(F.lit("many").alias("part"), F.col(item)))
     return both.withColumn("order", seeded_order(seed + 1, "part", item))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions import records
 from siltstone.operators import annotation as ann
-from siltstone.operators import dedup
+from siltstone.operators import dedup, ranking
 from siltstone.plans.similarity import rounded
 from siltstone.runtime import table
 
@@ -171,15 +171,14 @@ def cost_estimate(spark, sf_dir):
 
 def running_index(spark, sf_dir):
     rows = table(spark, sf_dir, "annotation", "annotation_id", "test_id")
-    return rows.select("annotation_id", (F.row_number().over(Window.partitionBy("test_id").orderBy("annotation_id")) - 1).alias("index"))
+    return ranking.ranked(rows, ["annotation_id"], "test_id").select("annotation_id", (F.col("rank") - 1).cast("int").alias("index"))
 
 
 def top_percent_by_weight(spark, sf_dir):
-    rows = pairs(spark, sf_dir).withColumn("weight", F.col("score") * F.col("score"))
-    w = Window.partitionBy("stage")
-    n = F.greatest(F.lit(1), F.floor(F.count(F.lit(1)).over(w) * 5 / 100))
-    ranked = rows.withColumn("rank", F.row_number().over(w.orderBy(F.col("weight").desc(), "annotation_id"))).withColumn("n", n)
-    return ranked.where("rank <= n").select("annotation_id")
+    rows = pairs(spark, sf_dir).select("stage", "annotation_id", (F.col("score") * F.col("score")).alias("weight"))
+    most = rows.groupBy("stage").agg(F.greatest(F.lit(1), F.floor(F.count(F.lit(1)) * 5 / 100)).alias("most"))
+    ranks = ranking.ranked(rows, [-F.col("weight"), "annotation_id"], "stage")
+    return ranks.join(most, "stage").where("rank <= most").select("annotation_id")
 
 
 def above_group_mean(spark, sf_dir):

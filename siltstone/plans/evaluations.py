@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.functions import parsing
 from siltstone.operators import evaluation as ev
+from siltstone.operators import ranking
 from siltstone.plans.annotations import pairs
 from siltstone.plans.similarity import rounded
 from siltstone.runtime import table
@@ -51,8 +52,8 @@ def wilcoxon_statistic(spark, sf_dir):
 
 
 def trial_numbers(spark, sf_dir):
-    rows = trials(spark, sf_dir)
-    return rows.select("event_id", F.row_number().over(Window.partitionBy("sample", "arm").orderBy("event_id")).alias("run"))
+    rows = trials(spark, sf_dir).withColumn("key", F.struct("sample", "arm"))
+    return ranking.ranked(rows, ["event_id"], "key").select("event_id", F.col("rank").cast("int").alias("run"))
 
 
 def expanded_trials(spark, sf_dir):

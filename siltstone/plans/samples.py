@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from siltstone.operators import joins, sampling
+from siltstone.operators import joins, ranking, sampling
 from siltstone.operators.distribution import seeded_order
 from siltstone.plans.annotations import pairs
 from siltstone.plans.similarity import rounded
@@ -72,16 +72,16 @@ def replace_slots(spark, sf_dir):
 
 def pick_until_budget(spark, sf_dir):
     rows = table(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint").alias("bytes"))
-    return joins.pick_until_budget(rows, "doc_id", "bytes", 200_000).select("doc_id", "start")
+    return ranking.pick_until_budget(rows, "doc_id", "bytes", 200_000).select("doc_id", "start")
 
 
 def file_offsets(spark, sf_dir):
     rows = docs(spark, sf_dir).groupBy("source").agg(F.count(F.lit(1)).alias("rows"))
-    return joins.running_offsets(rows, "source", "rows").select("source", "rows", "start")
+    return ranking.running_offsets(rows, "source", "rows").select("source", "rows", "start")
 
 
 def range_file_lookup(spark, sf_dir):
-    files = joins.running_offsets(docs(spark, sf_dir).groupBy("source").agg(F.count(F.lit(1)).alias("rows")), "source", "rows")
+    files = ranking.running_offsets(docs(spark, sf_dir).groupBy("source").agg(F.count(F.lit(1)).alias("rows")), "source", "rows")
     ranges = files.select("source", "start", (F.col("start") + F.col("rows")).alias("end"))
     points = table(spark, sf_dir, "documents", "doc_id").select((F.col("doc_id") - 1).alias("point"))
     return joins.range_lookup(points, ranges, "point", "start", "end").select("point", "source")

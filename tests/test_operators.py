@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siltstone.functions.statistics import average_ranks
-from siltstone.operators import annotation, dedup, distribution, evaluation, joins, sampling, vectors
+from siltstone.operators import annotation, dedup, distribution, evaluation, joins, ranking, sampling, vectors
 from siltstone.streaming import incremental
 
 
@@ -97,10 +97,28 @@ def test_lookups(spark):
     both = {r.k: (r.base, r.tuned, r.pct) for r in joins.metric_comparison(spark.createDataFrame([("x", 0.0), ("y", 2.0), ("b", 1.0)], "k string, v double"), spark.createDataFrame([("x", 1.0), ("y", 3.0), ("t", 1.0)], "k string, v double"), "k", "v").collect()}
     assert both == {"x": (0.0, 1.0, 0.0), "y": (2.0, 3.0, 50.0), "b": (1.0, None, None), "t": (None, 1.0, None)}
     sizes = [random.Random(1).randrange(9) for _ in range(200)]
-    got = [r.start for r in joins.running_offsets(spark.createDataFrame(list(enumerate(sizes)), "i int, n int"), "i", "n").orderBy("i").collect()]
+    got = [r.start for r in ranking.running_offsets(spark.createDataFrame(list(enumerate(sizes)), "i int, n int"), "i", "n").orderBy("i").collect()]
     assert got == [sum(sizes[:i]) for i in range(200)]
 
 
+def test_ranks_of_hot_and_null_groups(spark):
+    rows = [(None if i % 50 == 0 else "hot" if i % 3 else "cold", (i * 37) % 500, i) for i in range(500)]
+    got = {r.i: r["rank"] for r in ranking.ranked(spark.createDataFrame(rows, "g string, v int, i int"), [-F.col("v"), "i"], "g").collect()}
+    for g in (None, "hot", "cold"):
+        own = sorted(((-v, i) for k, v, i in rows if k == g))
+        assert [got[i] for _, i in own] == list(range(1, len(own) + 1))
+    assert ranking.ranked(spark.createDataFrame([], "g string, i int"), ["i"], "g").count() == 0
+
+
+def test_range_lookup_both_ways(spark, monkeypatch):
+    ranges = spark.createDataFrame([(i, i * 10, i * 10 + 1 + i % 10) for i in range(30)], "r int, a int, b int")
+    points = spark.range(310).select(F.col("id").cast("int").alias("p"))
+    want = {(p, p // 10) for p in range(300) if p % 10 <= (p // 10) % 10}
+    assert {(x.p, x.r) for x in joins.range_lookup(points, ranges, "p", "a", "b").collect()} == want
+    monkeypatch.setattr(joins, "is_small", lambda df: False)
+    assert {(x.p, x.r) for x in joins.range_lookup(points, ranges, "p", "a", "b").collect()} == want
+
+
 def test_minhash_estimates_and_drops(spark):
     a, b = "the quick brown fox jumps over the lazy dog again and again", "the quick brown fox jumps over the lazy dog again and once"
     df = spark.createDataFrame([(1, a), (2, b), (3, "something else entirely, with other words"), (4, "ab"), (5, None)], "i int, t string")
