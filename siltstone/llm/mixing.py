@@ -105,12 +105,11 @@ class Mixture:
         sized = spread(df.select(F.col(f"`{key}`").alias("key"), source_name(source).alias("source"), tokens.alias("tokens")))
         self.sized = materialize(sized)
         per_source = self.sized.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("n"))
-        total = self.sized.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("total"))
+        n, total = self.sized.agg(F.count(F.lit(1)), F.coalesce(F.sum("tokens"), F.lit(0))).first()
         goals = targets.select(F.col("mix_name").alias("mix"), source_name("source").alias("source"), F.coalesce("weight", F.lit(0.0)).alias("weight"), F.coalesce("max_repeats", F.lit(1)).cast("long").alias("max_repeats"), F.col("budget_share"))
-        known = goals.join(per_source, "source", "left").crossJoin(F.broadcast(total)).select("mix", "source", "weight", "max_repeats", F.coalesce("tokens", F.lit(0)).alias("tokens"), (F.col("budget_share") * F.col("total")).alias("budget"))
+        known = goals.join(per_source, "source", "left").select("mix", "source", "weight", "max_repeats", F.coalesce("tokens", F.lit(0)).alias("tokens"), (F.col("budget_share") * F.lit(total)).alias("budget"))
         schema = T.StructType([*known.schema.fields, T.StructField("target", T.DoubleType()), T.StructField("wanted", T.DoubleType())])
         self.plan = materialize(known.groupBy("mix").applyInPandas(allotted, schema))
-        n = self.sized.count()
         self.taken = self._taken(max(1, math.ceil(n / bucket)), fan_in)
 
     def _taken(self, buckets: int, fan_in: int) -> DataFrame:

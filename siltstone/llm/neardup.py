@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.llm.words import WordCodes, mix, shingles, words
@@ -97,7 +97,9 @@ def candidates(reps: DataFrame, threshold: float, num_perm: int, rows: int, bloc
     """(a, b), a < b, of representatives (rid, n, sig) that share a band and whose sizes allow the threshold; each pair once."""
     bands = [F.xxhash64(F.lit(i), F.substring("sig", 2 * rows * i + 1, 2 * rows)) for i in range(num_perm // rows)]
     exploded = reps.select("rid", "n", F.explode(F.array(*bands)).alias("band"))
-    members = exploded.withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("band"))).where("m > 1")
+    # counted by pre-aggregation, not by a window: a bucket of a third of all rows is no task of its own
+    shared = exploded.groupBy("band").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    members = exploded.join(shared, "band")
     blocks = F.ceil(F.col("m") / F.lit(block)).cast("int")
     own = F.pmod(F.xxhash64("rid"), blocks.cast("long")).cast("int")
     members = members.select("rid", "n", "band", own.alias("blk"), blocks.alias("blks"))
