@@ -115,3 +115,24 @@ def filled_template(template: str, fields: dict[str, Column]) -> Column:
     for name, value in fields.items():
         out = F.replace(out, F.lit("{" + name + "}"), F.coalesce(value.cast("string"), F.lit("")))
     return out
+
+
+def parsed_records(df: DataFrame, settings) -> DataFrame:
+    """(text, dpo_label, content_type) of raw records by the settings' mode; records that lack their parts are dropped.
+
+    Paragraphs come out as chunks; a conversation may be an array `messages` or `conversation`, or flat columns."""
+    from siltstone.functions.chunking import chunk_array
+
+    no_label = F.lit(None).cast("string").alias("dpo_label")
+    roles = {"user": settings.user_role, "assistant": settings.assistant_role, "content": settings.content_field}
+    if settings.mode == "paragraph":
+        chunks = df.where("text is not null and text <> ''").select(F.explode(chunk_array(F.col("text"))).alias("c"))
+        return chunks.select("c.text", no_label, "c.content_type")
+    if settings.mode == "dpo":
+        made = preference_rows(df, settings.dpo_chosen, settings.dpo_rejected, settings.dpo_extract, **roles).select("text", "dpo_label")
+    elif settings.mode == "rl":
+        made = df.select(solution_text(F.col(settings.rl_prompt), F.col(settings.rl_solution)).alias("text"), no_label)
+    else:
+        arrays = [conversation_text(F.col(c), **roles) for c in ("messages", "conversation") if c in df.columns]
+        made = df.select(F.coalesce(*arrays, flat_conversation_text(df)).alias("text"), no_label)
+    return made.where("text is not null").withColumn("content_type", F.lit("conversation"))

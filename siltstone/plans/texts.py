@@ -194,6 +194,31 @@ def json_metric_summary(spark, sf_dir):
     return got.groupBy("event_type", "key").agg(F.count("v").alias("n"), F.countDistinct("v").alias("distinct_values"))
 
 
+def dynamic_batches(spark, sf_dir):
+    """Shards of 64 documents, batched by padded length."""
+    rows = docs(spark, sf_dir).where("text is not null").select("doc_id", F.floor(F.col("doc_id") / 64).alias("shard"), text.regex_tokens(F.col("text")).cast("int").alias("n"))
+    return chunking.dynamic_batches(rows, "shard", "doc_id", "n", 4096)
+
+
+def dedup_report(spark, sf_dir):
+    """Documents, and what exact and normalised removal of duplicates leave, by source."""
+    rows = docs(spark, sf_dir, "doc_id", "text", "source").where("text is not null").select("doc_id", source_of().alias("source"), F.sha2("text", 256).alias("e"), F.sha2(text.normalized(F.col("text")), 256).alias("n"))
+    exact = rows.groupBy("e").agg(F.min("doc_id").alias("e_id"))
+    norm = rows.groupBy("n").agg(F.min("doc_id").alias("n_id"))
+    marked = rows.join(exact, "e").join(norm, "n")
+    out = marked.groupBy("source").agg(F.count(F.lit(1)).alias("docs"), F.count_if(F.col("doc_id") == F.col("e_id")).alias("exact_kept"), F.count_if(F.col("doc_id") == F.col("n_id")).alias("norm_kept"))
+    return rounded(out.withColumn("removed_pct", 100 * (F.col("docs") - F.col("norm_kept")) / F.col("docs")))
+
+
+def cross_source_near_dups(spark, sf_dir):
+    """Documents of different sources that share half of their runs of five words or more."""
+    from siltstone.functions.similarity import grams
+    from siltstone.operators.joins import set_similarity_join
+
+    rows = docs(spark, sf_dir, "doc_id", "text", "source").where("text is not null").select("doc_id", source_of().alias("source"), grams(text.words(F.col("text")), 5).alias("v"))
+    return rounded(set_similarity_join(rows, "doc_id", "source", "v", 0.5))
+
+
 def request_lines(spark, sf_dir):
     """Annotation requests in numbered batches of 100, as JSON lines."""
     from pyspark.sql import Window
@@ -256,8 +281,10 @@ ORACLE = {
     "verdict_json": "SELECT annotation_id, is_sd AS is_duplicate, lower(trim(match_type)) AS match_type, round(confidence, 6) AS confidence FROM annotation WHERE is_sd IS NOT NULL",
     "json_metric_summary": "SELECT event_type, key, count(v) AS n, count(DISTINCT v) AS distinct_values FROM (SELECT event_type, unnest(json_keys(props)) AS key, props FROM events), LATERAL (SELECT json_extract_string(props, '$.' || key) AS v) GROUP BY ALL",
     "request_lines": "SELECT annotation_id, CAST((row_number() OVER (PARTITION BY annotation_id // 1000 ORDER BY annotation_id) - 1) // 100 AS INTEGER) AS batch, 'req-' || annotation_id AS custom_id FROM annotation WHERE score >= 0.8 AND NOT isnan(score)",
+    "dedup_report": f"WITH r AS (SELECT doc_id, {_SOURCE} AS source, text AS e, {_norm('text')} AS n FROM documents WHERE text IS NOT NULL), m AS (SELECT *, min(doc_id) OVER (PARTITION BY e) AS ei, min(doc_id) OVER (PARTITION BY n) AS ni FROM r) SELECT source, count(*) AS docs, count_if(doc_id = ei) AS exact_kept, count_if(doc_id = ni) AS norm_kept, round(100 * (count(*) - count_if(doc_id = ni)) / count(*)::DOUBLE, 6) AS removed_pct FROM m GROUP BY 1",
+    "cross_source_near_dups": rf"WITH w AS (SELECT doc_id, {_SOURCE} AS source, regexp_extract_all(lower(text), '[\p{{L}}\p{{M}}\p{{N}}_]+') AS ws FROM documents WHERE text IS NOT NULL), g AS (SELECT DISTINCT doc_id, source, unnest([array_to_string(list_slice(ws, i, i + 4), ' ') FOR i IN range(1, len(ws) - 3)]) AS x FROM w WHERE len(ws) >= 5), n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY 1), c AS (SELECT p.doc_id AS a, q.doc_id AS b, count(*) AS c FROM g p JOIN g q ON p.x = q.x AND p.doc_id < q.doc_id AND p.source <> q.source GROUP BY 1, 2) SELECT a, b, round(c / (x.n + y.n - c)::DOUBLE, 6) AS similarity FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE c / (x.n + y.n - c)::DOUBLE >= 0.5",
     "quality_stats": "SELECT content_type, CAST(min(length(text)) AS INTEGER) AS least, CAST(max(length(text)) AS INTEGER) AS most, count_if(text = '') AS empty, count_if(text IS NULL) AS missing FROM documents GROUP BY 1",
 }
 #: Without SQL: Python's Unicode and compression routines, and the chunker. Tested on literal texts.
-UNCHECKED = ["sanitized", "latex_plain", "compression_ratio", "garbage_split", "chunk_documents", "prepared_chunks"]
+UNCHECKED = ["dynamic_batches", "sanitized", "latex_plain", "compression_ratio", "garbage_split", "chunk_documents", "prepared_chunks"]
 QUERIES = {name: globals()[name] for name in [*ORACLE, *UNCHECKED]}

@@ -107,3 +107,61 @@ def newest_run(runs: DataFrame, label: str, stamp: str) -> DataFrame:
     from siltstone.operators.dedup import keep_first
 
     return keep_first(runs.where(F.col(stamp).isNotNull()), [label], [F.expr(f"-unix_micros(cast(`{stamp}` as timestamp))")])
+
+
+def read_many(spark: SparkSession, paths: list[str]) -> tuple[DataFrame | None, list[str]]:
+    """Parquet of all paths that exist, columns by name, and the paths that don't."""
+    jvm = spark._jvm
+
+    def there(path: str) -> bool:
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+    found = [p for p in paths if there(p)]
+    df = spark.read.option("mergeSchema", "true").parquet(*found) if found else None
+    return df, [p for p in paths if p not in found]
+
+
+class Registry:
+    """Loaders of data sets under names, each a function (spark) -> DataFrame."""
+
+    def __init__(self) -> None:
+        self.loaders: dict = {}
+
+    def add(self, name: str, loader) -> None:
+        if name in self.loaders:
+            raise ValueError(f"{name} is registered")
+        self.loaders[name] = loader
+
+    def add_union(self, name: str, parts: list[str]) -> None:
+        """A data set of others, by name, with the part's name as column task."""
+
+        def load(spark: SparkSession) -> DataFrame:
+            frames = [self.load(spark, p).withColumn("task", F.lit(p)) for p in parts]
+            out = frames[0]
+            for frame in frames[1:]:
+                out = out.unionByName(frame, allowMissingColumns=True)
+            return out
+
+        self.add(name, load)
+
+    def load(self, spark: SparkSession, name: str, limit: int | None = None) -> DataFrame:
+        if name not in self.loaders:
+            raise KeyError(f"unknown data set {name}; known: {sorted(self.loaders)}")
+        df = self.loaders[name](spark)
+        return df.limit(limit) if limit is not None else df
+
+
+TRIALS = "sample_id long, test_split string, correct string"
+RATES = "epoch string, checkpoint string, sample_id long, pass_rate double, n_correct int, n_samples int"
+
+
+def read_evaluation(spark: SparkSession, folder: str) -> DataFrame:
+    """(checkpoint, sample_id, pass_rate, n_samples) of a run in either layout: one file of rates, or a folder a checkpoint with a row a trial."""
+    names = [p.rsplit("/", 1)[1] for p in find_files(spark, folder, (".csv",))]
+    if any(n.startswith("pass_rates") for n in names):
+        rates = spark.read.option("header", "true").schema(RATES).option("pathGlobFilter", "pass_rates*.csv").csv(folder)
+        return rates.select("checkpoint", "sample_id", "pass_rate", F.col("n_samples").cast("long").alias("n_samples"))
+    trials = spark.read.option("header", "true").schema(TRIALS).option("recursiveFileLookup", "true").csv(folder)
+    named = trials.select(F.element_at(F.split("_metadata.file_path", "/"), -2).alias("checkpoint"), "sample_id", (F.col("correct") == "1").alias("ok"))
+    return named.groupBy("checkpoint", "sample_id").agg(F.avg(F.col("ok").cast("double")).alias("pass_rate"), F.count(F.lit(1)).alias("n_samples"))

@@ -55,3 +55,22 @@ def exploded_documents(documents: DataFrame, document: str) -> DataFrame:
     parsed = documents.select(F.from_json(document, schema).alias("d")).select("d.*")
     zipped = F.transform(F.arrays_zip("ids", "scores"), lambda x, i: F.struct((i + 1).cast("int").alias("rank"), x["scores"].alias("score"), x["ids"].alias("corpus_id")))
     return parsed.select("test_id", F.explode(F.coalesce("top", zipped)).alias("m")).select("test_id", "m.rank", "m.score", "m.corpus_id")
+
+
+def latex_rows(df: DataFrame, label: str, value: str, p: str, places: int = 3) -> DataFrame:
+    """Table rows `label & value*** \\\\` with stars by significance."""
+    from siltstone.operators.evaluation import significance_stars
+
+    number = F.format_string(f"%.{places}f", F.col(value).cast("double"))
+    return df.select(label, F.concat(F.col(label), F.lit(" & "), number, significance_stars(F.col(p)), F.lit(r" \\")).alias("line"))
+
+
+def markdown_overview(df: DataFrame, dataset: str, original: str, variant: str, level: str, originals: int = 3, length: int = 500) -> DataFrame:
+    """(dataset, line) of the first originals of each data set with their variants by level; texts are cut to length."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy(dataset).orderBy(original)
+    kept = df.withColumn("__n", F.dense_rank().over(w)).where(F.col("__n") <= originals)
+    line = F.concat(F.lit("- **"), F.col(level).cast("string"), F.lit("** "), F.substring(F.col(variant), 1, length))
+    listed = kept.groupBy(dataset, "__n", original).agg(F.sort_array(F.collect_set(line)).alias("lines"))
+    return listed.select(dataset, F.col("__n").alias("n"), F.concat(F.lit("### "), F.substring(F.col(original), 1, length), F.lit("\n"), F.array_join("lines", "\n")).alias("section"))

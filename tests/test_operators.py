@@ -193,3 +193,12 @@ def test_streams(spark, tmp_path):
     once = incremental.first_deliveries(stream.select("ts", "g"), ["g"]).writeStream.format("memory").queryName("once").trigger(availableNow=True).start()
     once.awaitTermination()
     assert spark.table("once").count() == 3
+
+
+@pytest.mark.parametrize("threshold", [0.3, 0.5, 0.8])
+def test_set_similarity_join_against_brute_force(spark, threshold):
+    draw = random.Random(8)
+    rows = [(i, i % 3, sorted(set(draw.choice("abcdefghij") for _ in range(draw.randrange(9))))) for i in range(60)]
+    got = {(r.a, r.b) for r in joins.set_similarity_join(spark.createDataFrame(rows, "k int, g int, v array<string>"), "k", "g", "v", threshold).collect()}
+    want = {(a, b) for a, g, v in rows for b, h, w in rows if a < b and g != h and v and w and len(set(v) & set(w)) / len(set(v) | set(w)) >= threshold}
+    assert got == want

@@ -97,3 +97,53 @@ def test_documents_and_chats(spark):
     assert [(r.rank, r.score, r.corpus_id) for r in writers.exploded_documents(old, "d").collect()] == [(1, 0.3, "a"), (2, 0.2, "b")]
     chat = spark.sql("select ' ' as s, 'p' as p, 'r' as r").select(writers.chat_lines(F.col("p"), F.col("r"), F.col("s")).alias("c"), writers.chat_lines(F.col("p"), None, F.col("p")).alias("d")).first()
     assert [m["role"] for m in json.loads(chat.c)["messages"]] == ["user", "assistant"] and [m["role"] for m in json.loads(chat.d)["messages"]] == ["system", "user"]
+
+
+def test_registry_settings_and_modes(spark, tmp_path):
+    from siltstone.config import Preparation, nested
+    from siltstone.functions import records
+
+    reg = readers.Registry()
+    reg.add("a", lambda s: s.createDataFrame([(1, "x")], "i int, t string"))
+    reg.add("b", lambda s: s.createDataFrame([(2,)], "i int"))
+    reg.add_union("both", ["a", "b"])
+    assert {(r.i, r.task) for r in reg.load(spark, "both").collect()} == {(1, "a"), (2, "b")} and reg.load(spark, "both", 1).count() == 1
+    with pytest.raises(KeyError):
+        reg.load(spark, "c")
+    with pytest.raises(ValueError):
+        reg.add("a", None)
+    assert nested({"a": {"b": 1}}, "a.b") == 1 and nested({}, "a.b", 2) == 2
+    (tmp_path / "c.json").write_text('{"chunking": {"mode": "rl", "max_tokens": 99}}')
+    assert Preparation.read(str(tmp_path / "c.json")).max_tokens == 99
+    for bad in ({"mode": "x"}, {"min_tokens": 9, "max_tokens": 5}, {"sample_share": 0}, {"dpo_extract": "none"}):
+        with pytest.raises(ValueError):
+            Preparation(**bad)
+    with pytest.raises(ValueError):
+        Preparation.of({"chunking": {"odd": 1}})
+    rl = spark.createDataFrame([("p", "s"), ("q", None), ("", "s")], "prompt string, solution string")
+    assert sorted(r.text for r in records.parsed_records(rl, Preparation(mode="rl")).collect()) == ["Prompt: p\n\nResponse: s", "Prompt: q"]
+    flat = spark.createDataFrame([("p", "r"), (None, "r")], "question string, answer string")
+    assert [r.content_type for r in records.parsed_records(flat, Preparation(mode="conversation")).collect()] == ["conversation"]
+    docs = spark.createDataFrame([("One.\n\ndef f():\n    return 1",), (None,), ("",)], "text string")
+    assert [r.content_type for r in records.parsed_records(docs, Preparation()).collect()] == ["prose", "code"]
+    chat = spark.sql("select array(struct('user' as role, 'q' as content), struct('assistant' as role, 'a' as content)) as chosen, array(struct('user' as role, 'q' as content)) as rejected")
+    assert [r.dpo_label for r in records.parsed_records(chat, Preparation(mode="dpo")).collect()] == ["chosen"]
+
+
+def test_evaluation_layouts_and_missing_files(spark, tmp_path):
+    (tmp_path / "one").mkdir()
+    (tmp_path / "one/pass_rates.csv").write_text("epoch,checkpoint,sample_id,pass_rate,n_correct,n_samples\nfinal,c1,7,0.5,2,4\n")
+    (tmp_path / "two/ck9").mkdir(parents=True)
+    (tmp_path / "two/ck9/trials.csv").write_text("sample_id,test_split,correct\n7,eval,1\n7,eval,0\n")
+    assert [tuple(r) for r in readers.read_evaluation(spark, str(tmp_path / "one")).collect()] == [("c1", 7, 0.5, 4)]
+    assert [tuple(r) for r in readers.read_evaluation(spark, str(tmp_path / "two")).collect()] == [("ck9", 7, 0.5, 2)]
+    spark.range(3).write.parquet(str(tmp_path / "p"))
+    df, missing = readers.read_many(spark, [str(tmp_path / "p"), str(tmp_path / "q")])
+    assert df.count() == 3 and missing == [str(tmp_path / "q")] and readers.read_many(spark, [str(tmp_path / "q")])[0] is None
+
+
+def test_reports(spark):
+    rows = spark.createDataFrame([("a", 0.12345, 0.004), ("b", 0.5, None)], "k string, v double, p double")
+    assert [r.line.split("&")[1].strip() for r in writers.latex_rows(rows, "k", "v", "p").orderBy("k").collect()] == ["0.123**" + " " + chr(92) * 2, "0.500" + " " + chr(92) * 2]
+    got = writers.markdown_overview(spark.createDataFrame([("d", "o1", "v1", 1), ("d", "o1", "v2", 2), ("d", "o2", "w", 1), ("d", "o3", "z", 1)], "ds string, o string, v string, l int"), "ds", "o", "v", "l", originals=2, length=2).collect()
+    assert sorted(r.section for r in got) == ["### o1\n- **1** v1\n- **2** v2", "### o2\n- **1** w"]
