@@ -65,7 +65,7 @@ def visible(text: str) -> str:
 
 
 def words(text: str) -> list[str]:
-    return _WORD.findall(unicodedata.normalize("NFKC", text).lower())
+    return _WORD.findall(unicodedata.normalize("NFKC", text).casefold())
 
 
 def parts(answer: str) -> tuple[str, str, bool]:
@@ -196,7 +196,8 @@ def defect(prompt: str | None, answer: str | None, shortened: bool = False, at_l
     if still_open or (code and breaks_off(code)):
         return "truncated"
     tail = prose.rstrip() if not code or answer.rstrip().endswith(prose.rstrip()[-20:]) else ""
-    sentences = tail and language(tail) is not None or (tail and len(words(tail)) > 5)
+    # prose behind code is a sentence however short; prose alone may be a bare value
+    sentences = bool(tail) and len(words(tail)) > (0 if declares else 3)
     if sentences and not _CLOSED.search(tail):
         return "truncated"
     natural = bool(code.strip() and answer.endswith("\n")) or answer.rstrip().endswith("```") or bool(_CLOSED.search(answer.rstrip()))
