@@ -90,7 +90,7 @@ class Index:
     """The windows of a block of items that aren't wording shared with other items."""
 
     def __init__(self, items: list[tuple[str, str, list[int]]], window: int, shared_run: int, max_edits: int, recall: float, seed: int = 11):
-        self.window, self.max_edits = window, max_edits
+        self.window, self.max_edits, self.runs = window, max_edits, None
         self.ids = [item for item, _, _ in items]
         token_lists = [words(text) for _, text, _ in items]
         vocabulary = sorted({w for tokens in token_lists for w in tokens})
@@ -110,11 +110,21 @@ class Index:
             at += len(tokens) + 1
         self.symbols, self.starts, self.owner = np.concatenate(symbols), np.array(starts, dtype=np.int64), np.array(owner, dtype=np.int64)
         self.walks = self.enough_walks(recall, np.random.default_rng(seed), seed)
+
+    def __getstate__(self) -> dict:
+        """Without the tables, which a worker makes in less time than they take to send."""
+        bare = [(bits, [Sample(sample.steps) for sample in samples]) for bits, samples in self.walks]
+        return self.__dict__ | {"walks": bare, "runs": None}
+
+    def build(self) -> None:
+        """Sort the index's windows by the keys of each sample, once in a process."""
         for bits, samples in self.walks if len(self.starts) else []:
-            embedded = embed(self.symbols, self.starts, window, bits, self.end)
+            if samples[0].keys is not None:
+                continue
+            embedded = embed(self.symbols, self.starts, self.window, bits, self.end)
             for sample in samples:
                 keys = sample_key(embedded, sample.steps)
-                sample.order = np.argsort(keys, kind="stable")
+                sample.order = np.argsort(keys, kind="stable").astype(np.int32)
                 sample.keys = keys[sample.order]
                 sample.filled = np.zeros(1 << 20, dtype=bool)
                 sample.filled[(keys >> np.uint64(44)).astype(np.int64)] = True
@@ -151,8 +161,21 @@ class Index:
         self.recall = float(met.mean())
         return walks
 
+    def may_match(self, symbols: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Which windows have a run of words of an index's window unchanged. With k edits one of k + 1 parts of a window is, so none is lost."""
+        run = self.window // (self.max_edits + 1)
+        if self.runs is None:
+            inner = np.unique((self.starts[:, None] + np.arange(self.window - run + 1)).ravel())
+            self.runs = np.unique(run_codes(self.symbols.astype(np.uint64), run)[inner])
+        own = run_codes(symbols.astype(np.int64).astype(np.uint64), run)
+        at = np.minimum(np.searchsorted(self.runs, own), len(self.runs) - 1)
+        ahead = np.concatenate([[0], np.cumsum(self.runs[at] == own)])
+        last = np.minimum(starts + self.window + self.max_edits - run + 1, len(own))
+        return ahead[last] > ahead[np.minimum(starts, len(own))]
+
     def hits(self, symbols: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(place in starts, item, edits) of every window that is within max_edits of an item's window and met it in a sample."""
+        self.build()
         places, theirs = [], []
         for bits, samples in self.walks:
             embedded = embed(symbols, starts, self.window, bits, self.end)
@@ -228,6 +251,8 @@ def leaked_items(
     renamed = [F.col(f"`{c}`").alias(f"x{i}") for i, c in enumerate(extra)]
     source = spread(corpus.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"), *renamed).where("key is not null and text is not null"))
     kept = ["key", *(f"x{i}" for i in range(len(extra)))]
+    if max_edits:  # many walks a text: a key's text is searched once, which is worth a shuffle of the texts
+        source = source.groupBy("key").agg(F.first("text").alias("text"), *(F.min(c).alias(c) for c in kept[1:]))
     spark = corpus.sparkSession
     known = materialize(items_with_shared_runs(items, item, item_text, shared_run))
     total = known.agg(F.sum(F.size(F.split("text", r"\s+")))).first()[0] or 0
@@ -254,8 +279,15 @@ def leaked_items(
                 if not pieces or not len(ix.starts):
                     continue
                 symbols, starts, row_of = np.concatenate(pieces), np.concatenate(firsts), np.concatenate(rows)
+                if ix.max_edits:
+                    maybe = ix.may_match(symbols, starts)
+                    starts, row_of = starts[maybe], row_of[maybe]
+                    if not len(starts):
+                        continue
                 got = [(a, *ix.hits(symbols, starts[a : a + AT_ONCE])) for a in range(0, len(starts), AT_ONCE)]
                 place = np.concatenate([a + p for a, p, _, _ in got])
+                if not len(place):
+                    continue
                 found = pd.DataFrame({"row": row_of[place], "item": np.concatenate([i for _, _, i, _ in got]), "edits": np.concatenate([e for _, _, _, e in got]), "place": place})
                 best = found.groupby(["row", "item"], as_index=False).agg(edits=("edits", "min"), windows=("place", "nunique"))
                 out = batch.iloc[best["row"].to_numpy(dtype=np.int64)][kept].reset_index(drop=True)
