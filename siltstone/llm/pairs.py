@@ -195,7 +195,9 @@ def defect(prompt: str | None, answer: str | None, shortened: bool = False, at_l
             return "refusal"
     if still_open or (code and breaks_off(code)):
         return "truncated"
-    tail = prose.rstrip() if not code or answer.rstrip().endswith(prose.rstrip()[-20:]) else ""
+    marks = list(_FENCE.finditer(answer))
+    # what the answer ends with outside of code
+    tail = answer[marks[-1].end() :].strip() if code and marks else "" if code else prose.strip()
     # prose behind code is a sentence however short; prose alone may be a bare value
     sentences = bool(tail) and len(words(tail)) > (0 if declares else 3)
     if sentences and not _CLOSED.search(tail):
