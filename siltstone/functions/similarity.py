@@ -19,24 +19,26 @@ from siltstone.functions.text import normalized, space_words, words
 NUMBER = r"\b(\d+\.?\d*)\b"
 
 
-def grams(tokens: Column, n: int) -> Column:
-    """The distinct runs of n tokens, joined by a unit separator; none where there are fewer tokens."""
+def token_runs(tokens: Column, n: int, between: str = "\u001f") -> Column:
+    """The distinct runs of n tokens of an array; none where there are fewer."""
+    if n == 1:
+        return F.array_distinct(tokens)
+    made = F.transform(F.sequence(F.lit(1), F.size(tokens) - (n - 1)), lambda i: F.array_join(F.slice(tokens, i, n), between))
+    return F.when(F.size(tokens) >= n, F.array_distinct(made)).otherwise(F.array().cast("array<string>"))
 
-    def runs(t: Column) -> Column:
-        made = F.transform(F.sequence(F.lit(1), F.size(t) - (n - 1)), lambda i: F.array_join(F.slice(t, i, n), "\u001f"))
-        return F.when(F.size(t) >= n, F.array_distinct(made)).otherwise(F.array().cast("array<string>"))
 
-    return bound(runs, tokens)
+def characters(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit("(?s)(.)"), 1)
 
 
-def char_grams(text: Column, n: int) -> Column:
-    """The distinct runs of n characters."""
+def grams(tokens: Column, n: int) -> Column:
+    """The distinct runs of n tokens, joined by a unit separator; none where there are fewer tokens."""
+    return bound(lambda t: token_runs(t, n), tokens)
 
-    def runs(t: Column) -> Column:
-        made = F.transform(F.sequence(F.lit(1), F.size(t) - (n - 1)), lambda i: F.array_join(F.slice(t, i, n), ""))
-        return F.when(F.size(t) >= n, F.array_distinct(made)).otherwise(F.array().cast("array<string>"))
 
-    return bound(runs, F.regexp_extract_all(text, F.lit("(?s)(.)"), 1))
+def char_grams(text: Column, n: int) -> Column:
+    """The distinct runs of n characters, in time linear in the text."""
+    return bound(lambda t: token_runs(t, n, ""), characters(text))
 
 
 def bound(function, *columns: Column) -> Column:
@@ -168,11 +170,17 @@ bag_cosine = _on_words(bag_cosine_score, space_words)
 
 
 def pair_metrics(a: Column, b: Column) -> Column:
-    """All text measures of a pair as one struct, overlaps rounded to 2 places and the others to 4."""
+    """All text measures of a pair as one struct, overlaps rounded to 2 places and the others to 4. Words and characters are taken once for all overlaps."""
     kept, precision, recall = number_preservation(a, b)
-    fields = [F.round(word_overlap(a, b, n), 2).alias(f"word_{n}") for n in range(1, 6)] + [F.round(char_overlap(a, b, n), 2).alias(f"char_{n}") for n in range(1, 6)]
-    fields += [F.round(c, 4).alias(name) for name, c in (("rouge_l", rouge_l(a, b)), ("edit", word_edit_distance(a, b)), ("tfidf", tfidf_cosine(a, b)), ("number_precision", precision), ("number_recall", recall), ("length_ratio", length_ratio(a, b)), ("token_jaccard", token_jaccard(a, b)))]
-    return F.struct(*fields, kept.alias("numbers_kept"))
+
+    def overlaps(wa: Column, wb: Column, ca: Column, cb: Column) -> Column:
+        of_words = [F.round(100 * jaccard(token_runs(wa, n), token_runs(wb, n)), 2).alias(f"word_{n}") for n in range(1, 6)]
+        of_chars = [F.round(100 * jaccard(token_runs(ca, n, ""), token_runs(cb, n, "")), 2).alias(f"char_{n}") for n in range(1, 6)]
+        return F.struct(*of_words, *of_chars, F.round(jaccard(F.array_distinct(wa), F.array_distinct(wb)), 4).alias("token_jaccard"))
+
+    sets = bound(overlaps, words(a), words(b), characters(F.lower(a)), characters(F.lower(b)))
+    rest = [("rouge_l", rouge_l(a, b)), ("edit", word_edit_distance(a, b)), ("tfidf", tfidf_cosine(a, b)), ("number_precision", precision), ("number_recall", recall), ("length_ratio", length_ratio(a, b))]
+    return F.struct(sets.alias("overlaps"), *(F.round(c, 4).alias(name) for name, c in rest), kept.alias("numbers_kept"))
 
 
 def corpus_idf_cosine(a: list[str], b: list[str], idf: dict[str, float]) -> float:

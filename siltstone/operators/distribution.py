@@ -63,6 +63,11 @@ def histogram_threshold(df: DataFrame, group: str, score: str, percent: float, l
     Values outside count in the total only."""
     total = df.groupBy(group).agg(F.count(F.lit(1)).alias("total"))
     counts = histogram(df, score, low, high, bins, group, clip=False)
+    return counts_threshold(counts, total, group, percent, low, high, bins)
+
+
+def counts_threshold(counts: DataFrame, total: DataFrame, group: str, percent: float, low: float, high: float, bins: int) -> DataFrame:
+    """The same from counts (group, bin, n) and totals (group, total)."""
     above = Window.partitionBy(group).orderBy(F.col("bin").desc()).rowsBetween(Window.unboundedPreceding, 0)
     summed = counts.withColumn("above", F.sum("n").over(above)).join(total, group)
     wanted = F.floor(F.col("total") * F.lit(1 - percent / 100)).cast("long")

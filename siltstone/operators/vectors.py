@@ -91,6 +91,59 @@ def scored(tests: DataFrame, corpus: DataFrame, test_id: str = "test_id", corpus
     return out if out is not None else corpus.sparkSession.createDataFrame([], kinds)
 
 
+def score_partials(tests: DataFrame, corpus: DataFrame, low: float = -1.0, high: float = 1.0, bins: int = 10_000, clip: bool = False, places: int = 6, test_id: str = "test_id", corpus_id: str = "corpus_id", vector: str = "embedding") -> DataFrame:
+    """(test_id, bin, n, total, squares, least, most): sums of all scores of a test in each bin of equal width.
+
+    No score leaves its task: each adds its batches up and sends a row a test and bin that occurs, so that what is shuffled
+    depends on tests and bins, not on the corpus. Outside scores go to the edge bins with clip, else to bin -1. Histograms, moments, rates and
+    thresholds over any number of comparisons come from these rows."""
+    source = spread(corpus.select(F.col(corpus_id).alias("c"), F.col(vector).alias("v")).where("c is not null and v is not null"))
+    kinds = f"test_id {tests.schema[test_id].dataType.simpleString()}, bin int, n long, total double, squares double, least double, most double"
+    width = (high - low) / bins
+    out = None
+    for ids, matrix in _blocks(tests, test_id, vector):
+        shared = corpus.sparkSession.sparkContext.broadcast((np.array(ids), matrix))
+
+        def add(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            names, left = shared.value
+            held, rows = [], 0
+
+            def summed() -> pd.DataFrame:
+                every = pd.concat(held)
+                return every.groupby(["t", "bin"], as_index=False).agg(n=("n", "sum"), total=("total", "sum"), squares=("squares", "sum"), least=("least", "min"), most=("most", "max"))
+
+            for batch in batches:
+                if batch.empty:
+                    continue
+                scores = np.round(left @ _matrix(batch["v"]).T, places)
+                place = np.floor((scores - low) / width).astype(np.int64)
+                place = np.clip(place, 0, bins - 1) if clip else np.where((scores < low) | (scores > high), -1, np.minimum(place, bins - 1))
+                flat = pd.DataFrame({"t": np.repeat(np.arange(len(names)), scores.shape[1]), "bin": place.ravel(), "s": scores.ravel()})
+                flat["q"] = flat["s"] ** 2
+                held.append(flat.groupby(["t", "bin"], as_index=False).agg(n=("s", "size"), total=("s", "sum"), squares=("q", "sum"), least=("s", "min"), most=("s", "max")))
+                rows += len(held[-1])
+                if rows > 1_000_000:
+                    held = [summed()]
+                    rows = len(held[0]) // 2
+            if held:
+                done = summed()
+                done.insert(0, "test_id", names[done.pop("t").to_numpy()])
+                yield done.astype({"bin": "int32"})
+
+        part = source.mapInPandas(add, kinds)
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        return corpus.sparkSession.createDataFrame([], kinds)
+    return out.groupBy("test_id", "bin").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.sum("squares").alias("squares"), F.min("least").alias("least"), F.max("most").alias("most"))
+
+
+def moments(partials: DataFrame, group: str = "test_id") -> DataFrame:
+    """Greatest, least, mean and population deviation of a test's scores, and their number."""
+    s = partials.groupBy(group).agg(F.sum("n").alias("n"), F.sum("total").alias("t"), F.sum("squares").alias("q"), F.min("least").alias("min_score"), F.max("most").alias("max_score"))
+    mean = F.col("t") / F.col("n")
+    return s.select(group, "max_score", "min_score", mean.alias("mean_score"), F.sqrt(F.greatest(F.lit(0.0), F.col("q") / F.col("n") - mean * mean)).alias("std_score"), "n")
+
+
 def top_matches(tests: DataFrame, corpus: DataFrame, k: int = 1000, places: int | None = 6, least: float | None = None, **names) -> DataFrame:
     """The k best corpus vectors of each test by score, then corpus_id: test_id, rank, corpus_id, score. Scores are rounded
     before they are ranked, so that equal vectors tie. least drops scores under it."""

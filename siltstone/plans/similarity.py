@@ -50,8 +50,13 @@ def per_test_score_stats(spark, sf_dir):
     return rounded(dist.score_stats(all_scores(spark, sf_dir), "test_id"))
 
 
+def streamed_score_stats(spark, sf_dir):
+    """Moments from partial sums: no score leaves its task."""
+    return rounded(vec.moments(vec.score_partials(*sides(spark, sf_dir), bins=1)))
+
+
 def aggregate_score_stats(spark, sf_dir):
-    per_test = dist.score_stats(all_scores(spark, sf_dir), "test_id")
+    per_test = vec.moments(vec.score_partials(*sides(spark, sf_dir), bins=1))
     return rounded(per_test.agg(F.avg("max_score").alias("mean_max"), F.max("max_score").alias("max_max"), F.min("max_score").alias("min_max"), F.avg("mean_score").alias("mean_mean"), F.stddev_pop("max_score").alias("std_max"), F.sum("n").alias("comparisons"), F.count(F.lit(1)).alias("tests")))
 
 
@@ -61,7 +66,8 @@ def topk_cut_scores(spark, sf_dir):
 
 
 def max_similarity_per_item(spark, sf_dir):
-    return all_scores(spark, sf_dir).groupBy("test_id").agg(F.greatest(F.lit(0.0), F.max("score")).alias("max_score"))
+    partials = vec.score_partials(*sides(spark, sf_dir), bins=1)
+    return partials.groupBy("test_id").agg(F.greatest(F.lit(0.0), F.max("most")).alias("max_score"))
 
 
 def similarity_threshold_rates(spark, sf_dir):
@@ -73,11 +79,14 @@ def similarity_percentiles(spark, sf_dir):
 
 
 def similarity_histogram(spark, sf_dir):
-    return dist.histogram(all_scores(spark, sf_dir), "score", -1.0, 1.0, 200, weight=2.0)
+    partials = vec.score_partials(*sides(spark, sf_dir), bins=200, clip=True)
+    return partials.groupBy("bin").agg(F.sum("n").alias("n")).withColumn("weighted", F.col("n") * F.lit(2.0))
 
 
 def histogram_percentile_threshold(spark, sf_dir):
-    return rounded(dist.histogram_threshold(all_scores(spark, sf_dir), "test_id", "score", 99.0))
+    partials = vec.score_partials(*sides(spark, sf_dir))
+    total = partials.groupBy("test_id").agg(F.sum("n").alias("total"))
+    return rounded(dist.counts_threshold(partials.where("bin >= 0").select("test_id", "bin", "n"), total, "test_id", 99.0, -1.0, 1.0, 10_000))
 
 
 def similarity_cdf(spark, sf_dir):
@@ -156,6 +165,7 @@ ORACLE = {
     "global_top_matches": _SCORED + "SELECT test_id, corpus_id, score FROM ranked WHERE rank <= 10 ORDER BY score DESC, test_id, corpus_id LIMIT 100",
     "matches_with_metadata": _SCORED + "SELECT test_id, CAST(rank AS INTEGER) AS rank, corpus_id, score, test_label, corpus_label FROM ranked WHERE rank <= 10",
     "per_test_score_stats": _SCORED + f"SELECT test_id, {_STATS} FROM scored GROUP BY test_id",
+    "streamed_score_stats": _SCORED + "SELECT test_id, max(score) AS max_score, min(score) AS min_score, round(avg(score), 6) AS mean_score, round(stddev_pop(score), 6) AS std_score, count(*) AS n FROM scored GROUP BY test_id",
     "aggregate_score_stats": _SCORED + ", s AS (SELECT test_id, max(score) AS mx, avg(score) AS av, count(*) AS n FROM scored GROUP BY test_id) SELECT round(avg(mx), 6) AS mean_max, max(mx) AS max_max, min(mx) AS min_max, round(avg(av), 6) AS mean_mean, round(stddev_pop(mx), 6) AS std_max, CAST(sum(n) AS BIGINT) AS comparisons, count(*) AS tests FROM s",
     "topk_cut_scores": _SCORED + "SELECT test_id, " + ", ".join(f"max(CASE WHEN rank = {k} THEN score END) AS top_{k}" for k in (1, 10, 50, 100)) + " FROM ranked GROUP BY test_id",
     "max_similarity_per_item": _SCORED + "SELECT test_id, greatest(0.0, max(score)) AS max_score FROM scored GROUP BY test_id",

@@ -30,7 +30,7 @@ def number_preservation(spark, sf_dir):
 
 
 def pair_metrics(spark, sf_dir):
-    return text_pairs(spark, sf_dir).select("annotation_id", sim.pair_metrics(F.col(A), F.col(B)).alias("m")).select("annotation_id", "m.*")
+    return text_pairs(spark, sf_dir).select("annotation_id", sim.pair_metrics(F.col(A), F.col(B)).alias("m")).select("annotation_id", "m.*").select("*", "overlaps.*").drop("overlaps")
 
 
 def metric_summary(spark, sf_dir):

@@ -202,3 +202,22 @@ def test_set_similarity_join_against_brute_force(spark, threshold):
     got = {(r.a, r.b) for r in joins.set_similarity_join(spark.createDataFrame(rows, "k int, g int, v array<string>"), "k", "g", "v", threshold).collect()}
     want = {(a, b) for a, g, v in rows for b, h, w in rows if a < b and g != h and v and w and len(set(v) & set(w)) / len(set(v) | set(w)) >= threshold}
     assert got == want
+
+
+def test_score_partials_against_all_scores(spark, monkeypatch):
+    draw = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in draw.normal(size=4)]) for i in range(60)]
+    tests, corpus = vectors_of(spark, rows[:7], "test_id"), vectors_of(spark, rows[7:], "corpus_id")
+    monkeypatch.setattr(vectors, "BLOCK_NUMBERS", 12)
+    scores = {}
+    for r in vectors.scored(tests, corpus).collect():
+        scores.setdefault(r.test_id, []).append(round(r.score, 6))
+    got = vectors.score_partials(tests, corpus, 0.0, 1.0, 10)
+    for r in vectors.moments(got).collect():
+        own = np.array(scores[r.test_id])
+        assert (r.n, r.min_score, r.max_score) == (len(own), own.min(), own.max())
+        assert (r.mean_score, r.std_score) == pytest.approx((own.mean(), own.std()), abs=1e-9)
+    bins = {(r.test_id, r.bin): r.n for r in got.collect()}
+    assert bins == {k: v for k, v in Counter((t, -1 if s < 0 else min(9, int(np.floor(s / 0.1)))) for t, own in scores.items() for s in own).items()}
+    clipped = vectors.score_partials(tests, corpus, 0.0, 1.0, 10, clip=True).agg(F.sum("n"), F.min("bin")).first()
+    assert tuple(clipped) == (7 * 53, 0) and vectors.score_partials(tests.limit(0), corpus).count() == 0
