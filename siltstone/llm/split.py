@@ -26,9 +26,10 @@ _DEFINITION = re.compile(r"^(?:async def |def |class |@\w|func |fn |public |priv
 _TURN = re.compile(r"^(?:Prompt|Response|User|Assistant|System|Human|Question|Answer|Q|A):", re.M)
 _ITEM = re.compile(r"^[ \t]*(?:[-*+]|\d+[.)]|[a-z][.)])[ \t]", re.M)
 _SENTENCE = re.compile(r"[.!?\u2026\u3002][\"')\]\u201d\u2019]*(?=[ \t\r\n])")
+_CLAUSE = re.compile(r"[,;:\u2013\u2014](?=[ \t\r\n])")
 _LINE = re.compile(r"\r\n|\n|\r")
 #: Ranks of boundaries, the best first.
-RANKS = ("block", "sentence", "line")
+RANKS = ("block", "sentence", "line", "clause")
 PIECE = "piece int, start long, end long, n_tokens long, cut string"
 
 
@@ -61,7 +62,7 @@ def boundaries(text: str, starts: np.ndarray) -> list[list[int]]:
     block += [m.start() for pattern in (_DEFINITION, _TURN) for m in pattern.finditer(text)]
     sentence = [m.end() for m in _SENTENCE.finditer(text)] + [m.start() for m in _ITEM.finditer(text)]
     line = [m.end() for m in _LINE.finditer(text)]
-    ranked = [[at for at in block if outside(at)], [at for at in sentence if outside(at)], line + [at for at in sentence if not outside(at)]]
+    ranked = [[at for at in block if outside(at)], [at for at in sentence if outside(at)], line + [at for at in sentence if not outside(at)], [m.end() for m in _CLAUSE.finditer(text)]]
     return [sorted({int(x) for x in np.searchsorted(starts, np.array(r, dtype=np.int64))} - {0, len(starts)}) for r in ranked]
 
 
