@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 
@@ -144,3 +145,41 @@ def substituted(solution: Column, plan: Column) -> Column:
     lowered = F.transform_keys(plan, lambda k, v: F.lower(k))
     new = lambda x: F.coalesce(F.try_element_at(plan, x), F.try_element_at(lowered, F.lower(x)), x)
     return F.transform_values(solution, lambda h, traits: F.map_from_entries(F.transform(F.map_entries(traits), lambda e: F.struct(new(e["key"]), new(e["value"])))))
+
+
+_CLUES = re.compile(r"#{1,2} clues?:?[ \t]*\n\s*", re.I)
+_NUMBERED = re.compile(r"\d+\.\s*")
+
+
+def clues_shuffled(text: str | None, seed: int = 0) -> str | None:
+    """A puzzle with its numbered clues in seeded order and numbered anew; lines that go on belong to their clue, what stands
+    behind the clues stays. Unchanged without a heading of clues or without a clue."""
+    heading = _CLUES.search(text or "")
+    if not heading:
+        return text
+    lines = text[heading.end() :].split("\n")
+    clues: list[list[str]] = []
+    rest: list[str] = []
+    for i, line in enumerate(lines):
+        if m := _NUMBERED.match(line):
+            clues.append([line[m.end() :]])
+        elif clues and line.strip():
+            clues[-1].append(line)
+        elif clues and not any(_NUMBERED.match(later) for later in lines[i:]):
+            rest = lines[i:]
+            break
+    if not clues:
+        return text
+    said = ["\n".join(c).strip() for c in clues]
+    order = sorted(range(len(said)), key=lambda i: (hashlib.md5(f"{seed}:{i}:{said[i]}".encode("utf-8", "surrogatepass")).hexdigest(), i))
+    numbered = "\n".join(f"{n}. {said[i]}" for n, i in enumerate(order, 1))
+    tail = "\n".join(rest).strip()
+    return text[: heading.end()] + numbered + ("\n" + tail if tail else "")
+
+
+def shuffled_clues_of(text: Column, seed: int = 0) -> Column:
+    @F.pandas_udf("string")
+    def apply(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: clues_shuffled(t, seed))
+
+    return apply(text)

@@ -132,3 +132,14 @@ def test_numbers(spark):
     kept, precision, recall = similarity.number_preservation(F.col("a"), F.col("b"))
     got = spark.createDataFrame([("1 and 2.5", "2.5 then 1"), ("1 2", "1"), ("x", "y"), ("x", "7")], "a string, b string").select(kept, precision, recall).collect()
     assert [tuple(r) for r in got] == [(True, 1.0, 1.0), (False, 1.0, 0.5), (True, 1.0, 1.0), (False, 0.0, 1.0)]
+
+
+def test_clue_shuffle(spark):
+    puzzle = "Intro\n## Clues:\n1. first\n2. second\nstill second\n3. third\n4. fourth\n\nWhat is it?"
+    got = parsing.clues_shuffled(puzzle, 3)
+    lines = got.split("\n")
+    assert lines[:2] == ["Intro", "## Clues:"] and lines[-1] == "What is it?" and [x[0] for x in lines if x[:2].rstrip(".").isdigit()] == list("1234")
+    assert {x[3:] for x in lines if x[1:2] == "."} == {"first", "second", "third", "fourth"} and "second\nstill second" in got
+    assert parsing.clues_shuffled(puzzle, 3) == got and any(parsing.clues_shuffled(puzzle, s) != got for s in range(4))
+    assert parsing.clues_shuffled("no clues 1. x") == "no clues 1. x" and parsing.clues_shuffled(None) is None
+    assert one(spark, parsing.shuffled_clues_of(F.col("s"), 3), s=puzzle) == got
