@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import os
 import tempfile
 import uuid
 
@@ -15,8 +16,22 @@ MAX_BROADCAST_ROWS = 200_000
 _written: list[tuple[SparkSession, str]] = []
 
 
+#: The folder that holds the package.
+HOME = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+
+
+def reach_workers(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver has it, whatever folder they start in. Where executors don't see that
+    folder, ship the package with --py-files."""
+    known = spark.sparkContext.environment
+    paths = [p for p in known.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if HOME not in paths:
+        known["PYTHONPATH"] = os.pathsep.join([HOME, *paths])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     """One table of a data folder, with only the columns that are named."""
+    reach_workers(spark)
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return df.select(*columns) if columns else df
 
@@ -36,6 +51,7 @@ def shared_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame) -> DataFrame:
     """Write a frame to the shared folder and read it back: cuts the lineage and survives the loss of executors."""
     spark = df.sparkSession
+    reach_workers(spark)
     path = f"{shared_dir(spark)}/siltstone-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written.append((spark, path))
@@ -54,6 +70,7 @@ def _remove_written() -> None:
 
 def spread(df: DataFrame, least: int | None = None) -> DataFrame:
     """Give a scan at least as many partitions as there are cores before costly per-row work; a large scan stays as it is."""
+    reach_workers(df.sparkSession)
     least = least or df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(least) if df.rdd.getNumPartitions() < least else df
 

@@ -6,6 +6,8 @@ import os
 
 from pyspark.sql import SparkSession
 
+from siltstone.runtime import reach_workers
+
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -28,4 +30,5 @@ def local_session(app: str = "siltstone", cores: int | str | None = None, **extr
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    reach_workers(spark)
     return spark
