@@ -110,7 +110,7 @@ def wilcoxon(a, b) -> tuple[float, float]:
 
 
 def shapiro(x) -> tuple[float, float]:
-    """(W, p) of Shapiro and Wilk's test by Royston's approximation, for 3 to 5000 values; NaN where all are equal."""
+    """(W, p) of Shapiro and Wilk's test by Royston's approximation; NaN for less than 3 values and where all are equal. p holds for 3 to 5000 values and is NaN beyond."""
     x = np.sort(np.asarray(x, dtype=float))
     n = len(x)
     if n < 3 or x[0] == x[-1]:
@@ -134,6 +134,8 @@ def shapiro(x) -> tuple[float, float]:
             weights[1], weights[-2] = -second, second
         weights[0], weights[-1] = -last, last
     w = min(1.0, float(weights @ x) ** 2 / float(((x - x.mean()) ** 2).sum()))
+    if n > 5000:
+        return w, math.nan
     if n == 3:
         return w, max(0.0, 6 / math.pi * (math.asin(math.sqrt(w)) - math.asin(math.sqrt(0.75))))
     y = math.log(max(1 - w, 1e-300))
