@@ -1,9 +1,10 @@
 """Problem 6: passages of evaluation items inside corpus texts.
 
-Windows of a fixed number of words are embedded by a CGK random walk: at each of three times as many steps the
-walk writes the word it stands on and moves on or stays by a random bit of step and word. Windows at a small edit
+Windows of a fixed number of words are embedded by a CGK random walk: at each step (three times as many as words, or
+with edits as many as samples are taken from) the walk writes the word it stands on and moves on or stays by a random bit of step and word. Windows at a small edit
 distance so become strings at a small Hamming distance, and bit sampling (the words at a few sampled steps, as a
-key) brings them together. As many samples are drawn as the target recall needs; then the words are compared.
+key) brings them together. As many samples are drawn as the target recall needs for the worst mix of edits; then the
+words are compared.
 Items are a bounded index that every task holds, a block of items at a time; the corpus is read once a block and not
 shuffled.
 """
@@ -13,6 +14,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import combinations_with_replacement
 
 import numpy as np
 import pandas as pd
@@ -129,49 +131,78 @@ class Index:
                 sample.filled = np.zeros(1 << 20, dtype=bool)
                 sample.filled[(keys >> np.uint64(44)).astype(np.int64)] = True
 
+    def edited(self, kinds: tuple[int, ...], trials: int, draw: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+        """(starts, rows) of random windows and of texts that begin with them after edits of these kinds (0 deletion, 1 insertion, 2 substitution)
+        at places of their own. What follows is the item's own next words, or random ones behind its end, so a row is never short of words.
+        Rows at a smaller distance, as where edits cancel, are drawn anew; where that doesn't help, there is no such row.
+        """
+        wide = self.window + self.max_edits
+        starts, rows = draw.choice(self.starts, trials), np.zeros((trials, wide), dtype=np.int32)
+        span, again = np.arange(self.window), np.arange(trials)
+        for _ in range(20):
+            starts[again] = draw.choice(self.starts, len(again))
+            for r in again:
+                row = self.symbols[starts[r] : starts[r] + wide + self.max_edits].tolist()
+                row = row[: row.index(-1)] if -1 in row else row
+                for where, kind in zip(np.sort(draw.choice(self.window, len(kinds), replace=False))[::-1], draw.permutation(kinds), strict=True):
+                    row[where : where + (kind != 1)] = [] if kind == 0 else [int(draw.integers(self.end))]
+                row += draw.integers(self.end, size=max(0, wide - len(row))).tolist()
+                rows[r] = row[:wide]
+            again = again[edit_distance(self.symbols[starts[again][:, None] + span], rows[again]) < len(kinds)]
+            if not len(again):
+                break
+        kept = np.setdiff1d(np.arange(trials), again)
+        return starts[kept], rows[kept]
+
     def enough_walks(self, recall: float, draw: np.random.Generator, seed: int, trials: int = 2000) -> list[tuple[np.ndarray, list[Sample]]]:
-        """Walks with their samples, added until the share recall of windows with max_edits random edits meets its origin.
+        """Walks with their samples, added until of every mix of max_edits kinds of edits the share recall of edited windows meets its origin.
 
-        Windows without an edit meet it in any sample, so then one is enough. self.recall is the share reached.
+        Windows without an edit meet it in any sample, so then one is enough. self.recalls are the shares reached, self.recall the least.
+        Samples take steps from those after which half of the walks are still in words that deletions leave: behind, a text has
+        the next words where the window has its end.
         """
-        steps = 3 * self.window
         sampled = SAMPLED if not self.max_edits else SAMPLED_WITH_EDITS
+        steps = 3 * self.window if not self.max_edits else max(sampled, 2 * (self.window - self.max_edits))
         new = lambda: Sample(np.sort(draw.choice(steps, sampled, replace=False)))
-        self.recall = 1.0
+        self.recall, self.recalls = 1.0, {}
         if not self.max_edits or not len(self.starts):
             return [(walk_bits(self.codes, steps, seed), [new()])]
-        pick = draw.choice(self.starts, trials)
-        wide = self.window + self.max_edits + 1
-        edited = np.full((trials, wide), self.end, dtype=np.int32)
-        for r, p in enumerate(pick):
-            row = list(self.symbols[p : p + self.window])
-            for _ in range(self.max_edits):
-                kind, where = draw.integers(3), draw.integers(len(row))
-                row[where : where + (kind != 1)] = [] if kind == 0 else [int(draw.integers(1, self.end))]
-            edited[r, : len(row)] = row
-        met = np.zeros(trials, dtype=bool)
+        cases = {kinds: self.edited(kinds, trials, draw) for kinds in combinations_with_replacement(range(3), self.max_edits)}
+        cases = {kinds: (*case, np.zeros(len(case[0]), dtype=bool)) for kinds, case in cases.items() if len(case[0])}
         walks: list[tuple[np.ndarray, list[Sample]]] = []
-        while met.mean() < recall and len(walks) < MOST_WALKS:
+        self.recall = 0.0 if cases else 1.0
+        while self.recall < recall or not walks:
+            if len(walks) == MOST_WALKS:
+                raise ValueError(f"{MOST_WALKS} walks find {self.recall:.3f} of the windows with edits of the worst kind, not {recall}")
             bits, samples = walk_bits(self.codes, steps, seed + len(walks)), [new() for _ in range(SAMPLES_A_WALK)]
             walks.append((bits, samples))
-            one = embed(self.symbols, pick, self.window, bits, self.end)
-            two = embed(edited.ravel(), np.arange(trials) * wide, self.window, bits, self.end)
-            for sample in samples:
-                met |= (one[sample.steps] == two[sample.steps]).all(axis=0)
-        self.recall = float(met.mean())
+            for kinds, (pick, rows, met) in cases.items():
+                one = embed(self.symbols, pick, self.window, bits, self.end)
+                two = embed(rows.ravel(), np.arange(len(rows)) * rows.shape[1], self.window, bits, self.end)
+                for sample in samples:
+                    met |= (one[sample.steps] == two[sample.steps]).all(axis=0)
+                self.recalls[kinds] = float(met.mean())
+            self.recall = min(self.recalls.values(), default=1.0)
         return walks
 
     def may_match(self, symbols: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """Which windows have a run of words of an index's window unchanged. With k edits one of k + 1 parts of a window is, so none is lost."""
-        run = self.window // (self.max_edits + 1)
+        """Which windows have as many runs of words of the index's windows as k edits leave. An edit changes q runs of q words at most, so of
+        a window's window - q + 1 runs all but k * q are unchanged in a text within k edits, and none is lost.
+        """
+        most = self.window // (self.max_edits + 1)
         if self.runs is None:
-            inner = np.unique((self.starts[:, None] + np.arange(self.window - run + 1)).ravel())
-            self.runs = np.unique(run_codes(self.symbols.astype(np.uint64), run)[inner])
-        own = run_codes(symbols.astype(np.int64).astype(np.uint64), run)
-        at = np.minimum(np.searchsorted(self.runs, own), len(self.runs) - 1)
-        ahead = np.concatenate([[0], np.cumsum(self.runs[at] == own)])
-        last = np.minimum(starts + self.window + self.max_edits - run + 1, len(own))
-        return ahead[last] > ahead[np.minimum(starts, len(own))]
+            self.runs = {}
+            for run in range(max(1, most - 1), most + 1):
+                inner = np.unique((self.starts[:, None] + np.arange(self.window - run + 1)).ravel())
+                self.runs[run] = np.unique(run_codes(self.symbols.astype(np.uint64), run)[inner])
+        maybe = np.ones(len(starts), dtype=bool)
+        for run, known in self.runs.items():
+            own = run_codes(symbols.astype(np.int64).astype(np.uint64), run)
+            at = np.minimum(np.searchsorted(known, own), len(known) - 1)
+            ahead = np.concatenate([[0], np.cumsum(known[at] == own)])
+            last = np.minimum(starts + self.window + self.max_edits - run + 1, len(own))
+            maybe &= ahead[last] - ahead[np.minimum(starts, len(own))] >= self.window - run + 1 - self.max_edits * run
+        return maybe
 
     def hits(self, symbols: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(place in starts, item, edits) of every window that is within max_edits of an item's window and met it in a sample."""
@@ -241,8 +272,8 @@ def leaked_items(
 
     Only windows count of which no run of shared_run words occurs in another item. edits is the least of all
     windows that matched, windows their number on the row where it is greatest; extra columns are the least value of
-    the key's rows. Without edits every match is found; with edits about the share recall of single windows, and a
-    passage of several windows more surely.
+    the key's rows. Without edits every match is found; with edits about the share recall of single windows with the
+    worst mix of max_edits edits, and other windows and a passage of several windows more surely.
 
     Null keys and texts, and texts shorter than a window, hold nothing; a key on several rows counts once; ties don't
     arise; very long texts go through in blocks of windows; empty tables give an empty result; other columns are ignored.
