@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import math
+from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -11,7 +14,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions.text import normalized
 from siltstone.operators.dedup import keep_first
-from siltstone.runtime import is_small
+from siltstone.runtime import is_small, materialize
 
 
 def hydrate(matches: DataFrame, texts: DataFrame, key: str, text: str, order: str, missing: str | None = None) -> DataFrame:
@@ -102,7 +105,9 @@ def minhash(text: Column, num_perm: int, n: int = 3, seed: int = 1) -> Column:
             out = np.full(len(factors), PRIME, dtype=np.uint64)
             c = np.array([codes[g] for g in {t[i : i + n] for i in range(len(t) - n + 1)}], dtype=np.uint64)
             for at in range(0, len(c), 4096):
-                np.minimum(out, ((c[at : at + 4096, None] * factors + summands) % np.uint64(PRIME)).min(axis=0), out=out)
+                x = c[at : at + 4096, None] * factors + summands
+                x = (x & np.uint64(PRIME)) + (x >> np.uint64(31))  # the same modulo 2^31 - 1, and under twice that
+                np.minimum(out, np.minimum(x, x - np.uint64(PRIME)).min(axis=0), out=out)  # a negative difference wraps to a great value
             return out.astype(np.int64)
 
         return texts.map(of)
@@ -123,20 +128,104 @@ def best_bands(num_perm: int, threshold: float) -> tuple[int, int]:
     return best[1], best[2]
 
 
-def bands_of(df: DataFrame, key: str, signature: str, bands: int, rows: int) -> DataFrame:
-    """(key, band): a hash for each band of the signature."""
-    made = F.array(*(F.xxhash64(F.lit(b), F.slice(signature, b * rows + 1, rows)) for b in range(bands)))
-    return df.where(F.col(signature).isNotNull()).select(key, F.explode(made).alias("band"))
-
-
-def minhash_decontaminated(train: DataFrame, held_out: DataFrame, key: str, text: str, threshold: float = 0.8, num_perm: int = 128, n: int = 3) -> DataFrame:
-    """train without the rows that share a band with any held-out text. A row leaves on its first hit, so candidates are never paired:
-    the held-out bands are made distinct and met by a semi-join."""
-    bands, rows = best_bands(num_perm, threshold)
-    theirs = bands_of(held_out.select(F.lit(0).alias("k"), minhash(F.col(text), num_perm, n).alias("sig")), "k", "sig", bands, rows).select("band").distinct()
-    own = bands_of(train.select(key, minhash(F.col(text), num_perm, n).alias("sig")), key, "sig", bands, rows)
-    hit = own.join(theirs, "band", "left_semi").select(key).distinct()
-    return train.join(hit, key, "left_anti")
+def sure_bands(num_perm: int, threshold: float, miss_at_threshold: float = 1e-4) -> tuple[int, int]:
+    """(bands, rows) with the most rows with which a pair exactly at the threshold shares a band but for this probability; more similar pairs are missed less."""
+    rows = max((r for r in range(1, num_perm + 1) if (1 - threshold**r) ** (num_perm // r) <= miss_at_threshold), default=1)
+    return num_perm // rows, rows
+
+
+def band_codes(signatures: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """[text, band]: a code of each band of the signatures."""
+    codes = np.tile(np.arange(1, bands + 1, dtype=np.uint64), (len(signatures), 1))
+    for r in range(rows):
+        codes = (codes + signatures[:, r : bands * rows : rows].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        codes ^= codes >> np.uint64(29)
+    return codes
+
+
+class HeldOut:
+    """Normalised texts with their bands; their runs of n characters are made when a candidate needs them, and remembered up to a limit."""
+
+    limit = 1_000_000
+
+    def __init__(self, texts: list[str], signatures: np.ndarray, bands: int, rows: int, n: int):
+        self.texts, self.bands, self.rows, self.n = texts, bands, rows, n
+        codes = band_codes(signatures, bands, rows)
+        order = np.argsort(codes, axis=None, kind="stable")
+        self.codes, self.owner = codes.ravel()[order], order // bands
+        self.known: dict[int, set[str]] = {}
+        self.held = 0
+
+    def runs(self, text: str) -> set[str]:
+        return {text[i : i + self.n] for i in range(len(text) - self.n + 1)}
+
+    def runs_of(self, k: int) -> set[str]:
+        if k not in self.known:
+            if self.held > self.limit:
+                self.known, self.held = {}, 0
+            self.known[k] = self.runs(self.texts[k])
+            self.held += len(self.known[k])
+        return self.known[k]
+
+    def candidates(self, signatures: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, held-out text) of all that share a band, each pair once and rows in order."""
+        codes = band_codes(signatures, self.bands, self.rows).ravel()
+        low, high = np.searchsorted(self.codes, codes), np.searchsorted(self.codes, codes, side="right")
+        count = high - low
+        place = np.repeat(low, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        pair = np.unique(np.repeat(np.arange(len(codes)) // self.bands, count) * len(self.texts) + self.owner[place])
+        return np.divmod(pair, len(self.texts))
+
+    def near(self, texts: list[str], signatures: np.ndarray, threshold: float) -> list[int]:
+        """Rows that reach the threshold of Jaccard with a held-out text, by their runs themselves."""
+        hit, last, own = [], -1, set()
+        for row, k in zip(*(x.tolist() for x in self.candidates(signatures)), strict=True):
+            if hit and hit[-1] == row:
+                continue
+            if row != last:
+                last, own = row, self.runs(texts[row])
+            other = self.runs_of(k)
+            if min(len(own), len(other)) / max(len(own), len(other)) >= threshold:
+                common = len(own & other)
+                if common / (len(own) + len(other) - common) >= threshold:
+                    hit.append(row)
+        return hit
+
+
+#: Characters of held-out texts that one index holds; more go through in blocks.
+BLOCK_CHARACTERS = 4_000_000
+
+
+def minhash_decontaminated(
+    train: DataFrame, held_out: DataFrame, key: str, text: str, threshold: float = 0.8, num_perm: int = 128, n: int = 3, miss_at_threshold: float = 1e-4, block_characters: int = BLOCK_CHARACTERS
+) -> DataFrame:
+    """train without the rows whose runs of n characters reach the threshold of Jaccard with any held-out text.
+
+    Candidates share a band of their signatures: a pair exactly at the threshold does but for about miss_at_threshold, a more similar one
+    more surely. They are verified on the runs themselves, so no row under the threshold leaves. The distinct held-out texts are an index
+    that every task holds, a block at a time; train is read once a block and not shuffled. Texts shorter than n have no runs and stay.
+    """
+    bands, rows = sure_bands(num_perm, threshold, miss_at_threshold)
+    spark = train.sparkSession
+    signed = lambda df, *keep: df.select(*keep, normalized(F.col(text)).alias("t")).where(F.length("t") >= n).withColumn("sig", minhash(F.col("t"), num_perm, n))
+    known = materialize(signed(held_out.select(normalized(F.col(text)).alias(text)).distinct()))
+    blocks = max(1, math.ceil((known.agg(F.sum(F.length("t"))).first()[0] or 0) / block_characters))
+    own = signed(train, F.col(key).alias("key"))
+    own = materialize(own) if blocks > 1 else own
+    parts = []
+    for b in range(blocks):
+        found = known.where(F.pmod(F.xxhash64("t"), F.lit(blocks)) == b).orderBy("t").collect()
+        signatures = np.array([r.sig for r in found], dtype=np.int64).reshape(len(found), num_perm)
+        index = spark.sparkContext.broadcast(HeldOut([r.t for r in found], signatures, bands, rows, n))
+
+        def search(batches: Iterator[pd.DataFrame], index=index) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                if len(batch) and index.value.texts:
+                    yield batch.iloc[index.value.near(batch["t"].tolist(), np.stack(batch["sig"].tolist()), threshold)][["key"]]
+
+        parts.append(own.mapInPandas(search, f"key {own.schema['key'].dataType.simpleString()}"))
+    hit = reduce(DataFrame.union, parts).distinct()
+    return train.join(hit.withColumnRenamed("key", key), key, "left_anti")
 
 
 def set_similarity_join(sets: DataFrame, key: str, group: str, values: str, threshold: float) -> DataFrame:
