@@ -8,6 +8,7 @@ probability a*q + (1-a)*(1-q)/(k-1). Both steps alternate until no accuracy move
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -19,7 +20,8 @@ from siltstone.runtime import materialize
 MOST_LABELS = 64
 #: Smoothing: so many verdicts' worth of an accuracy of START; accuracies stay within the bounds.
 PRIOR, START, LOWEST, HIGHEST = 4.0, 0.7, 0.02, 0.98
-ROUNDS, SETTLED = 40, 1e-3
+#: The most rounds, and the move of an accuracy under which they have settled: the six decimals that are reported then have too.
+ROUNDS, SETTLED = 100, 1e-7
 
 
 @dataclass
@@ -54,7 +56,7 @@ def patterns(votes: DataFrame) -> DataFrame:
 
 
 def reweighted(votes: DataFrame, labels: list[str]) -> DataFrame:
-    """(annotator, accuracy) after the rounds have settled."""
+    """(annotator, accuracy) after the rounds have settled; a warning where they end first."""
     k = max(2, len(labels))
     told = materialize(patterns(votes))
     fitted = materialize(votes.select("annotator").distinct().select("annotator", F.lit(START).alias("accuracy")))
@@ -78,6 +80,8 @@ def reweighted(votes: DataFrame, labels: list[str]) -> DataFrame:
         fitted = after.select("annotator", "accuracy")
         if change is None or change < SETTLED:
             break
+    else:
+        warnings.warn(f"accuracies still move by {change:.1e} after {ROUNDS} rounds", stacklevel=2)
     return fitted
 
 
