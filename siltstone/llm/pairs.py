@@ -106,10 +106,12 @@ def comments(code: str) -> list[str]:
 
 def language(text: str) -> str | None:
     """The language of a text by its script, or by its function words; None where they are too few or don't decide."""
-    letters = [ch for ch in text if ch.isalpha()]
-    if len(letters) < 8:
+    letters = Counter(ch for ch in text if ch.isalpha())
+    if letters.total() < 8:
         return None
-    scripts = Counter(unicodedata.name(ch, "?").split(" ")[0] for ch in letters[:: max(1, len(letters) // 400)])
+    scripts: Counter[str] = Counter()
+    for ch, n in letters.items():
+        scripts[unicodedata.name(ch, "?").split(" ")[0]] += n
     script, n = scripts.most_common(1)[0]
     if script != "LATIN":
         return SCRIPTS.get(script) if n * 2 > sum(scripts.values()) else None
