@@ -16,40 +16,24 @@ import unicodedata
 import warnings
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siltstone.llm import declines, language
+from siltstone.llm.language import plain_words
 from siltstone.runtime import materialize, small_side, spread
 
-# Frequent function words of each language, written without accents being removed.
-FUNCTION_WORDS = {
-    "en": "the a of and to in is that it for was on are as with be at by this have from or an not but what all were when which there can their if each another using some no every because until without within into before after while whenever does how than then its only most under between these those you your we they he she i my must will would could should at about",
-    "de": "der die das und ist in den von zu mit sich des auf für im dem nicht ein eine als auch es an werden aus er hat dass sie nach wird bei einer um am sind noch wie einem über einen so zum war haben nur oder aber vor zur bis mehr durch man wenn ob nur wir einmal wurde ohne eines zunächst bevor während jede jeder jedes hörte",
-    "fr": "le la les a de des du et est un une que qui dans en pour sur pas plus par au aux avec ce se il elle sont ou cette ces son sa ses mais comme nous vous être ont été fait tout si dès chaque malgré sauf soit leur ne d l qu j c s afin entre sans avant après alors donc puis ensuite toujours jamais selon plusieurs il y à",
-    "es": "el la los las a de del y es un una que en por para con no se su al lo como más pero sus le ya o este sí porque esta entre cuando muy sin sobre también me hasta hay donde quien desde todo nos durante todos uno les ni contra otros ese eso ante ellos e esto antes algunos cada según así aquella aquel parecía está salvo mientras después hace si",
-    "it": "il a lo la i gli le di a da in con su per tra fra e è un una che non si come ma più anche o se della del dei delle al alla nel nella sono questo questa quando ogni prima dopo senza perché così molto",
-    "pt": "o a os as de do da dos das e é um uma que em no na nos nas por para com não se seu sua ao mais mas como quando muito também já ou este esta isso antes depois cada sem entre até",
-    "nl": "de het een en van in is dat op te zijn met voor niet aan er om dan die deze dit door naar bij ook uit maar als wordt werd elke zonder voordat nadat over tussen nog wel geen",
-}
-WORDS_OF = {lang: frozenset(text.split()) for lang, text in FUNCTION_WORDS.items()}
-SCRIPTS = {"CYRILLIC": "ru", "GREEK": "el", "CJK": "zh", "HIRAGANA": "ja", "KATAKANA": "ja", "HANGUL": "ko", "ARABIC": "ar", "HEBREW": "he", "DEVANAGARI": "hi", "THAI": "th"}
-# Ways to decline, as patterns over lower-case text with plain apostrophes.
-REFUSALS = [
-    r"\b(?:i|we)(?: am|'m| are|'re)? (?:really |truly |very )?(?:sorry|afraid)\b", r"\bapologi(?:es|ze|se)\b", r"\bunfortunately\b", r"\bregrettabl[ey]\b",
-    r"\b(?:i|we) (?:can(?:not|'t| not)|could(?: not|n't)|won't|will not|would(?: not|n't)|must not|may not|shall not|do not|don't|am not|'m not|are not|have to|must|need to|would rather not|prefer not|refuse|decline)\b",
-    r"\b(?:un)?able to (?:provide|help|assist|answer|write|comply|do|give|share|complete|fulfil)", r"\bnot (?:allowed|able|permitted|willing|comfortable|going|in a position|possible)\b", r"\boutside (?:of )?(?:what|my|the scope)\b",
-    r"\bno (?:solution|answer|code|help|assistance|program|response) (?:can|will|could|may|is|shall)\b", r"\bdeclin(?:e|ed|ing)\b", r"\brefus(?:e|al|ing)\b", r"\bagainst (?:my|the|our) (?:policy|policies|guidelines|rules|principles)\b", r"\b(?:as|being) an? (?:ai|automated|language|virtual)\b", r"\bcan't (?:help|assist|do|answer|provide|write)\b", r"\bpass on this\b", r"\bbeyond (?:my|what)\b", r"\bplease ask\b",
-    r"\bes tut mir leid\b", r"\btut mir leid\b", r"\bleider\b", r"\b(?:kann|darf|möchte|werde|will|muss) (?:ich|man|wir)\b", r"\bich (?:kann|darf|möchte|werde|will|muss|bin|lehne|bedaure|bedauere)\b", r"\bablehnen\b", r"\bentschuldig", r"\bnicht (?:erlaubt|gestattet|möglich|helfen|beantworten)\b",
-    r"\bje (?:suis|ne|n'|préfère|dois|regrette|refuse|m'excuse)", r"\bdésolée?\b", r"\bmalheureusement\b", r"\bne m'est pas\b", r"\bil m'est (?:impossible|interdit)\b", r"\bne (?:peux|puis|pouvons|souhaite|veux) pas\b", r"\brefuser?\b",
-    r"\blo (?:siento|lamento)\b", r"\b(?:por desgracia|lamentablemente|desafortunadamente|desgraciadamente)\b", r"\bno (?:puedo|podemos|me es|me está|quiero|debo|voy a|estoy|se me|tengo)\b", r"\bprefiero no\b", r"\bdebo (?:rechazar|declinar|negarme)\b", r"\bme (?:niego|temo|disculpo)\b", r"\bperdón\b",
-    r"\bmi dispiace\b", r"\bpurtroppo\b", r"\bnon (?:posso|sono|mi è)\b", r"\binfelizmente\b", r"\blamento\b", r"\bnão (?:posso|me é|estou)\b", r"\bhelaas\b", r"\bhet spijt me\b", r"\bk сожалению\b", r"\bк сожалению\b", r"\bя не (?:могу|буду)\b", r"\bизвините\b", r"\bλυπάμαι\b", r"\bδεν μπορώ\b",
-]
-_REFUSAL = re.compile("|".join(REFUSALS))
 # Words that only introduce a repeated prompt.
 LABELS = frozenset("q a question prompt task aufgabe frage tâche pregunta tarea input instruction instructions user the is here request problem ask asked you said".split())
-_WORD = re.compile(r"[^\W_]+")
+_UNSEEN = re.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]+")
+_SOLVES = re.compile(r"\bdef +\w+ *\(|\blambda\b[^:\n]*:|^[ \t]*class +\w+ *[:(]|^[ \t]*import +\w+|^[ \t]*from +[\w.]+ +import\b", re.M)
+_DEFINES = re.compile(r"\bdef \w+\(|\blambda\b|\breturn\b.*[\[(=]")
+_STRINGS = re.compile(r'"""(.*?)(?:"""|\Z)|\'\'\'(.*?)(?:\'\'\'|\Z)', re.S)
+_COMMENT = re.compile(r"^\s*(?:#|//)\s?(.*)$|(?<=\s)(?:# |// )(.*)$", re.M)
+_PARAGRAPHS = re.compile(r"\n\s*\n")
 _FENCE = re.compile(r"(?:^|(?<=\n)|(?<=`))[ \t]*```[ \t]*([\w+#.-]*)[ \t]*")
 _CODE = re.compile(r"^\s*(?:async def |def |class |for .+:|while .+:|if .+:|elif .+:|else:|try:|except\b.*:|with .+:|return\b|import \w|from \w+ import|@\w|print\(|[\w.\[\]\"', ]+ ?(?:[-+*/%]|//|\*\*)?= ?\S|[\w.]+\(.*\)\s*$|function |const |let |var |#include|public |private )", re.M)
 _CLOSED = re.compile(r"[.!?…。:;][\"')\]»”’*_`]*$|[\"'`)\]}»”]$")
@@ -57,15 +41,17 @@ _CLOSED = re.compile(r"[.!?…。:;][\"')\]»”’*_`]*$|[\"'`)\]}»”]$")
 SPIKE_TIMES, SPIKE_LEAST, SPIKE_WIDTH = 8.0, 20, 5
 
 
-def visible(text: str) -> str:
-    """Without characters that show nothing: format and control characters, but line ends and tabs."""
-    if text.isascii() and text.isprintable():
-        return text
-    return "".join(ch for ch in text if ch in "\n\t\r" or unicodedata.category(ch) not in ("Cf", "Cc", "Cn"))
+@lru_cache(maxsize=65_536)
+def shows(ch: str) -> bool:
+    return ch in "\n\t\r" or unicodedata.category(ch) not in ("Cf", "Cc", "Cn")
 
 
-def words(text: str) -> list[str]:
-    return _WORD.findall(unicodedata.normalize("NFKC", text).casefold())
+def visible(text: str) -> str:
+    """Without characters that show nothing: format and control characters, but line ends and tabs."""
+    if text.isascii():
+        return _UNSEEN.sub("", text)
+    drop = [ch for ch in set(text) if not shows(ch)]
+    return text.translate(dict.fromkeys(map(ord, drop))) if drop else text
 
 
 def parts(answer: str) -> tuple[str, str, bool]:
@@ -96,33 +82,11 @@ def prose_only(text: str) -> bool:
 
 def comments(code: str) -> list[str]:
     """Comments and bare strings of the code, also of code that doesn't parse."""
-    found = re.findall(r'"""(.*?)(?:"""|\Z)|\'\'\'(.*?)(?:\'\'\'|\Z)', code, re.S)
-    out = [a or b for a, b in found]
-    rest = re.sub(r'""".*?(?:"""|\Z)|\'\'\'.*?(?:\'\'\'|\Z)', "", code, flags=re.S)
-    lines = re.findall(r"^\s*(?:#|//)\s?(.*)$|(?<=\s)(?:# |// )(.*)$", rest, re.M)
-    joined = "\n".join(a or b for a, b in lines)
+    out = [a or b for a, b in _STRINGS.findall(code)]
+    joined = "\n".join(a or b for a, b in _COMMENT.findall(_STRINGS.sub("", code) if out else code))
     return [*out, joined] if joined else out
 
 
-def language(text: str) -> str | None:
-    """The language of a text by its script, or by its function words; None where they are too few or don't decide."""
-    letters = Counter(ch for ch in text if ch.isalpha())
-    if letters.total() < 8:
-        return None
-    scripts: Counter[str] = Counter()
-    for ch, n in letters.items():
-        scripts[unicodedata.name(ch, "?").split(" ")[0]] += n
-    script, n = scripts.most_common(1)[0]
-    if script != "LATIN":
-        return SCRIPTS.get(script) if n * 2 > sum(scripts.values()) else None
-    got = words(text)
-    counts = sorted(((sum(w in known for w in got), lang) for lang, known in WORDS_OF.items()), reverse=True)
-    best, second = counts[0], counts[1]
-    if best[0] < 2 or best[0] == second[0] or best[0] < 0.08 * len(got):
-        return None
-    return best[1]
-
-
 def breaks_off(code: str) -> bool:
     """Whether Python code stops before it is whole. A plain mistake elsewhere in it is none."""
     code = code.rstrip(" \t")
@@ -139,19 +103,20 @@ def breaks_off(code: str) -> bool:
         return bool(tree.body) and isinstance(tree.body[-1], ast.Expr) and isinstance(tree.body[-1].value, ast.Name) and len(tree.body) > 1
     function = functions[-1]
     last = function.body[-1]
-    nodes = list(ast.walk(function))
-    known = {a.arg for x in nodes if isinstance(x, ast.arguments) for a in [*x.posonlyargs, *x.args, *x.kwonlyargs]} | {x.id for x in nodes if isinstance(x, ast.Name) and isinstance(x.ctx, ast.Store)} | {f.name for f in functions}
     if isinstance(last, ast.Expr) and isinstance(last.value, ast.Name):
         return True
     if isinstance(last, ast.Return):
         value = last.value
-        if isinstance(value, ast.Name) and value.id not in known and not hasattr(builtins, value.id):
-            return any(k != value.id and k.startswith(value.id) for k in known | set(dir(builtins)))
-        return False
+        if not isinstance(value, ast.Name) or hasattr(builtins, value.id):
+            return False
+        nodes = list(ast.walk(function))
+        known = {a.arg for x in nodes if isinstance(x, ast.arguments) for a in [*x.posonlyargs, *x.args, *x.kwonlyargs]} | {x.id for x in nodes if isinstance(x, ast.Name) and isinstance(x.ctx, ast.Store)} | {f.name for f in functions}
+        return value.id not in known and any(k.startswith(value.id) for k in known | set(dir(builtins)))
     if isinstance(last, ast.Expr) and isinstance(last.value, ast.Constant):
         return len(function.body) == 1  # a docstring alone
     if isinstance(last, (ast.Raise, ast.Pass, ast.Expr, ast.With, ast.Assert, ast.FunctionDef)):
         return False
+    nodes = list(ast.walk(function))
     if any(isinstance(x, (ast.Yield, ast.YieldFrom, ast.Global, ast.Nonlocal)) for x in nodes):
         return False
     if any(isinstance(x, ast.Call) and isinstance(x.func, ast.Name) and x.func.id == "print" for x in nodes):
@@ -179,40 +144,65 @@ def _stops(code: str, error: SyntaxError) -> bool:
     return at_end
 
 
-def defect(prompt: str | None, answer: str | None, shortened: bool = False, at_limit: bool = False) -> str | None:
-    """The kind of defect of one pair, or None."""
-    prompt, answer = visible(prompt or ""), visible(answer or "")
-    prose, code, still_open = parts(answer)
-    if not (prose + code).strip():
-        return "empty"
-    asked, said = words(prompt), words(prose + "\n" + code)
-    if asked and said and not re.search(r"\bdef \w+\(|\blambda\b|\breturn\b.*[\[(=]", code) and is_copy(asked, said):
-        return "copy"
-    declares = bool(re.search(r"\bdef |\blambda\b|^\s*(?:class|import|from) ", code, re.M))
-    text = prose if not declares else ""
-    notes = comments(code) if code else []
-    if not declares:
-        plain = unicodedata.normalize("NFKC", "\n".join([text, *notes, code])).lower().replace("’", "'")
-        if len(said) <= 80 and _REFUSAL.search(plain):
+class Judge:
+    """The rules, with the fitted profiles of languages and the fitted classifier of refusals."""
+
+    def __init__(self, labelled: list[tuple[str, str]] | None = None, pairs: list[tuple[str | None, str]] | None = None):
+        labelled = labelled or []
+        self.profiles = language.Profiles(labelled)
+        # what a labelled text or a prompt says declines nothing either
+        beside, without = [*language.PASSAGES.values(), *(t for _, t in labelled)], []
+        for prompt, answer in pairs or []:
+            prose, code, _ = parts(visible(answer))
+            beside.append(visible(prompt or ""))
+            if _SOLVES.search(code):
+                beside += [prose, *comments(code)]
+            elif not code.strip():
+                without.append(prose)
+        self.declines = declines.Declines().fit(beside, without)
+
+    def defect(self, prompt: str | None, answer: str | None, shortened: bool = False, at_limit: bool = False) -> str | None:
+        """The kind of defect of one pair, or None."""
+        prompt, answer = visible(prompt or ""), visible(answer or "")
+        prose, code, still_open = parts(answer)
+        if not (prose + code).strip():
+            return "empty"
+        solves = bool(_SOLVES.search(code))
+        if not _DEFINES.search(code):
+            asked, said = plain_words(prompt), plain_words(prose + "\n" + code)
+            if asked and said and is_copy(asked, said):
+                return "copy"
+        notes = comments(code) if code else []
+        if not solves and any(self.declines.declining(t) for t in (prose, *notes)):
             return "refusal"
-    if still_open or (code and breaks_off(code)):
-        return "truncated"
-    marks = list(_FENCE.finditer(answer))
-    # what the answer ends with outside of code
-    tail = answer[marks[-1].end() :].strip() if code and marks else "" if code else prose.strip()
-    # prose behind code is a sentence however short; prose alone may be a bare value
-    sentences = bool(tail) and len(words(tail)) > (0 if declares else 3)
-    if sentences and not _CLOSED.search(tail):
-        return "truncated"
-    natural = bool(code.strip() and answer.endswith("\n")) or answer.rstrip().endswith("```") or bool(_CLOSED.search(answer.rstrip()))
-    if (shortened or at_limit) and not natural:
-        return "truncated"
-    own = language(prompt)
-    if own:
-        for piece in [*re.split(r"\n\s*\n", prose), *notes]:
-            if (other := language(piece)) and other != own:
-                return "language"
-    return None
+        if shortened or still_open or (code and breaks_off(code)):
+            return "truncated"
+        marks = list(_FENCE.finditer(answer))
+        # what the answer ends with outside of code
+        tail = answer[marks[-1].end() :].strip() if code and marks else "" if code else prose.strip()
+        # prose behind code is a sentence however short; prose alone may be a bare value
+        sentences = bool(tail) and len(plain_words(tail)) > (0 if solves else 3)
+        if sentences and not _CLOSED.search(tail):
+            return "truncated"
+        natural = bool(code.strip() and answer.endswith("\n")) or answer.rstrip().endswith("```") or bool(_CLOSED.search(answer.rstrip()))
+        if at_limit and not natural:
+            return "truncated"
+        own = self.profiles.language(prompt)
+        if own:
+            for piece in [*_PARAGRAPHS.split(prose), *notes]:
+                if piece and (other := self.profiles.language(piece, own)) and other != own:
+                    return "language"
+        return None
+
+
+@lru_cache(maxsize=1)
+def plain_judge() -> Judge:
+    """With what the classifiers bring along only."""
+    return Judge()
+
+
+def defect(prompt: str | None, answer: str | None, shortened: bool = False, at_limit: bool = False) -> str | None:
+    return plain_judge().defect(prompt, answer, shortened, at_limit)
 
 
 def is_copy(asked: list[str], said: list[str]) -> bool:
@@ -223,33 +213,58 @@ def is_copy(asked: list[str], said: list[str]) -> bool:
     return extra <= 0.05 * len(said) and held >= 0.6 * len(asked) and len(said) >= 0.6 * len(asked)
 
 
-def shortened_versions(texts: DataFrame, least: int = 20) -> DataFrame:
-    """(text) of every text of least characters or more that is a proper beginning of another.
+def body(answer: Column) -> Column:
+    """What stands in the first fence, also in one that stays open; without a fence the whole answer; without outer white space."""
+    fenced = F.regexp_extract(answer, r"(?s)```[\w+#.-]*[ \t]*\r?\n?(.*?)(?:```|\z)", 1)
+    return F.regexp_replace(F.when(F.contains(answer, F.lit("```")), fenced).otherwise(answer), r"^\s+|\s+$", "")
+
 
-    Texts are sorted in ranges of about equal size. Sorted, a beginning stands right before a text that continues
-    it; the last of a range is held against the first of the next, one row a range.
+def cut_short(text: str, longer: str) -> bool:
+    """Whether a text stops in the middle of a longer one: not where a line of code ends and the next one begins something new."""
+    if len(longer) <= len(text) or not longer.startswith(text):
+        return False
+    if not _CODE.search(text):
+        return True
+    rest = longer[len(text) :]
+    first = rest.lstrip(" \t")
+    if not first.startswith(("\n", "\r")):
+        return not first.startswith(("#", "//"))  # a note at the line's end
+    line = next((x for x in first.splitlines() if x.strip()), "")
+    return line[:1] in (" ", "\t") and not line.lstrip().startswith(("#", "//", '"', "'"))
+
+
+def shortened_versions(texts: DataFrame) -> DataFrame:
+    """(h) of every text that stops in the middle of another of its group. texts: group, text, h (a digest of both).
+
+    Texts are sorted by group and text, in ranges of about equal size. Sorted, a beginning stands right before a text that
+    continues it; the last of a range is held against the first of the next, one row a range.
     """
-    ranges = texts.where(F.col("text").isNotNull()).distinct().repartitionByRange("text").sortWithinPartitions("text").withColumn("range", F.spark_partition_id())
+    ranges = texts.where("text <> ''").distinct().repartitionByRange("group", "text").sortWithinPartitions("group", "text").withColumn("range", F.spark_partition_id())
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         first = before = number = None
         for batch in batches:
             found = []
-            for t, r in zip(batch["text"], batch["range"], strict=True):
+            for g, t, h, r in zip(batch["group"], batch["text"], batch["h"], batch["range"], strict=True):
                 if before is None:
-                    first, number = t, int(r)
-                elif len(before) >= least and t.startswith(before):
-                    found.append(before)
-                before = t
+                    first, number = (g, t), int(r)
+                elif before[0] == g and cut_short(before[1], t):
+                    found.append(before[2])
+                before = (g, t, h)
             if found:
-                yield pd.DataFrame({"kind": "short", "range": number, "text": found, "first": None})
+                yield pd.DataFrame({"h": found, "range": number, "group": 0, "text": None, "first_group": 0, "first": None, "edge": False})
         if before is not None:
-            yield pd.DataFrame({"kind": ["edge"], "range": [number], "text": [before], "first": [first]})
+            yield pd.DataFrame({"h": [before[2]], "range": [number], "group": [before[0]], "text": [before[1]], "first_group": [first[0]], "first": [first[1]], "edge": [True]})
+
+    got = materialize(ranges.mapInPandas(compare, "h binary, range int, group long, text string, first_group long, first string, edge boolean"))
+    following = Window.partitionBy(F.lit(0)).orderBy("range")
+    edges = got.where("edge").withColumn("next_group", F.lead("first_group").over(following)).withColumn("next", F.lead("first").over(following)).where("group = next_group")
 
-    got = materialize(ranges.mapInPandas(compare, "kind string, range int, text string, first string"))
-    edges = got.where("kind = 'edge'").withColumn("next", F.lead("first").over(Window.partitionBy(F.lit(0)).orderBy("range")))
-    across = edges.where((F.char_length("text") >= least) & F.startswith("next", F.col("text")))
-    return got.where("kind = 'short'").select("text").union(across.select("text")).distinct()
+    @F.pandas_udf("boolean")
+    def stops(texts: pd.Series, longer: pd.Series) -> pd.Series:
+        return pd.Series([cut_short(a, b) for a, b in zip(texts, longer, strict=True)], dtype=bool)
+
+    return got.where("not edge").select("h").union(edges.where(stops("text", "next")).select("h")).distinct()
 
 
 def limit_lengths(lengths: DataFrame) -> DataFrame:
@@ -260,23 +275,37 @@ def limit_lengths(lengths: DataFrame) -> DataFrame:
     return seen.where((F.col("own_n") >= SPIKE_LEAST) & (F.col("own_n") > SPIKE_TIMES * F.col("others") / (2 * SPIKE_WIDTH))).select(F.col("own").alias("length"))
 
 
-def defective_pairs(df: DataFrame, key: str, prompt: str, answer: str) -> DataFrame:
+def pairs_sample(rows: DataFrame) -> list[tuple[str | None, str]]:
+    """At most SAMPLE_ROWS pairs (prompt, text) of bounded length, those with the least hashes."""
+    n = rows.count()
+    kept = rows.select("prompt", "text", (F.xxhash64("text", "prompt").cast("double") / F.lit(2.0**64) + 0.5).alias("place"))
+    kept = kept.where(F.char_length("text").between(1, declines.SAMPLE_LENGTH) & (F.coalesce(F.char_length("prompt"), F.lit(0)) <= declines.SAMPLE_LENGTH))
+    kept = kept.where(F.col("place") <= min(1.0, 2 * declines.SAMPLE_ROWS / max(1, n)))
+    return [(r["prompt"], r["text"]) for r in kept.orderBy("place", "text", "prompt").limit(declines.SAMPLE_ROWS).collect()]
+
+
+def defective_pairs(df: DataFrame, key: str, prompt: str, answer: str, labelled: DataFrame | None = None, labelled_text: str = "text", labelled_lang: str = "lang") -> DataFrame:
     """(key, defect): one row for each row of df whose answer is defective.
 
+    Languages are told by profiles fitted on labelled, refusals by a classifier fitted on df's answers, both on bounded samples (SAMPLE_ROWS
+    and SAMPLE_LENGTH of their modules); every row is judged.
     A null, empty or invisible answer is empty; with a null or empty prompt no copy and no foreign language is told; a row
     has the first that holds of empty, copy, refusal, truncated, language; repeated rows are judged alike; answers
     of any length are read whole; an empty table gives an empty result; other columns are ignored.
     """
     rows = df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{prompt}`").alias("prompt"), F.col(f"`{answer}`").alias("text"))
-    length = F.char_length("text").alias("length")
-    short = shortened_versions(rows.select("text")).withColumn("shortened", F.lit(True))
-    limits = limit_lengths(rows.select(length)).withColumn("at_limit", F.lit(True))
-    marked = spread(rows).join(small_side(short), "text", "left").withColumn("length", F.char_length("text")).join(small_side(limits), "length", "left")
+    samples = language.labelled_sample(labelled, labelled_text, labelled_lang) if labelled is not None else []
+    shared = df.sparkSession.sparkContext.broadcast(Judge(samples, pairs_sample(rows)))
+    plain = body(F.col("text"))
+    digest = F.unhex(F.md5(F.concat_ws("\x1f", F.xxhash64("prompt").cast("string"), plain)))
+    short = shortened_versions(rows.where("text is not null").select(F.xxhash64("prompt").alias("group"), plain.alias("text"), digest.alias("h"))).withColumn("shortened", F.lit(True))
+    limits = materialize(limit_lengths(rows.select(F.char_length("text").alias("length")))).withColumn("at_limit", F.lit(True))
+    marked = spread(rows).withColumn("h", digest).join(small_side(short), "h", "left").withColumn("length", F.char_length("text")).join(small_side(limits), "length", "left")
     marked = marked.select("key", "prompt", "text", F.coalesce("shortened", F.lit(False)).alias("shortened"), F.coalesce("at_limit", F.lit(False)).alias("at_limit"))
 
     @F.pandas_udf("string")
     def judge(prompts: pd.Series, texts: pd.Series, shortened: pd.Series, at_limit: pd.Series) -> pd.Series:
-        return pd.Series([defect(*x) for x in zip(prompts, texts, shortened, at_limit, strict=True)], dtype=object)
+        return pd.Series([shared.value.defect(*x) for x in zip(prompts, texts, shortened, at_limit, strict=True)], dtype=object)
 
     judged = marked.select("key", judge("prompt", "text", "shortened", "at_limit").alias("defect"))
     return judged.where(F.col("defect").isNotNull()).select(F.col("key").alias(key), "defect")

@@ -57,7 +57,7 @@ def p3_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pairs.defective_pairs(table(spark, sf_dir, "code_answer", "answer_id", "prompt", "claude_code"), "answer_id", "prompt", "claude_code")
+    return pairs.defective_pairs(table(spark, sf_dir, "code_answer", "answer_id", "prompt", "claude_code"), "answer_id", "prompt", "claude_code", labelled=table(spark, sf_dir, "documents", "text", "lang"))
 
 
 def near_duplicates(spark: SparkSession, sf_dir: str) -> neardup.NearDuplicates:

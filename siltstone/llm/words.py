@@ -7,11 +7,11 @@ import re
 
 import numpy as np
 
-_WORD = re.compile(r"[^\W_]+")
+WORD = re.compile(r"[^\W_]+")
 
 
 def words(text: str | None) -> list[str]:
-    return _WORD.findall(text.lower()) if text else []
+    return WORD.findall(text.lower()) if text else []
 
 
 def word_code(word: str) -> int:

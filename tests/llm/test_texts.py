@@ -42,15 +42,30 @@ def test_defect_table(spark):
 
 def test_shortened_versions_against_brute_force(spark):
     draw = random.Random(1)
-    texts = sorted({"".join(draw.choice("ab") for _ in range(draw.randint(1, 9))) for _ in range(300)})
-    df = spark.createDataFrame([(t,) for t in [*texts, texts[0], None]], "text string")
+    texts = sorted({(draw.randint(1, 2), "".join(draw.choice("ab") for _ in range(draw.randint(1, 9)))) for _ in range(400)})
+    df = spark.createDataFrame([*texts, texts[0], (1, None), (1, "")], "group long, text string").withColumn("h", F.encode(F.concat_ws(":", "group", "text"), "utf-8"))
     for parts in (1, 7):
         spark.conf.set("spark.sql.shuffle.partitions", parts)
-        got = {r.text for r in pairs.shortened_versions(df, least=3).collect()}
-        assert got == {t for t in texts if len(t) >= 3 and any(o != t and o.startswith(t) for o in texts)}
+        got = {bytes(r.h).decode() for r in pairs.shortened_versions(df).collect()}
+        assert got == {f"{g}:{t}" for g, t in texts if any(p == g and o != t and o.startswith(t) for p, o in texts)}
     spark.conf.set("spark.sql.shuffle.partitions", "4")
 
 
+def test_where_a_longer_code_goes_on():
+    code = "def f(x):\n    y = 2 * x\n    return g(y)"
+    assert pairs.cut_short(code, code + " + h(y)") and pairs.cut_short("def f(x):\n    y = 2 * x", code)
+    assert not pairs.cut_short(code, code) and not pairs.cut_short(code, code + "\n\nprint(f(1))") and not pairs.cut_short(code, code + "  # done")
+    assert pairs.cut_short("He counts the letters.", "He counts the letters. Then he adds them.")
+
+
+def test_shortened_rows_are_truncated(spark):
+    fenced = lambda c: f"Here it is:\n\n```python\n{c}\n```"
+    whole, cut = "def f(x):\n    return g(x) + h(x)", "def f(x):\n    return g(x)"
+    rows = [(1, EN, fenced(whole)), (2, EN, cut), (3, EN + " Now.", cut), (4, EN, whole + "\n\nprint(f(2))"), (5, None, cut)]
+    df = spark.createDataFrame(rows, "answer_id long, prompt string, code string")
+    assert [tuple(r) for r in pairs.defective_pairs(df, "answer_id", "prompt", "code").collect()] == [(2, "truncated")]
+
+
 def test_limit_lengths(spark):
     lengths = [n for n in range(50, 150) for _ in range(3)] + [100] * 60
     assert [r.length for r in pairs.limit_lengths(spark.createDataFrame([(n,) for n in lengths], "length int")).collect()] == [100]
