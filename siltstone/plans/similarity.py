@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siltstone.operators import distribution as dist
 from siltstone.operators import vectors as vec
-from siltstone.runtime import table
+from siltstone.runtime import materialize, table
+from siltstone.sources.writers import matches_document
 
 K = 10
 
@@ -19,10 +20,6 @@ def sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return tests, corpus
 
 
-def all_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vec.scored(*sides(spark, sf_dir)).withColumn("score", F.round("score", 6))
-
-
 def rounded(df: DataFrame, *keep: str, places: int = 6) -> DataFrame:
     return df.select(*(F.round(c, places).alias(c) if t == "double" and c not in keep else F.col(c) for c, t in df.dtypes))
 
@@ -47,12 +44,18 @@ def matches_with_metadata(spark, sf_dir):
 
 
 def per_test_score_stats(spark, sf_dir):
-    return rounded(dist.score_stats(all_scores(spark, sf_dir), "test_id"))
+    tests, corpus = sides(spark, sf_dir)
+    partials = materialize(vec.score_partials(tests, corpus, bins=2_000, clip=True))
+    median = vec.score_quantiles(tests, corpus, {"median_score": 50.0}, partials=partials)
+    return rounded(vec.moments(partials).join(median, "test_id"))
 
 
 def streamed_score_stats(spark, sf_dir):
-    """Moments from partial sums: no score leaves its task."""
-    return rounded(vec.moments(vec.score_partials(*sides(spark, sf_dir), bins=1)))
+    """Moments and quantiles from partial sums: no score leaves its task."""
+    tests, corpus = sides(spark, sf_dir)
+    partials = materialize(vec.score_partials(tests, corpus, bins=2_000, clip=True))
+    quantiles = vec.score_quantiles(tests, corpus, {"p50": 50.0, "p90": 90.0, "p95": 95.0, "p99": 99.0}, partials=partials)
+    return rounded(vec.moments(partials).join(quantiles, "test_id"))
 
 
 def aggregate_score_stats(spark, sf_dir):
@@ -71,11 +74,11 @@ def max_similarity_per_item(spark, sf_dir):
 
 
 def similarity_threshold_rates(spark, sf_dir):
-    return rounded(dist.level_rates(all_scores(spark, sf_dir), "test_id", levels=(0.1, 0.2, 0.3, 0.7)))
+    return rounded(vec.score_rates(*sides(spark, sf_dir), levels=(0.1, 0.2, 0.3, 0.7)))
 
 
 def similarity_percentiles(spark, sf_dir):
-    return rounded(dist.percentiles(all_scores(spark, sf_dir), "test_id"))
+    return rounded(vec.score_quantiles(*sides(spark, sf_dir), percents={f"p{p:g}".replace(".", "_"): p for p in dist.PERCENTS}))
 
 
 def similarity_histogram(spark, sf_dir):
@@ -89,26 +92,29 @@ def histogram_percentile_threshold(spark, sf_dir):
     return rounded(dist.counts_threshold(partials.where("bin >= 0").select("test_id", "bin", "n"), total, "test_id", 99.0, -1.0, 1.0, 10_000))
 
 
+def labels_of(tests: DataFrame) -> DataFrame:
+    return tests.select("test_id", F.col("test_label").alias("label"))
+
+
 def similarity_cdf(spark, sf_dir):
     tests, corpus = sides(spark, sf_dir)
-    found = vec.scored(tests, corpus).withColumn("score", F.round("score", 2)).join(tests.select("test_id", F.col("test_label").alias("label")), "test_id")
-    return rounded(dist.empirical_cdf(found, "score", "label"))
+    return rounded(vec.score_cdf(tests, corpus, labels_of(tests), "label"))
 
 
 def top_percentile_sample(spark, sf_dir):
-    return dist.sample_above(all_scores(spark, sf_dir), "test_id", "corpus_id", "score", 3, percent=95.0, seed=7).select("test_id", "corpus_id", "score")
+    tests, corpus = sides(spark, sf_dir)
+    cuts = vec.score_quantiles(tests, corpus, {"cut": 95.0})
+    return vec.score_sample(tests, corpus, 3, cuts, seed=7).select("test_id", "corpus_id", "score")
 
 
 def top_and_random_check(spark, sf_dir):
-    """Five best and five random others of each test."""
-    found = all_scores(spark, sf_dir)
-    from pyspark.sql import Window
-
-    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("test_id").orderBy(F.col("score").desc(), "corpus_id")))
-    best = ranked.where("rank <= 5").select("test_id", "corpus_id", F.lit("best").alias("part"))
-    order = Window.partitionBy("test_id").orderBy(dist.seeded_order(3, "test_id", "corpus_id"), "corpus_id")
-    other = ranked.where("rank > 5").withColumn("pick", F.row_number().over(order)).where("pick <= 5").select("test_id", "corpus_id", F.lit("random").alias("part"))
-    return best.unionByName(other)
+    """Five best and five random others of each test: of ten drawn from all, five at most are among the best."""
+    tests, corpus = sides(spark, sf_dir)
+    best = materialize(vec.top_matches(tests, corpus, k=5).select("test_id", "corpus_id"))
+    others = vec.score_sample(tests, corpus, 10, seed=3).join(best, ["test_id", "corpus_id"], "left_anti")
+    order = Window.partitionBy("test_id").orderBy("pick")
+    random = others.withColumn("place", F.row_number().over(order)).where("place <= 5")
+    return best.withColumn("part", F.lit("best")).unionByName(random.select("test_id", "corpus_id", F.lit("random").alias("part")))
 
 
 def semantic_dedup(spark, sf_dir):
@@ -118,11 +124,7 @@ def semantic_dedup(spark, sf_dir):
 
 def percentile_rank_vs_background(spark, sf_dir):
     tests, corpus = sides(spark, sf_dir)
-    labels = tests.select("test_id", F.col("test_label").alias("label"))
-    found = all_scores(spark, sf_dir).join(labels, "test_id")
-    best = found.groupBy("label", "test_id").agg(F.max("score").alias("best"))
-    background = found.select("label", "score")
-    return rounded(dist.percentile_of(best, background, "best", "score", "label"), "best")
+    return rounded(vec.best_percentiles(tests, corpus, labels_of(tests), "label"), "best")
 
 
 def vector_norms(spark, sf_dir):
@@ -142,12 +144,12 @@ def verify_stored_scores(spark, sf_dir):
 
 def result_json(spark, sf_dir):
     """One JSON document a test: its matches in order and its statistics."""
-    found = all_scores(spark, sf_dir)
-    best = vec.top_matches(*sides(spark, sf_dir), k=3)
-    listed = best.groupBy("test_id").agg(F.sort_array(F.collect_list(F.struct("rank", "score", "corpus_id"))).alias("top"))
-    joined = listed.join(rounded(dist.score_stats(found, "test_id")), "test_id")
-    doc = F.to_json(F.struct("test_id", "top", F.struct("max_score", "n").alias("stats")))
-    return joined.select("test_id", F.get_json_object(doc, "$.top[0].corpus_id").cast("bigint").alias("first_corpus_id"), F.get_json_object(doc, "$.top[2].rank").cast("int").alias("third_rank"), F.get_json_object(doc, "$.stats.n").cast("bigint").alias("n"))
+    tests, corpus = sides(spark, sf_dir)
+    best = vec.top_matches(tests, corpus, k=3).select("test_id", "rank", "score", "corpus_id")
+    stats = vec.moments(vec.score_partials(tests, corpus, bins=1, clip=True)).select("test_id", "max_score", "n")
+    doc = F.col("document")
+    read = matches_document(best, "test_id", stats)
+    return read.select("test_id", F.get_json_object(doc, "$.top[0].corpus_id").cast("bigint").alias("first_corpus_id"), F.get_json_object(doc, "$.top[2].rank").cast("int").alias("third_rank"), F.get_json_object(doc, "$.stats.n").cast("bigint").alias("n"))
 
 
 _SCORED = """
@@ -165,7 +167,7 @@ ORACLE = {
     "global_top_matches": _SCORED + "SELECT test_id, corpus_id, score FROM ranked WHERE rank <= 10 ORDER BY score DESC, test_id, corpus_id LIMIT 100",
     "matches_with_metadata": _SCORED + "SELECT test_id, CAST(rank AS INTEGER) AS rank, corpus_id, score, test_label, corpus_label FROM ranked WHERE rank <= 10",
     "per_test_score_stats": _SCORED + f"SELECT test_id, {_STATS} FROM scored GROUP BY test_id",
-    "streamed_score_stats": _SCORED + "SELECT test_id, max(score) AS max_score, min(score) AS min_score, round(avg(score), 6) AS mean_score, round(stddev_pop(score), 6) AS std_score, count(*) AS n FROM scored GROUP BY test_id",
+    "streamed_score_stats": _SCORED + "SELECT test_id, max(score) AS max_score, min(score) AS min_score, round(avg(score), 6) AS mean_score, round(stddev_pop(score), 6) AS std_score, count(*) AS n, " + ", ".join(f"round(quantile_cont(score, {p / 100}), 6) AS p{p}" for p in (50, 90, 95, 99)) + " FROM scored GROUP BY test_id",
     "aggregate_score_stats": _SCORED + ", s AS (SELECT test_id, max(score) AS mx, avg(score) AS av, count(*) AS n FROM scored GROUP BY test_id) SELECT round(avg(mx), 6) AS mean_max, max(mx) AS max_max, min(mx) AS min_max, round(avg(av), 6) AS mean_mean, round(stddev_pop(mx), 6) AS std_max, CAST(sum(n) AS BIGINT) AS comparisons, count(*) AS tests FROM s",
     "topk_cut_scores": _SCORED + "SELECT test_id, " + ", ".join(f"max(CASE WHEN rank = {k} THEN score END) AS top_{k}" for k in (1, 10, 50, 100)) + " FROM ranked GROUP BY test_id",
     "max_similarity_per_item": _SCORED + "SELECT test_id, greatest(0.0, max(score)) AS max_score FROM scored GROUP BY test_id",

@@ -1,5 +1,6 @@
 """Relational operators on small tables."""
 
+import hashlib
 import random
 from collections import Counter
 
@@ -221,3 +222,39 @@ def test_score_partials_against_all_scores(spark, monkeypatch):
     assert bins == {k: v for k, v in Counter((t, -1 if s < 0 else min(9, int(np.floor(s / 0.1)))) for t, own in scores.items() for s in own).items()}
     clipped = vectors.score_partials(tests, corpus, 0.0, 1.0, 10, clip=True).agg(F.sum("n"), F.min("bin")).first()
     assert tuple(clipped) == (7 * 53, 0) and vectors.score_partials(tests.limit(0), corpus).count() == 0
+
+
+@pytest.mark.parametrize("numbers, batch", [(50_000_000, "10000"), (12, "5")])
+def test_folds_of_scores_against_brute_force(spark, monkeypatch, numbers, batch):
+    """One block and one batch a task, and several of both; equal vectors tie at the edge of the best."""
+    monkeypatch.setattr(vectors, "BLOCK_NUMBERS", numbers)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    draw = np.random.default_rng(4)
+    known = draw.normal(size=(9, 3))
+    rows = [(i, known[i % 9].tolist()) for i in range(60)] + [(None, [1.0, 0.0, 0.0]), (99, None)]
+    tests = spark.createDataFrame([(i, draw.normal(size=3).tolist()) for i in range(7)], "test_id long, embedding array<double>")
+    corpus = spark.createDataFrame(rows, "corpus_id long, embedding array<double>").repartition(3)
+    labels = tests.select("test_id", (F.col("test_id") % 2).alias("label"))
+    unit = lambda v: np.array(v) / np.linalg.norm(v)
+    scores = {t.test_id: {c: round(float(unit(t.embedding) @ unit(v)), 6) for c, v in rows if c is not None and v} for t in tests.collect()}
+    for k in (1, 4, 100):
+        want = sorted((t, i + 1, c) for t, s in scores.items() for i, c in enumerate(sorted(s, key=lambda c: (-s[c], c))[:k]))
+        assert sorted((r.test_id, r["rank"], r.corpus_id) for r in vectors.top_matches(tests, corpus, k=k).collect()) == want
+    got = {r.test_id: (r.p0, r.p37, r.p50, r.p100) for r in vectors.score_quantiles(tests, corpus, {"p0": 0.0, "p37": 37.0, "p50": 50.0, "p100": 100.0}).collect()}
+    for t, s in scores.items():
+        assert got[t] == pytest.approx(np.quantile(list(s.values()), [0, 0.37, 0.5, 1]).tolist(), abs=1e-9)
+    for r in vectors.score_rates(tests, corpus, (0.1, 0.5)).collect():
+        s = list(scores[r.test_id].values())
+        assert (r.n_10, r.n_50) == (sum(x >= 0.1 for x in s), sum(x >= 0.5 for x in s)) and r.pct_50 == pytest.approx(100 * r.n_50 / len(s))
+    pooled = {g: [x for t, s in scores.items() if t % 2 == g for x in s.values()] for g in (0, 1)}
+    for r in vectors.score_cdf(tests, corpus, labels, "label").collect():
+        assert r.cdf == pytest.approx(np.mean(np.round(pooled[r.label], 2) <= r.score + 1e-9), abs=0.04)
+    for r in vectors.best_percentiles(tests, corpus, labels, "label").collect():
+        best = max(scores[r.test_id].values())
+        assert r.best == best and r.pct == pytest.approx(100 * np.mean(np.array(pooled[r.label]) < best))
+    cuts = spark.createDataFrame([(t, 0.2) for t in range(6)], "test_id long, cut double")
+    got = sorted((r.test_id, r.pick, r.corpus_id) for r in vectors.score_sample(tests, corpus, 3, cuts, seed=5).collect())
+    key = lambda t, c: (hashlib.md5(f"5:{t}:{c}".encode()).hexdigest(), c)
+    assert got == sorted((t, i + 1, c) for t, s in scores.items() if t < 6 for i, c in enumerate(sorted((c for c in s if s[c] >= 0.2), key=lambda c: key(t, c))[:3]))
+    assert vectors.score_quantiles(tests.limit(0), corpus, {"p": 50.0}).count() == 0 and vectors.score_sample(tests, corpus.limit(0), 2).count() == 0
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
