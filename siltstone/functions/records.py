@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -110,11 +112,24 @@ def lettered_choices(choices: Column) -> Column:
 
 
 def filled_template(template: str, fields: dict[str, Column]) -> Column:
-    """A template with each {name} replaced by the field; null counts as empty."""
-    out = F.lit(template)
-    for name, value in fields.items():
-        out = F.replace(out, F.lit("{" + name + "}"), F.coalesce(value.cast("string"), F.lit("")))
-    return out
+    """A template with each {name} replaced by the field; null counts as empty. Braces in a field's value are left as they are."""
+    pieces = re.split("(" + "|".join(re.escape("{" + name + "}") for name in fields) + ")", template) if fields else [template]
+    return F.concat(*(F.coalesce(fields[p[1:-1]].cast("string"), F.lit("")) if i % 2 else F.lit(p) for i, p in enumerate(pieces)))
+
+
+def unix_lines(text: Column) -> Column:
+    """Line ends as LF."""
+    return F.regexp_replace(text, r"\r\n?", "\n")
+
+
+def task_prompt(text: Column, tests: Column, most: int = 3, intro: str = "You are an expert Python programmer, and here is your task:", before_tests: str = "Your code should pass these tests:") -> Column:
+    """A task with its first tests, a line each, as the user's turn."""
+    return F.concat_ws("\n", F.lit(intro), text, F.lit(before_tests), F.array_join(F.slice(tests, 1, most), "\n"))
+
+
+def fenced_answer(code: Column, language: str = "python") -> Column:
+    """Code as the assistant's turn: LF line ends, no outer white space, in a fence."""
+    return F.concat(F.lit(f"```{language}\n"), stripped(unix_lines(code)), F.lit("\n```"))
 
 
 def parsed_records(df: DataFrame, settings) -> DataFrame:

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siltstone.functions.statistics import t_two_sided
+
 # Kinds of match, those that count as semantic and as strong duplicates.
 MATCH_TYPES = ("exact", "equivalent", "subset", "superset", "related", "unrelated")
 SEMANTIC = ("equivalent", "subset", "superset")
@@ -102,7 +107,40 @@ def depth_scaling(df: DataFrame, group: str, item: str, score: str, flag: str, o
 
 
 def regression(df: DataFrame, x: str, y: str) -> DataFrame:
-    return df.agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.corr(x, y).alias("r"), F.count(F.lit(1)).alias("n"))
+    """One row: slope, intercept, correlation with its two-sided p by the t distribution, and rows. p is null for fewer than three rows or without spread."""
+    fit = df.agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.try_divide(F.covar_pop(x, y), F.stddev_pop(F.when(F.col(y).isNotNull(), F.col(x))) * F.stddev_pop(F.when(F.col(x).isNotNull(), F.col(y)))).alias("r"), F.count(F.lit(1)).alias("n"))
+
+    @F.pandas_udf("double")
+    def two_sided(r: pd.Series, n: pd.Series) -> pd.Series:
+        t = [math.inf if abs(a) >= 1 else abs(a) * math.sqrt((m - 2) / (1 - a * a)) for a, m in zip(r, n, strict=True)]
+        return pd.Series([0.0 if math.isinf(v) else t_two_sided(v, m - 2) for v, m in zip(t, n, strict=True)], dtype="float64")
+
+    usable = F.col("r").isNotNull() & ~F.isnan("r") & (F.col("n") > 2)
+    return fit.withColumn("p", F.when(usable, two_sided(F.coalesce("r", F.lit(0.0)), F.greatest("n", F.lit(3)))))
+
+
+def demoted(df: DataFrame, flag: str, reason: Column) -> DataFrame:
+    """df with refine_reason, and the flag taken back where there is a reason; demoted tells which rows lost it."""
+    told = df.withColumn("refine_reason", reason)
+    lost = F.coalesce(F.col(flag), F.lit(False)) & (F.col("refine_reason") != "")
+    return told.withColumn("demoted", lost).withColumn(flag, F.coalesce(F.col(flag), F.lit(False)) & ~lost)
+
+
+def readable_pairs(df: DataFrame, kind: str, first: str, second: str) -> DataFrame:
+    """Rows of any kind but unrelated of which both texts say something."""
+    said = lambda c: F.coalesce(F.trim(F.regexp_replace(F.col(c), r"(?U)\s+", " ")) != "", F.lit(False))
+    return df.where((tidy(kind) != "unrelated") & said(first) & said(second))
+
+
+def of_stages(df: DataFrame, stage: str, stages: list[str], order: str = "stage_order") -> DataFrame:
+    """Rows of the stages listed, with the place of each in the list, so that reports keep its order."""
+    place = F.array_position(F.array(*map(F.lit, stages)), F.col(stage)).cast("int")
+    return df.where(F.col(stage).isin(stages)).withColumn(order, place)
+
+
+def grid_complexity(rows: Column, cols: Column) -> Column:
+    """Order of grids: by their cells."""
+    return rows * cols
 
 
 def export_statistics(df: DataFrame) -> DataFrame:

@@ -15,6 +15,17 @@ def keep_first(df: DataFrame, keys: list[str], order: list[str | Column]) -> Dat
     return picked.select("__row.*")
 
 
+def digest(*columns: str | Column) -> Column:
+    """128 bits by which rows of equal values meet, in place of the values themselves: long texts needn't be shuffled."""
+    got = F.to_json(F.struct(*(F.col(c).alias(f"c{i}") if isinstance(c, str) else c.alias(f"c{i}") for i, c in enumerate(columns))))
+    return F.unhex(F.md5(got))
+
+
+def first_keys(df: DataFrame, value: str | Column, key: str) -> DataFrame:
+    """(key) of the first row of each distinct value. A digest and the least key are all that is shuffled."""
+    return df.groupBy(digest(value).alias("__d")).agg(F.min(key).alias(key)).select(key)
+
+
 def merge_unseen(known: DataFrame, new: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """known, and of new the rows with keys that known lacks, once each."""
     fresh = keep_first(new, keys, order).join(known.select(*keys).distinct(), keys, "left_anti")

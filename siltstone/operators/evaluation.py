@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions import statistics as st
@@ -62,8 +62,6 @@ def paired_summary(pairs: DataFrame, keys: list[str]) -> DataFrame:
 def signed_ranks(pairs: DataFrame, keys: list[str]) -> DataFrame:
     """Sums of the ranks of positive and negative differences, average ranks for ties, zeros left out. Ranks come from counts of
     equal sizes, so that the window sees a row a distinct size, not a row a pair."""
-    from pyspark.sql import Window
-
     d = F.round(F.col("a") - F.col("b"), 12)
     sized = pairs.select(*keys, d.alias("d")).where("d <> 0").groupBy(*keys, F.abs("d").alias("size")).agg(F.count(F.lit(1)).alias("c"), F.count_if(F.col("d") > 0).alias("plus"))
     w = Window.partitionBy(*keys).orderBy("size").rowsBetween(Window.unboundedPreceding, -1)
@@ -75,9 +73,17 @@ def significance_stars(p: Column) -> Column:
     return F.when(p.isNull() | F.isnan(p), "").when(p < 0.001, "***").when(p < 0.01, "**").when(p < 0.05, "*").otherwise("")
 
 
-def epoch_of(checkpoint: str, step: int = 167) -> Column:
-    """Epoch of a checkpoint column, halves to even; null for a name like final."""
-    return F.bround(F.expr(f"try_cast(`{checkpoint}` as double)") / step).cast("int")
+def epoch_of(checkpoint: str, step: int = 167, final: int | Column | None = None) -> Column:
+    """Epoch of a checkpoint column: a number, alone or behind `checkpoint-`, over step, halves to even. `final` is the epoch given for it, else null as any other name."""
+    number = F.expr(f"try_cast(regexp_extract(`{checkpoint}`, '^(?:checkpoint-)?([0-9]+(?:[.][0-9]+)?)$', 1) as double)")
+    epoch = F.bround(number / step).cast("int")
+    return F.when(F.col(checkpoint) == "final", final).otherwise(epoch) if final is not None else epoch
+
+
+def with_epochs(df: DataFrame, checkpoint: str, step: int = 167, name: str = "epoch") -> DataFrame:
+    """df with the epoch of its checkpoints; `final` comes one after the greatest of all. That one is an aggregation, so that no window gathers all rows."""
+    greatest = df.agg(F.max(epoch_of(checkpoint, step))).first()[0]
+    return df.withColumn(name, epoch_of(checkpoint, step, F.lit(greatest).cast("int") + 1))
 
 
 def expanded_trials(rates: DataFrame, sample: str, rate: str, n: str) -> DataFrame:

@@ -9,12 +9,15 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions.text import normalized
 from siltstone.operators.dedup import keep_first
-from siltstone.runtime import is_small, materialize
+from siltstone.runtime import materialize
+
+#: Starts of ranges that every task may hold.
+MAX_RANGES = 1_000_000
 
 
 def hydrate(matches: DataFrame, texts: DataFrame, key: str, text: str, order: str, missing: str | None = None) -> DataFrame:
@@ -46,17 +49,42 @@ def metric_comparison(base: DataFrame, tuned: DataFrame, key: str, value: str) -
 
 
 def range_lookup(points: DataFrame, ranges: DataFrame, point: str, start: str, end: str) -> DataFrame:
-    """points with the range [start, end) they fall in; ranges don't overlap and share points' type.
+    """points with the range [start, end) they fall in; ranges don't overlap, hold something and share points' type.
 
-    A set of ranges whose size was checked is broadcast. Beyond that, both sides meet in cells of a width that no range
-    exceeds: a range is sent to the two cells it may touch, a point to its own."""
+    Up to MAX_RANGES ranges, their sorted bounds go to every task and a point finds its range by binary search; the rest is an equi-join on
+    the range's start. Beyond that, points and starts are sorted together in ranges of about equal size, and each point takes the
+    last start at or before it, so that neither a wide range nor a crowded one is a task of its own."""
     inside = (F.col(point) >= F.col(start)) & (F.col(point) < F.col(end))
-    if is_small(ranges):
-        return points.join(F.broadcast(ranges), inside)
-    width = ranges.agg(F.max(F.col(end) - F.col(start))).first()[0] or 1
-    low, high = F.floor(F.col(start) / width), F.floor(F.col(end) / width)
-    cells = ranges.withColumn("__cell", F.explode(F.array_distinct(F.array(low, high))))
-    return points.withColumn("__cell", F.floor(F.col(point) / width)).join(cells, "__cell").where(inside).drop("__cell")
+    clashing = [c for c in ranges.columns if c in points.columns]
+    if clashing:
+        raise ValueError(f"both sides have {clashing}")
+    starts = [r[0] for r in ranges.where(F.col(start).isNotNull()).select(start).distinct().orderBy(start).limit(MAX_RANGES + 1).collect()]
+    if len(starts) <= MAX_RANGES:
+        kind = ranges.schema[start].dataType.simpleString()
+        shared = points.sparkSession.sparkContext.broadcast(np.array(starts))
+
+        @F.pandas_udf(kind)
+        def start_of(values: pd.Series) -> pd.Series:
+            known = shared.value
+            if not len(known):
+                return pd.Series([None] * len(values), dtype=object)
+            place = np.searchsorted(known, values.to_numpy(), side="right") - 1
+            return pd.Series(known[np.maximum(place, 0)]).where(pd.Series(place >= 0) & values.notna().reset_index(drop=True), None)
+
+        found = points.where(F.col(point).isNotNull()).withColumn("__start", start_of(F.col(point)))
+    else:
+        both = points.select(F.col(point).alias("__v"), F.lit(1).alias("__is_point"), F.struct(*points.columns).alias("__row")).where("__v is not null").unionByName(
+            ranges.select(F.col(start).alias("__v"), F.lit(0).alias("__is_point"), F.lit(None).cast(points.schema).alias("__row")).where("__v is not null").distinct()
+        )
+        parts = materialize(both.repartitionByRange("__v").withColumn("__part", F.spark_partition_id()))
+        lasts = parts.where("__is_point = 0").groupBy("__part").agg(F.max("__v").alias("__last"))
+        numbers = parts.select("__part").distinct().join(lasts, "__part", "left")
+        earlier = numbers.select("__part", F.max("__last").over(Window.partitionBy(F.lit(0)).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)).alias("__before"))
+        within = Window.partitionBy("__part").orderBy("__v", "__is_point").rowsBetween(Window.unboundedPreceding, 0)
+        own = F.max(F.when(F.col("__is_point") == 0, F.col("__v"))).over(within)
+        placed = parts.withColumn("__own", own).join(F.broadcast(earlier), "__part").where("__is_point = 1")
+        found = placed.select("__row.*", F.coalesce("__own", "__before").alias("__start"))
+    return found.join(ranges, F.col("__start") == F.col(start)).where(inside).drop("__start")
 
 
 def replaced_slots(base: DataFrame, new: DataFrame, position: str, columns: list[str]) -> DataFrame:

@@ -10,6 +10,8 @@ from siltstone.operators.ranking import ranked
 
 #: Rows up to which a sorted limit takes a sample; it brings them to one task.
 SMALL_SAMPLE = 100_000
+#: Ranks up to which the optimiser limits groups before the exchange.
+GROUP_LIMIT = 1000
 
 
 def uniform_sample(df: DataFrame, item: str, n: int, seed: int = 0) -> DataFrame:
@@ -67,7 +69,11 @@ def balanced_sample(df: DataFrame, kind: str, item: str, n: int, kinds: list[str
     counts = {r[0]: r[1] for r in df.where(F.col(kind).isin(kinds)).groupBy(kind).count().collect()}
     given = quotas(counts, n, kinds)
     quota = F.coalesce(*(F.when(F.col(kind) == k, F.lit(v)) for k, v in given.items()))
-    return per_group_sample(df.where(F.col(kind).isin(kinds)), [kind], item, quota, seed)
+    most = max(given.values(), default=0)
+    if most <= GROUP_LIMIT:  # a constant limit prunes before the exchange: of a kind of any size, each task sends so many rows
+        return per_group_sample(df.where(F.col(kind).isin(kinds)), [kind], item, most, seed).where(F.col("pick") <= quota)
+    # ranks made in ranges, so that no kind is sorted in one task
+    return ranked(df.where(F.col(kind).isin(kinds)), [seeded_order(seed, item), item], kind, "pick").where(F.col("pick") <= quota)
 
 
 def replicated_sample(df: DataFrame, category: str, item: str, n: int, seed: int = 0) -> DataFrame:

@@ -211,6 +211,12 @@ def _wilson(h: str, n: str) -> str:
 _U = "WITH u AS (SELECT *, lower(trim(match_type)) AS kind FROM rater_label WHERE coalesce(trim(error), '') = '' AND match_type IS NOT NULL), c AS (SELECT pair_id, kind, count(*) AS c FROM u GROUP BY 1, 2) "
 _GRID = r"CAST(coalesce(nullif(regexp_extract(test_id, '(\d+)x(\d+)', 1), ''), '0') AS INTEGER) AS grid_rows, CAST(coalesce(nullif(regexp_extract(test_id, '(\d+)x(\d+)', 2), ''), '0') AS INTEGER) AS grid_cols"
 
+# Two-sided p of a correlation: the density of t integrated by Simpson's rule.
+_T = "(abs(corr(x, y)) * sqrt((count(*) - 2) / (1 - corr(x, y) * corr(x, y))))"
+_V = "(count(*) - 2)"
+_DENSITY = f"list_sum([(CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * pow(1 + pow({_T} * i / 2000, 2) / {_V}, -({_V} + 1) / 2.0::DOUBLE) FOR i IN range(0, 2001)])"
+_P_VALUE = f"round(1 - 2 * exp(lgamma(({_V} + 1) / 2.0::DOUBLE) - lgamma({_V} / 2.0::DOUBLE)) / sqrt({_V} * pi()) * {_T} / 6000 * {_DENSITY}, 6)"
+
 ORACLE = {
     "duplicate_rate": _P + "SELECT stage, test_id, count(*) AS n, CAST(sum(dup::INT) AS BIGINT) AS dups, round(avg(dup::INT), 6) AS rate FROM p GROUP BY 1, 2",
     "box_summary": _P + ", r AS (SELECT stage, test_id, sum(dup::INT) / count(*)::DOUBLE AS rate FROM p GROUP BY 1, 2) SELECT stage, count(*) AS n, round(avg(rate), 6) AS mean, round(quantile_cont(rate, 0.05), 6) AS p5, round(quantile_cont(rate, 0.25), 6) AS q1, round(quantile_cont(rate, 0.5), 6) AS median, round(quantile_cont(rate, 0.75), 6) AS q3, round(quantile_cont(rate, 0.95), 6) AS p95 FROM r GROUP BY 1",
@@ -219,7 +225,7 @@ ORACLE = {
     "fixed_bin_rate": _P + ", b AS (SELECT CAST(ceil((score - 0.25::DOUBLE) / 0.03::DOUBLE) AS INTEGER) AS bin, dup FROM p), g AS (SELECT bin, count(*) AS n, CAST(sum(dup::INT) AS BIGINT) AS dups FROM b WHERE bin BETWEEN 1 AND 25 GROUP BY 1) SELECT bin, n, dups, " + _ci("dups", True) + " FROM g",
     "occurrence_rate": _P + ", i AS (SELECT stage, test_id, max(dup::INT) AS has FROM p GROUP BY 1, 2), g AS (SELECT stage, count(*) AS n, CAST(sum(has) AS BIGINT) AS with_dup FROM i GROUP BY 1) SELECT stage, n AS items, with_dup, " + _ci("with_dup", True) + " FROM g",
     "occurrence_by_difficulty": _P + ", i AS (SELECT p.test_id, CAST(floor(rating / 400) * 400 AS INTEGER) AS bin, max(dup::INT) AS has, sum(dup::INT) AS dups FROM p JOIN benchmark_item b ON b.test_id = p.test_id WHERE rating IS NOT NULL GROUP BY 1, 2) SELECT bin, count(DISTINCT test_id) AS tests, CAST(sum(has) AS BIGINT) AS with_dup, round(avg(dups), 6) AS mean_dups, round(stddev_samp(dups), 6) AS std_dups, round(stddev_samp(dups) / sqrt(count(*)), 6) AS se_dups FROM i GROUP BY 1",
-    "difficulty_regression": _P + ", r AS (SELECT p.test_id, rating::DOUBLE AS x, sum(dup::INT) / count(*)::DOUBLE AS y FROM p JOIN benchmark_item b ON b.test_id = p.test_id WHERE rating IS NOT NULL GROUP BY 1, 2) SELECT round(regr_slope(y, x), 6) AS slope, round(regr_intercept(y, x), 6) AS intercept, round(corr(x, y), 6) AS r, count(*) AS n FROM r",
+    "difficulty_regression": _P + ", r AS (SELECT p.test_id, rating::DOUBLE AS x, sum(dup::INT) / count(*)::DOUBLE AS y FROM p JOIN benchmark_item b ON b.test_id = p.test_id WHERE rating IS NOT NULL GROUP BY 1, 2) SELECT round(regr_slope(y, x), 6) AS slope, round(regr_intercept(y, x), 6) AS intercept, round(corr(x, y), 6) AS r, count(*) AS n, " + _P_VALUE + " AS p FROM r",
     "depth_scaling": _P + ", k AS (SELECT stage, test_id, dup AND kind IN ('equivalent', 'subset', 'superset') AS dup, row_number() OVER (PARTITION BY stage, test_id ORDER BY score DESC, annotation_id) AS rk FROM p), f AS (SELECT stage, test_id, min(CASE WHEN dup THEN rk END) AS first FROM k GROUP BY 1, 2), d AS (SELECT *, unnest([1, 10, 100, 500]) AS depth FROM f), g AS (SELECT stage, depth, count(*) AS items, count_if(first <= depth) AS hits FROM d GROUP BY 1, 2) SELECT stage, depth, items, hits, round(hits / items::DOUBLE, 6) AS rate, " + _wilson("hits", "items") + " FROM g",
     "wilson_intervals": _P + ", g AS (SELECT benchmark, count(*) AS n, CAST(sum(dup::INT) AS BIGINT) AS dups FROM p GROUP BY 1) SELECT benchmark, n, dups, round(dups / n::DOUBLE, 6) AS rate, " + _wilson("dups", "n") + " FROM g",
     "annotation_export_stats": "SELECT count(*) AS total, count_if(success) AS succeeded, count_if(NOT success) AS failed, count_if(success AND is_sd) AS duplicates, round(count_if(success AND is_sd) / greatest(count_if(success), 1)::DOUBLE, 6) AS dup_rate, count(DISTINCT CASE WHEN success AND is_sd THEN test_id END) AS tests_affected, round(avg(CASE WHEN success AND confidence > 0 THEN confidence END), 6) AS mean_confidence, round(min(CASE WHEN success AND confidence > 0 THEN confidence END), 6) AS min_confidence, round(max(CASE WHEN success AND confidence > 0 THEN confidence END), 6) AS max_confidence, round(min(CASE WHEN success AND NOT isnan(score) THEN score END), 6) AS min_score, round(max(CASE WHEN success AND NOT isnan(score) THEN score END), 6) AS max_score FROM annotation",

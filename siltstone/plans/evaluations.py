@@ -63,7 +63,7 @@ def expanded_trials(spark, sf_dir):
 
 def checkpoint_epochs(spark, sf_dir):
     rows = table(spark, sf_dir, "events", "event_id").select("event_id", F.when(F.col("event_id") % 100 == 0, "final").otherwise(F.col("event_id").cast("string")).alias("checkpoint"))
-    return rows.select("event_id", ev.epoch_of("checkpoint").alias("epoch"))
+    return ev.with_epochs(rows, "checkpoint").select("event_id", "epoch")
 
 
 def significance_marks(spark, sf_dir):
@@ -104,7 +104,7 @@ ORACLE = {
     "wilcoxon_statistic": _PAIR + ", d AS (SELECT split, round(a - b, 12) AS d FROM p WHERE round(a - b, 12) <> 0), k AS (SELECT *, rank() OVER (PARTITION BY split ORDER BY abs(d)) + (count(*) OVER (PARTITION BY split, abs(d)) - 1) / 2.0::DOUBLE AS rk FROM d) SELECT split, count(*) AS n, round(coalesce(sum(rk) FILTER (d > 0), 0), 6) AS w_plus, round(coalesce(sum(rk) FILTER (d < 0), 0), 6) AS w_minus FROM k GROUP BY 1",
     "trial_numbers": "SELECT event_id, CAST(row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS INTEGER) AS run FROM events",
     "expanded_trials": _T + "SELECT arm, CAST(sum(ok) AS BIGINT) AS correct, count(*) AS trials FROM t GROUP BY 1",
-    "checkpoint_epochs": "SELECT event_id, CAST(CASE WHEN event_id % 100 <> 0 THEN round_even(event_id / 167.0::DOUBLE, 0) END AS INTEGER) AS epoch FROM events",
+    "checkpoint_epochs": "WITH e AS (SELECT event_id, CAST(CASE WHEN event_id % 100 <> 0 THEN round_even(event_id / 167.0::DOUBLE, 0) END AS INTEGER) AS epoch FROM events) SELECT event_id, CAST(coalesce(epoch, (SELECT max(epoch) + 1 FROM e)) AS INTEGER) AS epoch FROM e",
     "significance_marks": "SELECT event_id, CASE WHEN value / 1000 < 0.001 THEN '***' WHEN value / 1000 < 0.01 THEN '**' WHEN value / 1000 < 0.05 THEN '*' ELSE '' END AS mark FROM events",
     "puzzle_cell_accuracy": "SELECT n_regionkey, CAST(count_if(n_nationkey % 7 <> 0) AS INTEGER) AS correct, CAST(count(*) AS INTEGER) AS total FROM nation GROUP BY 1",
 }

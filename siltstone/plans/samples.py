@@ -9,7 +9,7 @@ from siltstone.operators.distribution import seeded_order
 from siltstone.plans.annotations import pairs
 from siltstone.plans.similarity import rounded
 from siltstone.plans.texts import source_of
-from siltstone.runtime import table
+from siltstone.runtime import spread, table
 
 
 def docs(spark, sf_dir):
@@ -88,9 +88,11 @@ def range_file_lookup(spark, sf_dir):
 
 
 def lookup_with_not_found(spark, sf_dir):
-    rows = table(spark, sf_dir, "annotation", "annotation_id", "corpus_id")
-    texts = table(spark, sf_dir, "annotation", "annotation_id", "corpus_id", "corpus_text").where("corpus_text is not null and annotation_id % 2 = 0").withColumnRenamed("annotation_id", "at")
-    got = joins.hydrate(rows, texts, "corpus_id", "corpus_text", "at", "[NOT FOUND]")
+    """Corpus texts of all rows, and of keys that no row has."""
+    rows = table(spark, sf_dir, "annotation", "annotation_id", "corpus_id", "score")
+    asked = rows.select("annotation_id", F.when(F.col("score").isNull(), F.concat("corpus_id", F.lit("?"))).otherwise(F.col("corpus_id")).alias("corpus_id"))
+    texts = table(spark, sf_dir, "annotation", "annotation_id", "corpus_id", "corpus_text").where("corpus_text is not null").withColumnRenamed("annotation_id", "at")
+    got = joins.hydrate(asked, texts, "corpus_id", "corpus_text", "at", "[NOT FOUND]")
     return got.select("annotation_id", F.md5("corpus_text").alias("hash"))
 
 
@@ -125,10 +127,10 @@ def minhash_decontaminate(spark, sf_dir):
 
 
 def minhash_signatures(spark, sf_dir):
-    """The first three values of each item's signature, which SQL can make too."""
-    rows = table(spark, sf_dir, "benchmark_item", "test_id", "text")
-    sig = joins.minhash(F.col("text"), 3)
-    return rows.select("test_id", sig.alias("s")).select("test_id", *(F.col("s")[i].alias(f"h{i}") for i in range(3)))
+    """Signatures of 128 values of all corpus texts, as a digest of their values."""
+    rows = spread(table(spark, sf_dir, "annotation", "annotation_id", "corpus_text").where("corpus_text is not null"))
+    signed = rows.select("annotation_id", joins.minhash(F.col("corpus_text"), 128).alias("s")).where("s is not null")
+    return signed.select("annotation_id", F.md5(F.array_join(F.col("s").cast("array<string>"), ",")).alias("digest"))
 
 
 def union_by_name(spark, sf_dir):
@@ -158,7 +160,9 @@ def _o(seed, item):
 
 _D = "WITH d AS (SELECT doc_id, coalesce(replace(lower(trim(source)), '-', '_'), 'unknown') AS source, content_type FROM documents) "
 _P = "WITH p AS (SELECT annotation_id, lower(trim(dataset)) AS stage, test_id, score, is_sd AS dup, lower(trim(match_type)) AS kind FROM annotation WHERE is_sd IS NOT NULL AND score IS NOT NULL AND NOT isnan(score)) "
-_PERM = joins.permutations(3)
+_SP = r"\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+_PERM = ", ".join(f"{{'a': {a}, 'b': {b}}}" for a, b in joins.permutations(128))
+_RUNS = "list_distinct([substr(t, i, 3) FOR i IN range(1, length(t) - 1)])"
 _GRAM = r"[CAST(('0x' || substr(md5(g), 1, 7)) AS BIGINT) FOR g IN list_distinct([substr(t, i, 3) FOR i IN range(1, length(t) - 1)])]"
 
 ORACLE = {
@@ -177,16 +181,17 @@ ORACLE = {
     "pick_until_budget": "WITH s AS (SELECT doc_id, coalesce(sum(coalesce(strlen(text), 0)) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM documents) SELECT doc_id, CAST(start AS BIGINT) AS start FROM s WHERE start < 200000",
     "file_offsets": _D + ", g AS (SELECT source, count(*) AS rows FROM d GROUP BY 1) SELECT source, rows, CAST(coalesce(sum(rows) OVER (ORDER BY source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM g",
     "range_file_lookup": _D + ", g AS (SELECT source, count(*) AS n FROM d GROUP BY 1), f AS (SELECT source, coalesce(sum(n) OVER (ORDER BY source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a, n FROM g) SELECT doc_id - 1 AS point, source FROM documents JOIN f ON doc_id - 1 >= a AND doc_id - 1 < a + n".replace("SELECT doc_id - 1 AS point, source FROM documents JOIN f", "SELECT x.doc_id - 1 AS point, f.source FROM documents x JOIN f").replace("ON doc_id - 1 >= a AND doc_id - 1", "ON x.doc_id - 1 >= a AND x.doc_id - 1"),
-    "lookup_with_not_found": "WITH t AS (SELECT corpus_id, arg_max(corpus_text, annotation_id) AS t FROM annotation WHERE corpus_text IS NOT NULL AND annotation_id % 2 = 0 GROUP BY 1) SELECT annotation_id, md5(coalesce(t, '[NOT FOUND]')) AS hash FROM annotation LEFT JOIN t USING (corpus_id)",
+    "lookup_with_not_found": "WITH t AS (SELECT corpus_id, arg_max(corpus_text, annotation_id) AS t FROM annotation WHERE corpus_text IS NOT NULL GROUP BY 1) SELECT annotation_id, md5(CASE WHEN score IS NULL THEN '[NOT FOUND]' ELSE coalesce(t, '[NOT FOUND]') END) AS hash FROM annotation LEFT JOIN t USING (corpus_id)",
     "hydrate_matches": "SELECT annotation_id, rating FROM annotation a LEFT JOIN benchmark_item b ON b.test_id = a.test_id",
     "first_split_lookup": "SELECT task_id, arg_min(model, {'a': CASE model WHEN 'model_b' THEN 1 ELSE 2 END, 'b': answer_id}) AS model, arg_min(answer_id, {'a': CASE model WHEN 'model_b' THEN 1 ELSE 2 END, 'b': answer_id}) AS answer_id FROM code_answer WHERE model IN ('model_a', 'model_b') GROUP BY 1",
     "rows_with_tests": "SELECT answer_id, coalesce(task_id IN (SELECT task_id FROM code_answer WHERE tests_passed AND task_id IS NOT NULL), false) AS has_tests FROM code_answer",
     "metric_comparison": "WITH a AS (SELECT o_orderpriority, avg(o_totalprice) AS base FROM orders WHERE o_orderdate < '1995-01-01' GROUP BY 1), b AS (SELECT o_orderpriority, avg(o_totalprice) AS tuned FROM orders WHERE o_orderdate >= '1995-01-01' GROUP BY 1) SELECT o_orderpriority, round(base, 4) AS base, round(tuned, 4) AS tuned, round(tuned - base, 4) AS diff, round(CASE WHEN base = 0 THEN 0 ELSE 100 * (tuned - base) / base END, 4) AS pct FROM a FULL JOIN b USING (o_orderpriority)",
-    "minhash_signatures": rf"WITH n AS (SELECT test_id, trim(regexp_replace(lower(text), '\s+', ' ', 'g')) AS t FROM benchmark_item), c AS (SELECT test_id, {_GRAM} AS c FROM n) SELECT test_id, " + ", ".join(f"list_min([(x * {a} + {b}) % {joins.PRIME} FOR x IN c]) AS h{i}" for i, (a, b) in enumerate(_PERM)) + " FROM c",
+    "minhash_signatures": rf"WITH n AS (SELECT annotation_id, trim(regexp_replace(lower(corpus_text), '[{_SP}]+', ' ', 'g')) AS t FROM annotation WHERE corpus_text IS NOT NULL), c AS (SELECT annotation_id, {_GRAM} AS c FROM n WHERE length(t) >= 3) SELECT annotation_id, md5(array_to_string([list_min([(x * p.a + p.b) % {joins.PRIME} FOR x IN c]) FOR p IN [{_PERM}]], ',')) AS digest FROM c",
+    "minhash_decontaminate": rf"WITH n AS (SELECT 'c' || corpus_id AS id, trim(regexp_replace(lower(max(corpus_text)), '[{_SP}]+', ' ', 'g')) AS t FROM annotation WHERE corpus_text IS NOT NULL GROUP BY corpus_id UNION ALL SELECT 'i' || test_id, trim(regexp_replace(lower(text), '[{_SP}]+', ' ', 'g')) FROM benchmark_item), g AS MATERIALIZED (SELECT id, unnest({_RUNS}) AS g FROM n WHERE length(t) >= 3), z AS (SELECT id, count(*) AS n FROM g GROUP BY 1), k AS (SELECT x.id AS a, y.id AS b, count(*) AS k FROM g x JOIN g y ON x.g = y.g WHERE x.id[1] = 'c' AND y.id[1] = 'i' GROUP BY 1, 2), hit AS (SELECT a FROM k JOIN z p ON p.id = a JOIN z q ON q.id = b WHERE k / (p.n + q.n - k)::DOUBLE >= 0.8) SELECT substr(id, 2) AS corpus_id FROM n WHERE id[1] = 'c' AND id NOT IN (FROM hit)",
     "union_by_name": "SELECT lang, mode, count(*) AS n FROM (SELECT doc_id AS id, lang, NULL AS mode FROM documents UNION ALL SELECT record_id, NULL, mode FROM raw_record) GROUP BY ALL",
     "set_operations": "WITH a AS (SELECT DISTINCT test_id FROM annotation WHERE is_sd), b AS (SELECT DISTINCT test_id FROM benchmark_item) SELECT test_id, 'intersect' AS op FROM (FROM a INTERSECT FROM b) UNION ALL SELECT test_id, 'except' FROM (FROM b EXCEPT FROM a) UNION ALL SELECT test_id, 'union' FROM (FROM a UNION FROM b)",
     "md5_order": f"SELECT doc_id FROM documents ORDER BY {_o('order', 'doc_id')} LIMIT 100",
     "multi_key_sort": _P + "SELECT test_id, score, annotation_id FROM p ORDER BY test_id, score DESC, annotation_id LIMIT 200",
 }
-UNCHECKED = ["minhash_decontaminate"]
+UNCHECKED: list[str] = []
 QUERIES = {name: globals()[name] for name in [*ORACLE, *UNCHECKED]}

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.functions import chunking, parsing, records, text
-from siltstone.operators import dedup
+from siltstone.functions import chunking, parsing, records, text, tokens
+from siltstone.operators import annotation as ann
+from siltstone.operators import dedup, ranking
 from siltstone.plans.similarity import rounded
 from siltstone.runtime import spread, table
 
@@ -20,8 +21,13 @@ def source_of(column: str = "source") -> Column:
 
 
 def length_bounded_docs(spark, sf_dir):
-    n = text.regex_tokens(F.col("text"))
-    return docs(spark, sf_dir).select("doc_id", n.cast("int").alias("tokens")).where("tokens between 50 and 512")
+    """Documents of 50 to 512 tokens by byte-pair encoding."""
+    return spread(docs(spark, sf_dir)).select("doc_id", tokens.bpe_tokens(F.col("text")).alias("tokens")).where("tokens between 50 and 512")
+
+
+def regex_token_counts(spark, sf_dir):
+    """Tokens by the rule that needs no vocabulary."""
+    return docs(spark, sf_dir).select("doc_id", text.regex_tokens(F.col("text")).cast("int").alias("tokens"))
 
 
 def approximate_tokens(spark, sf_dir):
@@ -44,15 +50,25 @@ def refine_reason(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", text.refine_reason(F.col("text")).alias("reason"))
 
 
+def demoted_rows(spark, sf_dir):
+    """Flags of labelled rows taken back where the corpus text is no natural language."""
+    rows = table(spark, sf_dir, "annotation", "annotation_id", "is_sd", "corpus_text").where("corpus_text is not null")
+    return ann.demoted(rows, "is_sd", text.refine_reason(F.col("corpus_text"))).select("annotation_id", "is_sd", "refine_reason", "demoted")
+
+
+def readable_pairs(spark, sf_dir):
+    rows = table(spark, sf_dir, "annotation", "annotation_id", "match_type", "test_text", "corpus_text")
+    return ann.readable_pairs(rows, "match_type", "test_text", "corpus_text").select("annotation_id")
+
+
 def normalized_dedup(spark, sf_dir):
-    rows = docs(spark, sf_dir).where("text is not null").withColumn("norm", text.normalized(F.col("text")))
-    return dedup.keep_first(rows, ["norm"], ["doc_id"]).select("doc_id")
+    return dedup.first_keys(docs(spark, sf_dir).where("text is not null"), text.normalized(F.col("text")), "doc_id")
 
 
 def exact_pair_dedup(spark, sf_dir):
     rows = table(spark, sf_dir, "code_answer", "answer_id", "prompt", "claude_code")
     norm = F.concat_ws("|||", text.normalized(F.coalesce("prompt", F.lit(""))), text.normalized(F.coalesce("claude_code", F.lit(""))))
-    return dedup.keep_first(rows.withColumn("norm", norm), ["norm"], ["answer_id"]).select("answer_id")
+    return dedup.first_keys(rows, norm, "answer_id")
 
 
 def pair_hash_groups(spark, sf_dir):
@@ -61,12 +77,12 @@ def pair_hash_groups(spark, sf_dir):
 
 
 def exact_dedup(spark, sf_dir):
-    return dedup.keep_first(docs(spark, sf_dir).where("text is not null"), ["text"], ["doc_id"]).select("doc_id")
+    return dedup.first_keys(docs(spark, sf_dir).where("text is not null"), "text", "doc_id")
 
 
 def token_totals(spark, sf_dir):
-    rows = docs(spark, sf_dir, "text", "source").where("text is not null")
-    return rows.groupBy(source_of().alias("category")).agg(F.sum(text.regex_tokens(F.col("text")).cast("bigint")).alias("tokens"), F.count(F.lit(1)).alias("docs"))
+    rows = spread(docs(spark, sf_dir, "text", "source")).where("text is not null").select(source_of().alias("category"), tokens.bpe_tokens(F.col("text")).alias("n"))
+    return rows.groupBy("category").agg(F.sum(F.col("n").cast("bigint")).alias("tokens"), F.count(F.lit(1)).alias("docs"))
 
 
 def category_of_path(spark, sf_dir):
@@ -104,7 +120,7 @@ def prepared_chunks(spark, sf_dir):
     """The preparation of a corpus end to end: sanitise, chunk, count, bound, judge, identify."""
     clean = spread(docs(spark, sf_dir, "doc_id", "text", "source")).select("doc_id", source_of().alias("source"), text.sanitize(F.col("text")).alias("text"))
     cut = clean.select("doc_id", "source", F.posexplode(chunking.chunk_array(F.col("text"))).alias("position", "c")).select("doc_id", "source", "position", F.trim("c.text").alias("text"), "c.content_type")
-    sized = cut.where("text <> ''").withColumn("token_size", text.regex_tokens(F.col("text"))).where("token_size between 5 and 512")
+    sized = cut.where("text <> ''").withColumn("token_size", tokens.bpe_tokens(F.col("text"))).where("token_size between 5 and 512")
     return sized.withColumn("is_garbage", text.is_garbage(F.col("text"))).select(text.content_id(F.col("text")).alias("id"), "doc_id", "position", "source", "token_size", "content_type", "is_garbage")
 
 
@@ -196,7 +212,7 @@ def json_metric_summary(spark, sf_dir):
 
 def dynamic_batches(spark, sf_dir):
     """Shards of 64 documents, batched by padded length."""
-    rows = docs(spark, sf_dir).where("text is not null").select("doc_id", F.floor(F.col("doc_id") / 64).alias("shard"), text.regex_tokens(F.col("text")).cast("int").alias("n"))
+    rows = spread(docs(spark, sf_dir)).where("text is not null").select("doc_id", F.floor(F.col("doc_id") / 64).alias("shard"), tokens.bpe_tokens(F.col("text")).alias("n"))
     return chunking.dynamic_batches(rows, "shard", "doc_id", "n", 4096)
 
 
@@ -220,12 +236,9 @@ def cross_source_near_dups(spark, sf_dir):
 
 
 def request_lines(spark, sf_dir):
-    """Annotation requests in numbered batches of 100, as JSON lines."""
-    from pyspark.sql import Window
-
+    """Annotation requests in batches of 100, numbered through in order of annotation_id, as JSON lines."""
     rows = table(spark, sf_dir, "annotation", "annotation_id", "score", "test_id").where("score >= 0.8 and not isnan(score)")
-    # batches by a running number over a range-partitioned order: counts of ranges, then numbers inside them
-    numbered = rows.withColumn("n", F.row_number().over(Window.partitionBy(F.floor(F.col("annotation_id") / 1000)).orderBy("annotation_id")))
+    numbered = ranking.ranked(rows, ["annotation_id"], name="n")
     line = F.to_json(F.struct(F.concat(F.lit("req-"), F.col("annotation_id").cast("string")).alias("custom_id"), F.col("test_id")))
     return numbered.select("annotation_id", F.floor((F.col("n") - 1) / 100).cast("int").alias("batch"), F.get_json_object(line, "$.custom_id").alias("custom_id"))
 
@@ -249,14 +262,38 @@ _SOURCE = "coalesce(replace(lower(trim(source)), '-', '_'), 'unknown')"
 _CHAT = r"""WITH chats AS (SELECT record_id, mode, regexp_extract(text, '(?s)^Prompt: (.*?)\r?\n\r?\nResponse: (.*)$', 1) AS q, regexp_extract(text, '(?s)^Prompt: (.*?)\r?\n\r?\nResponse: (.*)$', 2) AS a FROM raw_record WHERE text LIKE 'Prompt: %') """
 _FENCE = r"(CASE WHEN regexp_matches(claude_code, '(?s)```(?:\w+)?\n?(.*?)\n?```') THEN regexp_extract(claude_code, '(?s)```(?:\w+)?\n?(.*?)\n?```', 1) ELSE claude_code END)"
 
+# Byte-pair encoding in SQL: a token is one character beyond the BMP, so that one step joins the neighbours of least rank wherever they stand in a piece.
+_WHITE = r"\x{09}-\x{0d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+_BEFORE = chr(0x10FFFE)
+BPE = rf"""WITH RECURSIVE vocab AS MATERIALIZED (SELECT hex(from_base64(b)) AS h, id FROM read_csv('{tokens.VOCABULARY}', delim = ' ', header = false, quote = '', escape = '', columns = {{'b': 'VARCHAR', 'id': 'INTEGER'}})),
+merges AS MATERIALIZED (
+  SELECT chr(65536 + x.id) || chr(65536 + y.id) AS p, z.id, chr(65536 + z.id) AS c
+  FROM (SELECT h, id, unnest(range(2, len(h), 2)) AS i FROM vocab WHERE len(h) > 2) z JOIN vocab x ON x.h = substr(z.h, 1, z.i) JOIN vocab y ON y.h = substr(z.h, z.i + 1)),
+letters AS (SELECT map(list(h), list(chr(65536 + id))) AS m FROM vocab WHERE len(h) = 2),
+cut AS MATERIALIZED (
+  SELECT doc_id, unnest(ps) AS piece, unnest(range(len(ps))) AS i
+  FROM (SELECT doc_id, regexp_extract_all(regexp_replace(text, '([{_WHITE}])([^{_WHITE}])', '{_BEFORE}\1\2', 'g'), '''s|''t|''re|''ve|''m|''ll|''d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_WHITE}\p{{L}}\p{{N}}{_BEFORE}]+|[{_WHITE}]+') AS ps FROM documents WHERE text IS NOT NULL)),
+steps AS (
+  SELECT piece, array_to_string([m[x] FOR x IN regexp_extract_all(hex(encode(piece)), '..')], '') AS s, 0 AS n FROM (SELECT DISTINCT piece FROM cut), letters
+  UNION ALL
+  SELECT piece, replace(any_value(s), arg_min(p, merges.id), arg_min(c, merges.id)), any_value(n) + 1
+  FROM (SELECT piece, s, n, unnest([substr(s, k, 2) FOR k IN range(1, length(s))]) AS q FROM steps WHERE length(s) > 1) JOIN merges ON q = p GROUP BY piece),
+done AS (SELECT piece, [unicode(ch) - 65536 FOR ch IN string_split(arg_max(s, n), '')] AS ids FROM steps GROUP BY piece),
+tokens AS (SELECT doc_id, flatten(list(ids ORDER BY i)) AS ids FROM cut JOIN done USING (piece) GROUP BY doc_id)
+"""
 _TOKENS = f"len(regexp_extract_all(text, '{text.TOKEN}'))"
 _PLAIN = f"trim(regexp_replace(text, '{text.URL}', '', 'g'))"
 _PLAIN_WORDS = rf"len(list_filter(regexp_split_to_array({_PLAIN}, '[{_SP}]+'), lambda w: w <> ''))"
 
+_REASON = rf"CASE WHEN coalesce(trim(regexp_replace(text, '[{_SP}]+', ' ', 'g')), '') = '' THEN 'no_text' WHEN regexp_matches(text, '{text.WEB_MARKERS}') THEN 'url' WHEN len(regexp_extract_all({_PLAIN}, '[A-Za-z]')) < 20 THEN 'no_text' WHEN {_PLAIN_WORDS} < 20 THEN 'too_short' WHEN {_FRAC.replace('{0}', _PLAIN)} < 0.10 AND regexp_matches({_PLAIN}, '{text.CODE_MARKERS}') THEN 'pure_code' ELSE '' END"
+
 ORACLE = {
-    "length_bounded_docs": f"SELECT doc_id, CAST({_TOKENS} AS INTEGER) AS tokens FROM documents WHERE {_TOKENS} BETWEEN 50 AND 512",
-    "token_totals": f"SELECT {_SOURCE} AS category, CAST(sum({_TOKENS}) AS BIGINT) AS tokens, count(*) AS docs FROM documents WHERE text IS NOT NULL GROUP BY 1",
-    "refine_reason": rf"SELECT doc_id, CASE WHEN coalesce(trim(regexp_replace(text, '[{_SP}]+', ' ', 'g')), '') = '' THEN 'no_text' WHEN regexp_matches(text, '{text.WEB_MARKERS}') THEN 'url' WHEN len(regexp_extract_all({_PLAIN}, '[A-Za-z]')) < 20 THEN 'no_text' WHEN {_PLAIN_WORDS} < 6 THEN 'too_short' WHEN {_FRAC.replace('{0}', _PLAIN)} < 0.05 AND regexp_matches({_PLAIN}, '{text.CODE_MARKERS}') THEN 'pure_code' ELSE '' END AS reason FROM documents",
+    "length_bounded_docs": BPE + "SELECT doc_id, CAST(len(ids) AS INTEGER) AS tokens FROM tokens WHERE len(ids) BETWEEN 50 AND 512",
+    "regex_token_counts": f"SELECT doc_id, CAST(coalesce({_TOKENS}, 0) AS INTEGER) AS tokens FROM documents",
+    "token_totals": BPE + f"SELECT {_SOURCE} AS category, CAST(coalesce(sum(len(ids)), 0) AS BIGINT) AS tokens, count(*) AS docs FROM documents LEFT JOIN tokens USING (doc_id) WHERE text IS NOT NULL GROUP BY 1",
+    "refine_reason": f"SELECT doc_id, {_REASON} AS reason FROM documents",
+    "demoted_rows": f"WITH r AS (SELECT annotation_id, coalesce(is_sd, false) AS flag, {_REASON.replace('(text', '(corpus_text').replace('text IS', 'corpus_text IS')} AS refine_reason FROM annotation WHERE corpus_text IS NOT NULL) SELECT annotation_id, flag AND refine_reason = '' AS is_sd, refine_reason, flag AND refine_reason <> '' AS demoted FROM r",
+    "readable_pairs": rf"SELECT annotation_id FROM annotation WHERE lower(trim(match_type)) <> 'unrelated' AND trim(regexp_replace(test_text, '[{_SP}]+', ' ', 'g')) <> '' AND trim(regexp_replace(corpus_text, '[{_SP}]+', ' ', 'g')) <> ''",
     "approximate_tokens": rf"SELECT doc_id, round(len(list_filter(regexp_split_to_array(text, '[{_SP}]+'), lambda w: w <> '')) * 1.3::DOUBLE, 6) AS tokens FROM documents WHERE text IS NOT NULL",
     "content_hash_ids": "SELECT sha256(text) AS id, count(*) AS n, min(doc_id) AS first_doc_id FROM documents WHERE text IS NOT NULL GROUP BY 1",
     "alpha_ratio": rf"SELECT doc_id, round(coalesce(length(regexp_replace(text, '[^\p{{L}}]', '', 'g')) / nullif(length(regexp_replace(text, '[{_SP}]', '', 'g')), 0)::DOUBLE, 0.0), 6) AS alpha FROM documents WHERE text IS NOT NULL",
@@ -280,7 +317,7 @@ ORACLE = {
     "answer_letters": r"WITH r AS (SELECT annotation_id, translate(lower(trim(match_type)), 'esru', 'abcd') AS m, annotation_id % 5 AS k FROM annotation WHERE match_type IS NOT NULL) SELECT annotation_id, CASE WHEN m[1] IN ('a', 'b', 'c', 'd') THEN upper(m[1]) END AS announced, CAST(CASE WHEN k BETWEEN 1 AND 4 THEN k END AS INTEGER) AS choice, 'B' AS letter FROM r",
     "verdict_json": "SELECT annotation_id, is_sd AS is_duplicate, lower(trim(match_type)) AS match_type, round(confidence, 6) AS confidence FROM annotation WHERE is_sd IS NOT NULL",
     "json_metric_summary": "SELECT event_type, key, count(v) AS n, count(DISTINCT v) AS distinct_values FROM (SELECT event_type, unnest(json_keys(props)) AS key, props FROM events), LATERAL (SELECT json_extract_string(props, '$.' || key) AS v) GROUP BY ALL",
-    "request_lines": "SELECT annotation_id, CAST((row_number() OVER (PARTITION BY annotation_id // 1000 ORDER BY annotation_id) - 1) // 100 AS INTEGER) AS batch, 'req-' || annotation_id AS custom_id FROM annotation WHERE score >= 0.8 AND NOT isnan(score)",
+    "request_lines": "SELECT annotation_id, CAST((row_number() OVER (ORDER BY annotation_id) - 1) // 100 AS INTEGER) AS batch, 'req-' || annotation_id AS custom_id FROM annotation WHERE score >= 0.8 AND NOT isnan(score)",
     "dedup_report": f"WITH r AS (SELECT doc_id, {_SOURCE} AS source, text AS e, {_norm('text')} AS n FROM documents WHERE text IS NOT NULL), m AS (SELECT *, min(doc_id) OVER (PARTITION BY e) AS ei, min(doc_id) OVER (PARTITION BY n) AS ni FROM r) SELECT source, count(*) AS docs, count_if(doc_id = ei) AS exact_kept, count_if(doc_id = ni) AS norm_kept, round(100 * (count(*) - count_if(doc_id = ni)) / count(*)::DOUBLE, 6) AS removed_pct FROM m GROUP BY 1",
     "cross_source_near_dups": rf"WITH w AS (SELECT doc_id, {_SOURCE} AS source, regexp_extract_all(lower(text), '[\p{{L}}\p{{M}}\p{{N}}_]+') AS ws FROM documents WHERE text IS NOT NULL), g AS (SELECT DISTINCT doc_id, source, unnest([array_to_string(list_slice(ws, i, i + 4), ' ') FOR i IN range(1, len(ws) - 3)]) AS x FROM w WHERE len(ws) >= 5), n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY 1), c AS (SELECT p.doc_id AS a, q.doc_id AS b, count(*) AS c FROM g p JOIN g q ON p.x = q.x AND p.doc_id < q.doc_id AND p.source <> q.source GROUP BY 1, 2) SELECT a, b, round(c / (x.n + y.n - c)::DOUBLE, 6) AS similarity FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE c / (x.n + y.n - c)::DOUBLE >= 0.5",
     "quality_stats": "SELECT content_type, CAST(min(length(text)) AS INTEGER) AS least, CAST(max(length(text)) AS INTEGER) AS most, count_if(text = '') AS empty, count_if(text IS NULL) AS missing FROM documents GROUP BY 1",

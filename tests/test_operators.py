@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siltstone.functions.statistics import average_ranks
+from siltstone.functions.text import refine_reason
 from siltstone.operators import annotation, dedup, distribution, evaluation, joins, ranking, sampling, vectors
 from siltstone.streaming import incremental
 
@@ -116,7 +117,7 @@ def test_range_lookup_both_ways(spark, monkeypatch):
     points = spark.range(310).select(F.col("id").cast("int").alias("p"))
     want = {(p, p // 10) for p in range(300) if p % 10 <= (p // 10) % 10}
     assert {(x.p, x.r) for x in joins.range_lookup(points, ranges, "p", "a", "b").collect()} == want
-    monkeypatch.setattr(joins, "is_small", lambda df: False)
+    monkeypatch.setattr(joins, "MAX_RANGES", 5)
     assert {(x.p, x.r) for x in joins.range_lookup(points, ranges, "p", "a", "b").collect()} == want
 
 
@@ -258,3 +259,42 @@ def test_folds_of_scores_against_brute_force(spark, monkeypatch, numbers, batch)
     assert got == sorted((t, i + 1, c) for t, s in scores.items() if t < 6 for i, c in enumerate(sorted((c for c in s if s[c] >= 0.2), key=lambda c: key(t, c))[:3]))
     assert vectors.score_quantiles(tests.limit(0), corpus, {"p": 50.0}).count() == 0 and vectors.score_sample(tests, corpus.limit(0), 2).count() == 0
     spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_ranges_of_very_different_widths(spark, monkeypatch):
+    draw = random.Random(3)
+    cuts = sorted(draw.sample(range(100_000), 60)) + [10**9]
+    rows = [(k, a, b - (k % 3)) for k, (a, b) in enumerate(zip(cuts, cuts[1:])) if b - k % 3 > a]
+    ranges = spark.createDataFrame(rows, "r int, a long, b long").repartition(3)
+    points = spark.createDataFrame([(draw.randrange(-5, 120_000),) for _ in range(500)] + [(None,), (10**8,)], "p long").repartition(4)
+    want = sorted((x.p, r) for x in points.collect() if x.p is not None for r, a, b in rows if a <= x.p < b)
+    for most in (1000, 3):
+        monkeypatch.setattr(joins, "MAX_RANGES", most)
+        got = joins.range_lookup(points, ranges, "p", "a", "b")
+        assert sorted((x.p, x.r) for x in got.collect()) == want
+        assert "NestedLoop" not in got._jdf.queryExecution().toString() and joins.range_lookup(points, ranges.limit(0), "p", "a", "b").count() == 0
+
+
+def test_balanced_sample_of_large_quotas(spark):
+    df = spark.range(5000).select(F.col("id"), F.when(F.col("id") % 10 < 7, "a").otherwise("b").alias("kind"))
+    got = sampling.balanced_sample(df, "kind", "id", 4000, ["a", "b", "c"], 1).groupBy("kind").count().collect()
+    assert {r.kind: r["count"] for r in got} == {"a": 2500, "b": 1500}
+
+
+def test_orders_and_reasons(spark):
+    df = spark.createDataFrame([("s2", True, "word " * 30 + "http://x.y"), ("s1", True, "it is the case that " * 6), ("s3", None, None), ("s0", False, "")], "stage string, dup boolean, text string")
+    got = {r.stage: (r.dup, r.demoted) for r in annotation.demoted(df, "dup", refine_reason(F.col("text"))).collect()}
+    assert got == {"s2": (False, True), "s1": (True, False), "s3": (False, False), "s0": (False, False)}
+    assert [(r.stage, r.stage_order) for r in annotation.of_stages(df, "stage", ["s1", "s2", "gone"]).orderBy("stage_order").collect()] == [("s1", 1), ("s2", 2)]
+    kinds = spark.createDataFrame([(" Exact", "a", "b"), ("unrelated", "a", "b"), ("exact", " ", "b"), ("exact", "a", None)], "k string, x string, y string")
+    assert annotation.readable_pairs(kinds, "k", "x", "y").count() == 1
+
+
+def test_epochs_and_regression(spark):
+    df = spark.createDataFrame([("checkpoint-167",), ("checkpoint-500",), ("final",), ("best",)], "c string")
+    assert [r.epoch for r in evaluation.with_epochs(df, "c").collect()] == [1, 3, 4, None]
+    assert [r.e for r in df.select(evaluation.epoch_of("c", final=11).alias("e")).collect()] == [1, 3, 11, None]
+    fit = annotation.regression(spark.createDataFrame([(1.0, 2.0), (2.0, 2.5), (3.0, 3.9), (4.0, 3.8), (5.0, 6.0)], "x double, y double"), "x", "y").first()
+    t = fit.r * np.sqrt(3 / (1 - fit.r**2))  # with three degrees of freedom, the distribution has a closed form
+    assert (fit.slope, fit.p) == (pytest.approx(0.93), pytest.approx(1 - 2 / np.pi * (np.arctan(t / np.sqrt(3)) + t * np.sqrt(3) / (t * t + 3))))
+    assert annotation.regression(df.select(F.lit(1.0).alias("x"), F.lit(2.0).alias("y")), "x", "y").first().p is None

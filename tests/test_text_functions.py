@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from siltstone.functions import chunking, parsing, records, similarity, text
+from siltstone.functions import chunking, parsing, records, similarity, text, tokens
 
 
 def one(spark, column, **fields):
@@ -143,3 +143,27 @@ def test_clue_shuffle(spark):
     assert parsing.clues_shuffled(puzzle, 3) == got and any(parsing.clues_shuffled(puzzle, s) != got for s in range(4))
     assert parsing.clues_shuffled("no clues 1. x") == "no clues 1. x" and parsing.clues_shuffled(None) is None
     assert one(spark, parsing.shuffled_clues_of(F.col("s"), 3), s=puzzle) == got
+
+
+def test_templates_line_ends_and_tasks(spark):
+    df = spark.createDataFrame([("{b}", "x\r\ny\r", ["t1", "t2", "t3", "t4"])], "a string, c string, tests array<string>")
+    got = df.select(
+        records.filled_template("{a}-{b}-{c", {"a": F.col("a"), "b": F.lit("B")}).alias("t"), records.unix_lines(F.col("c")).alias("u"),
+        records.task_prompt(F.lit("T"), F.col("tests"), 2, "I", "S").alias("p"), records.fenced_answer(F.col("c")).alias("f"),
+    ).first()
+    assert got.t == "{b}-B-{c" and got.u == "x\ny\n" and got.p == "I\nT\nS\nt1\nt2" and got.f == "```python\nx\ny\n```"
+
+
+def test_token_counts_equal_another_public_encoder(spark):
+    from tokenizers import Tokenizer
+
+    other = Tokenizer.from_file(tokens.VOCABULARY.replace(".tiktoken", ".json"))
+    other.encode_special_tokens = True
+    texts = ["", "Hello  world\n\n  x", "<|endoftext|> plain", "naïve café 漢字 \u200d", "def f(x):\n    return x ** 2 + 10", "we'll can't THEY'RE", "a" * 500]
+    df = spark.createDataFrame([(t,) for t in [*texts, None]], "t string")
+    assert [r.n for r in df.select(tokens.bpe_tokens(F.col("t")).alias("n")).collect()] == [*(len(other.encode(t, add_special_tokens=False).ids) for t in texts), 0]
+
+
+def test_latex_signs():
+    cases = {r"\sum_{i} \times \bmod": "sum_i * mod", r"\sqrt {2}^{10}": "sqrt(2)^(10)", r"\unknown{x} \; y": "unknownx y", "a  \n  b\n\n\n\nc": "a\nb\n\nc", r"\$5": r"\$5"}
+    assert {k: text.plain_latex(k) for k in cases} == cases
