@@ -8,20 +8,25 @@ probability a*q + (1-a)*(1-q)/(k-1). Both steps alternate until no accuracy move
 
 from __future__ import annotations
 
-import warnings
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltstone.runtime import materialize
+from siltstone.operators.ranking import ranked
+from siltstone.runtime import materialize, small_side
 
-#: Labels that may be told apart; each becomes a column of sums.
-MOST_LABELS = 64
+#: Labels whose numbers are given in the driver; more are numbered in ranges.
+LISTED_LABELS = 10_000
 #: Smoothing: so many verdicts' worth of an accuracy of START; accuracies stay within the bounds.
 PRIOR, START, LOWEST, HIGHEST = 4.0, 0.7, 0.02, 0.98
-#: The most rounds, and the move of an accuracy under which they have settled: the six decimals that are reported then have too.
-ROUNDS, SETTLED = 100, 1e-7
+#: The move of an accuracy under which all have settled, and the rounds after which not to have settled is an error.
+SETTLED, ROUNDS = 1e-12, 1000
+#: Verdicts of patterns, times labels, that one task may hold; its rounds are arithmetic on arrays. More go through rounds of aggregations, with the same result.
+TASK_VERDICTS = 4_000_000
 
 
 @dataclass
@@ -38,92 +43,158 @@ def one_verdict_each(df: DataFrame, item: str, annotator: str, label: str, order
     return kept.groupBy("item", "annotator").agg(F.max(F.struct("at", "label")).getField("label").alias("label"))
 
 
-def weight(labels: int) -> Column:
-    return F.log(F.col("accuracy") * (labels - 1) / (1 - F.col("accuracy")))
+def numbered(votes: DataFrame) -> tuple[DataFrame, int]:
+    """(label, code) with codes from 0 in the labels' order, and how many there are."""
+    labels = votes.select("label").distinct()
+    few = [r[0] for r in labels.limit(LISTED_LABELS + 1).collect()]
+    if len(few) > LISTED_LABELS:
+        codes = materialize(ranked(labels, ["label"], name="code").select("label", (F.col("code") - 1).cast("int").alias("code")))
+        return codes, codes.count()
+    return votes.sparkSession.createDataFrame([(x, i) for i, x in enumerate(sorted(few))], "label string, code int"), len(few)
 
 
-def sums(rows: DataFrame, labels: list[str]) -> DataFrame:
-    """For each item the weight of each label (s0, s1, ...) and the number of verdicts. Pre-aggregates, so that an item of any size is spread."""
-    per_label = [F.sum(F.when(F.col("label") == x, F.col("w")).otherwise(0.0)).alias(f"s{k}") for k, x in enumerate(labels)]
-    return rows.groupBy("item").agg(F.count(F.lit(1)).alias("m"), *per_label)
+def weight(labels: int) -> Column:
+    return F.log(F.col("accuracy") * (labels - 1) / (1 - F.col("accuracy")))
 
 
 def patterns(votes: DataFrame) -> DataFrame:
     """Votes of one item for each pattern of votes that occurs, with n, the items of the pattern. An item with one vote tells nothing of its annotator and is left out."""
-    prints = votes.groupBy("item").agg(F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("annotator", "label")).alias("p"), F.bit_xor(F.xxhash64(F.lit(1), "label", "annotator")).alias("q"))
+    prints = votes.groupBy("item").agg(F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("annotator", "code")).alias("p"), F.bit_xor(F.xxhash64(F.lit(1), "code", "annotator")).alias("q"))
     kinds = prints.where("m > 1").groupBy("m", "p", "q").agg(F.min("item").alias("item"), F.count(F.lit(1)).alias("n"))
     return votes.join(kinds.select("item", "n"), "item")
 
 
-def reweighted(votes: DataFrame, labels: list[str]) -> DataFrame:
-    """(annotator, accuracy) after the rounds have settled; a warning where they end first."""
-    k = max(2, len(labels))
-    told = materialize(patterns(votes))
-    fitted = materialize(votes.select("annotator").distinct().select("annotator", F.lit(START).alias("accuracy")))
+def fit(items: np.ndarray, annotators: np.ndarray, codes: np.ndarray, n: np.ndarray, labels: int, settled: float, most_rounds: int) -> np.ndarray:
+    """The accuracy of each annotator, from verdicts given by the numbers of their item, annotator and label."""
+    accuracy = np.full(annotators.max(initial=-1) + 1, START)
+    flat, count, at = items * labels + codes, items.max(initial=-1) + 1, np.arange(len(items))
+    for _ in range(most_rounds):
+        w = np.log(accuracy * (labels - 1) / (1 - accuracy))[annotators]
+        others = np.bincount(flat, w, count * labels).reshape(count, labels)[items]
+        others[at, codes] -= w
+        top = others.max(axis=1, keepdims=True)
+        q = 1 / np.exp(others - top).sum(axis=1)
+        chance = (1 - q) / (labels - 1)
+        slope, agrees = q - chance, others.argmax(axis=1) == codes
+        up, down = np.bincount(annotators, n * slope * (agrees - chance), len(accuracy)), np.bincount(annotators, n * slope * slope, len(accuracy))
+        before, accuracy = accuracy, np.clip((up + PRIOR * START) / (down + PRIOR), LOWEST, HIGHEST)
+        if not len(accuracy) or np.abs(accuracy - before).max() < settled:
+            return accuracy
+    raise RuntimeError(f"accuracies still move by {np.abs(accuracy - before).max():.1e} after {most_rounds} rounds")
+
+
+def fitted_in_a_task(told: DataFrame, labels: int) -> DataFrame:
+    """(annotator, accuracy) by rounds within one task, for verdicts of a checked number."""
+    settled, most_rounds = SETTLED, ROUNDS
+
+    def rounds(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parts = [b for b in batches if len(b)]
+        if parts:
+            votes = pd.concat(parts).sort_values(["item", "annotator"], kind="stable")  # the same sums whatever the partitions
+            names, annotators = np.unique(votes["annotator"].to_numpy(dtype=object), return_inverse=True)
+            items = np.unique(votes["item"].to_numpy(), return_inverse=True)[1]
+            yield pd.DataFrame({"annotator": names, "accuracy": fit(items, annotators, votes["code"].to_numpy(), votes["n"].to_numpy(dtype=float), labels, settled, most_rounds)})
+
+    return told.select("item", "annotator", "code", "n").coalesce(1).mapInPandas(rounds, "annotator string, accuracy double")
+
+
+def by_label(weighted: DataFrame) -> DataFrame:
+    """(item, code, s, c): weight and number of each label's verdicts. Pre-aggregates, so that an item of any size is spread."""
+    return weighted.groupBy("item", "code").agg(F.sum("w").alias("s"), F.count(F.lit(1)).alias("c"))
+
+
+def by_item(sums: DataFrame, labels: int) -> DataFrame:
+    """Of each item: m verdicts, the greatest weights of two labels with the first label of each, how many labels reach the greatest, and z, the
+    sum of exp(weight - greatest) over all labels. A label without verdicts weighs 0."""
+    first = F.struct(F.col("s").alias("s"), (-F.col("code")).alias("k"))
+    tops = sums.groupBy("item").agg(F.sum("c").alias("m"), F.count(F.lit(1)).alias("present"), F.sum("code").alias("codes"), F.max(first).alias("a"), F.max_by(F.struct("s", "code"), first).alias("x"))
+    kept = sums.join(tops, "item")
+    greatest = F.when(F.col("present") < labels, F.greatest(F.col("a.s"), F.lit(0.0))).otherwise(F.col("a.s"))
+    kept = kept.withColumn("top", greatest)
+    rest = kept.groupBy("item").agg(
+        F.first("m").alias("m"), F.first("present").alias("present"), F.first("codes").alias("codes"), F.first("top").alias("top"), F.first("a").alias("a"),
+        F.max(F.when(F.col("code") != -F.col("a.k"), first)).alias("b"), F.count_if(F.col("s") == F.col("top")).alias("ties"), F.sum(F.exp(F.col("s") - F.col("top"))).alias("z"),
+    )
+    absent = labels - F.col("present")
+    return rest.withColumns({"z": F.col("z") + absent * F.exp(-F.col("top")), "ties": F.col("ties") + F.when(F.col("top") == 0, absent).otherwise(0), "absent": absent})
+
+
+def fitted_by_rounds(told: DataFrame, labels: int) -> DataFrame:
+    """(annotator, accuracy) by rounds of aggregations, each written to the shared folder."""
+    known = materialize(told.select("annotator").distinct().withColumn("accuracy", F.lit(START)))
     for _ in range(ROUNDS):
-        weighted = told.join(fitted, "annotator").withColumn("w", weight(k))
-        own = [F.when(F.col("label") == x, F.col("w")).otherwise(0.0) for x in labels]
-        others = F.array(*(F.col(f"s{i}") - w for i, w in enumerate(own)), *([F.lit(0.0)] if len(labels) < 2 else []))
-        seen = weighted.join(sums(weighted, labels), "item").withColumn("others", others).withColumn("top", F.array_max("others"))
-        total = F.aggregate("others", F.lit(0.0), lambda acc, x: acc + F.exp(x - F.col("top")))
-        seen = seen.withColumn("q", 1 / total)
-        chosen = F.array_position("others", F.col("top")) - 1
-        agrees = F.when(chosen == F.array_position(F.array(*map(F.lit, labels)), F.col("label")) - 1, 1.0).otherwise(0.0)
-        chance = (1 - F.col("q")) / (k - 1)
-        slope = F.col("q") - chance
+        weighted = told.join(small_side(known), "annotator").withColumn("w", weight(labels))
+        sums = by_label(weighted)
+        # whether all labels up to the own one have verdicts: then no label without any comes before it
+        upto = F.row_number().over(Window.partitionBy("item").orderBy("code")) if labels > 2 else F.lit(0)
+        seen = weighted.join(sums.select("item", "code", "s", (upto == F.col("code") + 1).alias("full")), ["item", "code"]).join(by_item(sums, labels), "item")
+        own = F.col("s") - F.col("w")
+        other = F.when(F.col("code") == -F.col("a.k"), F.col("b")).otherwise(F.col("a"))
+        # a label without verdicts weighs 0
+        best = F.greatest(F.coalesce(other["s"], F.lit(float("-inf"))), F.when(F.col("absent") > 0, 0.0).otherwise(float("-inf")))
+        top = F.greatest(own, best)
+        z = (F.col("z") - F.exp(F.col("s") - F.col("top")) + F.exp(own - F.col("top"))) * F.exp(F.col("top") - top)
+        q = 1 / z
+        # of equal weights the first label counts
+        before_other = F.coalesce((other["s"] != own) | (F.col("code") < -other["k"]), F.lit(True))
+        agrees = F.when((own > best) | ((own == best) & before_other & ((F.col("absent") == 0) | (own != 0) | F.col("full"))), 1.0).otherwise(0.0)
+        chance = (1 - q) / (labels - 1)
+        slope = q - chance
         new = seen.groupBy("annotator").agg(F.sum(F.col("n") * slope * (agrees - chance)).alias("up"), F.sum(F.col("n") * slope * slope).alias("down"))
-        moved = (F.col("up") + PRIOR * START) / (F.col("down") + PRIOR)
-        # annotators that are only alone on their items keep the start
-        after = fitted.join(new, "annotator", "left").select("annotator", F.coalesce(F.greatest(F.lit(LOWEST), F.least(F.lit(HIGHEST), moved)), "accuracy").alias("accuracy"), F.col("accuracy").alias("before"))
-        after = materialize(after)
+        moved = F.greatest(F.lit(LOWEST), F.least(F.lit(HIGHEST), (F.col("up") + PRIOR * START) / (F.col("down") + PRIOR)))
+        after = materialize(known.withColumnRenamed("accuracy", "before").join(new, "annotator").select("annotator", moved.alias("accuracy"), "before"))
         change = after.agg(F.max(F.abs(F.col("accuracy") - F.col("before")))).first()[0]
-        fitted = after.select("annotator", "accuracy")
+        known = after.select("annotator", "accuracy")
         if change is None or change < SETTLED:
-            break
-    else:
-        warnings.warn(f"accuracies still move by {change:.1e} after {ROUNDS} rounds", stacklevel=2)
-    return fitted
+            return known
+    raise RuntimeError(f"accuracies still move by {change:.1e} after {ROUNDS} rounds")
 
 
-def alpha(votes: DataFrame, labels: list[str]) -> DataFrame:
+def reweighted(votes: DataFrame, labels: int, task_verdicts: int = TASK_VERDICTS) -> DataFrame:
+    """(annotator, accuracy) after the rounds have settled; annotators that are only alone on their items keep the start."""
+    told = materialize(patterns(votes))
+    found = fitted_in_a_task(told, labels) if told.count() * labels <= task_verdicts else fitted_by_rounds(told, labels)
+    every = votes.groupBy("annotator").agg(F.count(F.lit(1)).alias("n"))
+    return materialize(every.join(found, "annotator", "left").select("annotator", "n", F.coalesce("accuracy", F.lit(START)).alias("accuracy")))
+
+
+def alpha(votes: DataFrame) -> DataFrame:
     """Krippendorff's alpha of nominal labels: agreement beyond chance where items lack ratings. Null where only one label or no item with two verdicts occurs."""
-    counted = [F.sum(F.when(F.col("label") == x, 1.0).otherwise(0.0)).alias(f"s{i}") for i, x in enumerate(labels)] or [F.lit(0.0).alias("s0")]
-    items = votes.groupBy("item").agg(F.count(F.lit(1)).alias("m"), *counted).where("m > 1")
-    names = [f"s{i}" for i in range(max(1, len(labels)))]
-    same = sum((F.col(s) * (F.col(s) - 1) for s in names), F.lit(0.0))
-    differ = (F.col("m") * (F.col("m") - 1) - same) / (F.col("m") - 1)
-    total = items.agg(F.count(F.lit(1)).alias("items"), F.coalesce(F.sum("m"), F.lit(0)).alias("verdicts"), F.sum(differ).alias("d"), *(F.sum(s).alias(s) for s in names))
+    counts = votes.groupBy("item", "label").agg(F.count(F.lit(1)).alias("c"))
+    items = counts.groupBy("item").agg(F.sum("c").alias("m"), F.sum(F.col("c") * (F.col("c") - 1)).alias("same"), F.min("label").alias("only"))
+    rated = items.where("m > 1")
+    sums = rated.agg(F.count(F.lit(1)).alias("items"), F.coalesce(F.sum("m"), F.lit(0)).alias("verdicts"), F.sum((F.col("m") * (F.col("m") - 1) - F.col("same")) / (F.col("m") - 1)).alias("d"))
+    alone = items.where("m = 1").groupBy(F.col("only").alias("label")).agg(F.count(F.lit(1)).alias("alone"))
+    totals = votes.groupBy("label").agg(F.count(F.lit(1)).alias("n")).join(alone, "label", "left")
+    squares = totals.agg(F.sum((F.col("n") - F.coalesce("alone", F.lit(0))).cast("double") ** 2).alias("squares"))
     n = F.col("verdicts").cast("double")
-    spread_out = (n * n - sum((F.col(s) * F.col(s) for s in names), F.lit(0.0))) / (n * (n - 1))
-    out = total.select("items", "verdicts", F.when(n > 0, F.col("d") / n).alias("observed"), F.when(n > 1, spread_out).alias("expected"))
+    # both are one row
+    out = sums.withColumn("k", F.lit(1)).join(squares.withColumn("k", F.lit(1)), "k").select("items", "verdicts", F.when(n > 0, F.col("d") / n).alias("observed"), F.when(n > 1, (n * n - F.col("squares")) / (n * (n - 1))).alias("expected"))
     return out.withColumn("alpha", F.when(F.col("expected") > 0, 1 - F.col("observed") / F.col("expected")))
 
 
-def consensus(df: DataFrame, item: str, annotator: str, label: str, order: Column | None = None) -> Consensus:
+def consensus(df: DataFrame, item: str, annotator: str, label: str, order: Column | None = None, task_verdicts: int = TASK_VERDICTS) -> Consensus:
     """Consensus label per item, agreement over all items, accuracy per annotator.
 
     Null items, annotators or labels are no verdict; of repeated rows of an item and annotator the last by order counts;
     a tie of the weights leaves the item undecided (null label); an item with one verdict follows it (or, of an
-    annotator that is more often wrong than right, its opposite where there are two labels); an empty table gives empty
-    items and annotators and an agreement of nulls; other columns are ignored.
+    annotator that is more often wrong than right, its opposite where there are two labels); labels may be any number; accuracies that don't settle
+    are an error; an empty table gives empty items and annotators and an agreement of nulls; other columns are ignored.
     """
-    votes = materialize(one_verdict_each(df, item, annotator, label, order))
-    labels = [r[0] for r in votes.select("label").distinct().limit(MOST_LABELS + 1).collect()]
-    if len(labels) > MOST_LABELS:
-        raise ValueError(f"more than {MOST_LABELS} labels")
-    labels.sort()
-    fitted = reweighted(votes, labels)
-    per_item = sums(votes.join(fitted, "annotator").withColumn("w", weight(max(2, len(labels)))).select("item", "label", "w"), labels)
-    counts = votes.groupBy("item", "label").agg(F.count(F.lit(1)).alias("c"))
-    score = F.array(*(F.col(f"s{i}") for i in range(len(labels)))) if labels else F.array().cast("array<double>")
-    decided = per_item.withColumn("score", score).withColumn("top", F.array_max("score"))
-    ties = F.size(F.filter("score", lambda x: x == F.col("top")))
-    named = F.element_at(F.array(*map(F.lit, labels)), F.array_position("score", F.col("top")).cast("int")) if labels else F.lit(None).cast("string")
-    total = F.aggregate("score", F.lit(0.0), lambda acc, x: acc + F.exp(x - F.col("top")))
-    decided = decided.select("item", F.when(ties == 1, named).alias("label"), F.col("m").alias("n"), (1 / total).alias("posterior"))
-    items = decided.join(counts, ["item", "label"], "left").select("item", "label", "n", (F.coalesce("c", F.lit(0)) / F.col("n")).alias("agreement"), "posterior")
-    used = votes.groupBy("annotator").agg(F.count(F.lit(1)).alias("n"))
-    return Consensus(items, used.join(fitted, "annotator"), alpha(votes, labels))
+    named = one_verdict_each(df, item, annotator, label, order)
+    named = materialize(named)
+    codes, n = numbered(named)
+    k = max(2, n)
+    votes = named.join(small_side(codes), "label")
+    fitted = reweighted(votes, k, task_verdicts)
+    sums = by_label(votes.join(small_side(fitted.select("annotator", "accuracy")), "annotator").withColumn("w", weight(k)))
+    sums = materialize(sums)
+    # of labels that all weigh less than nothing, one without verdicts stands out if it is the only one
+    chosen = F.when(F.col("ties") != 1, None).when(F.col("a.s") == F.col("top"), -F.col("a.k")).otherwise(F.lit(n * (n - 1) // 2) - F.col("codes"))
+    decided = by_item(sums, max(1, n)).select("item", F.col("m").alias("n"), (1 / F.col("z")).alias("posterior"), chosen.cast("int").alias("code"))
+    counted = decided.join(sums.select("item", "code", "c"), ["item", "code"], "left").join(small_side(codes), "code", "left")
+    items = counted.select("item", "label", "n", (F.coalesce("c", F.lit(0)) / F.col("n")).alias("agreement"), "posterior")
+    return Consensus(items, fitted, alpha(votes))
 
 
 # Spellings of yes and no.

@@ -23,6 +23,43 @@ def _run(n: int, at: str = "i") -> str:
     return f"array_to_string(list_slice(ws, {at}, {at} + {n - 1}), ' ')"
 
 
+# Problem 3: the verdicts of each pair, then rounds of leave-one-out accuracies against the others' weighted vote; 400 rounds are far beyond settling.
+_YES, _NO = "('true', 't', 'yes', 'y', '1')", "('false', 'f', 'no', 'n', '0')"
+_VERDICTS = f"""
+WITH RECURSIVE given AS (
+  SELECT pair_id, arg_max(is_sd, annotation_id) FILTER (is_sd IS NOT NULL) AS l, arg_max(checker_is_sd, annotation_id) FILTER (checker_is_sd IS NOT NULL) AS c
+  FROM annotation WHERE pair_id IS NOT NULL GROUP BY pair_id),
+sound AS (
+  SELECT *, row_number() OVER (PARTITION BY pair_id, rater_id ORDER BY labelled_at DESC NULLS LAST, label_id DESC) AS k
+  FROM rater_label WHERE trim(coalesce(error, '')) = '' AND pair_id IS NOT NULL AND rater_id IS NOT NULL),
+rated AS (
+  SELECT pair_id, 'rater ' || rater_id AS a, CASE WHEN lower(trim(coalesce(is_sd, ''))) IN {_YES} THEN true WHEN lower(trim(coalesce(is_sd, ''))) IN {_NO} THEN false
+    WHEN trim(coalesce(is_sd, '')) = '' AND trim(coalesce(match_type, '')) <> '' THEN lower(trim(match_type)) <> 'unrelated' END AS d
+  FROM sound WHERE k = 1),
+votes AS MATERIALIZED (
+  SELECT pair_id, 'label' AS a, l AS d FROM given WHERE l IS NOT NULL UNION ALL SELECT pair_id, 'checker', c FROM given WHERE c IS NOT NULL UNION ALL FROM rated WHERE d IS NOT NULL),
+shape AS (SELECT pair_id, list({{'a': a, 'd': d}} ORDER BY a) AS p FROM votes GROUP BY pair_id HAVING count(*) > 1),
+kinds AS (SELECT p, row_number() OVER () AS kind, count(*) AS n FROM shape GROUP BY p),
+cast_ AS MATERIALIZED (SELECT kind, n, v.a AS a, v.d AS d FROM (SELECT kind, n, unnest(p) AS v FROM kinds)),
+fit AS (
+  SELECT DISTINCT a, 0.7::DOUBLE AS acc, 0 AS i FROM cast_
+  UNION ALL
+  SELECT a, greatest(0.02, least(0.98, (sum(n * slope * (agrees - 1 + q)) + 2.8) / (sum(n * slope * slope) + 4))), any_value(i) + 1
+  FROM (
+    SELECT *, 2 * q - 1 AS slope FROM (
+      SELECT a, n, i, greatest(o1, o0) AS top, 1 / (exp(o1 - greatest(o1, o0)) + exp(o0 - greatest(o1, o0))) AS q, CASE WHEN (o1 > o0) = d THEN 1 ELSE 0 END AS agrees
+      FROM (
+        SELECT a, n, i, d, sum(CASE WHEN d THEN w ELSE 0 END) OVER (PARTITION BY kind) - CASE WHEN d THEN w ELSE 0 END AS o1,
+          sum(CASE WHEN d THEN 0 ELSE w END) OVER (PARTITION BY kind) - CASE WHEN d THEN 0 ELSE w END AS o0
+        FROM (SELECT c.*, i, ln(acc / (1 - acc)) AS w FROM cast_ c JOIN fit USING (a) WHERE i < 400))))
+  GROUP BY a),
+annotators AS (SELECT a, count(*) AS n, coalesce(any_value(acc), 0.7) AS acc FROM votes LEFT JOIN (FROM fit WHERE i = 400) USING (a) GROUP BY a),
+items AS (
+  SELECT pair_id, count(*) AS n, count_if(d) AS yes, sum(CASE WHEN d THEN ln(acc / (1 - acc)) ELSE 0 END) AS s1, sum(CASE WHEN d THEN 0 ELSE ln(acc / (1 - acc)) END) AS s0
+  FROM votes JOIN (SELECT a, acc FROM annotators) USING (a) GROUP BY pair_id),
+decided AS (SELECT *, CASE WHEN s1 > s0 THEN 'duplicate' WHEN s0 > s1 THEN 'distinct' END AS label FROM items)
+"""
+
 ORACLE = {
     "p1_found": _BEST + "SELECT dataset, test_id, corpus_id FROM ranked WHERE rank <= 10",
     "p1_ranked": _BEST + "SELECT dataset, test_id, corpus_id, score, CAST(rank AS INTEGER) AS rank FROM ranked WHERE rank <= 10",
@@ -31,6 +68,13 @@ SELECT record_id
 FROM raw_record r JOIN chunking_config c ON c.dataset_short_name = r.dataset_short_name
   AND c.mode = CASE WHEN coalesce(trim(r.mode), '') = '' THEN 'paragraph' ELSE lower(trim(r.mode)) END
 WHERE len(regexp_extract_all(text, '[^ \t\r\n]+')) > max_tokens""",
+    "p3_found": _VERDICTS + "SELECT pair_id FROM decided WHERE n >= 3 AND label = 'duplicate' AND pair_id IN (SELECT pair_id FROM rater_label)",
+    "p3_consensus": _VERDICTS + "SELECT pair_id, label, n, round(CASE label WHEN 'duplicate' THEN yes WHEN 'distinct' THEN n - yes ELSE 0 END / n::DOUBLE, 6) AS agreement, round(1 / (1 + exp(-abs(s1 - s0))), 6) AS posterior FROM decided",
+    "p3_annotators": _VERDICTS + "SELECT a AS annotator, n, round(acc, 4) AS accuracy FROM annotators",
+    "p3_agreement": _VERDICTS + """,
+rated_items AS (SELECT n, yes, n - yes AS no FROM items WHERE n > 1),
+t AS (SELECT count(*) AS items, CAST(coalesce(sum(n), 0) AS BIGINT) AS verdicts, sum((n * (n - 1) - yes * (yes - 1) - no * (no - 1)) / (n - 1)::DOUBLE) AS d, sum(yes)::DOUBLE AS y, sum(no)::DOUBLE AS o FROM rated_items)
+SELECT items, verdicts, round(d / verdicts, 9) AS observed, round(2 * y * o / (verdicts::DOUBLE * (verdicts - 1)), 9) AS expected, round(1 - (d / verdicts) / (2 * y * o / (verdicts::DOUBLE * (verdicts - 1))), 9) AS alpha FROM t""",
     "p5_found": f"""
 WITH {_TEXTS},
 runs AS (SELECT DISTINCT corpus_id, unnest([{_run(3)} FOR i IN range(1, len(ws) - 1)]) AS g FROM texts WHERE len(ws) >= 3),

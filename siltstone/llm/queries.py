@@ -53,7 +53,7 @@ def p3_annotators(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return verdict_consensus(spark, sf_dir).agreement
+    return verdict_consensus(spark, sf_dir).agreement.select("items", "verdicts", *(F.round(c, 9).alias(c) for c in ("observed", "expected", "alpha")))
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -131,7 +131,7 @@ def test_consensus_cases(spark):
 
 def test_alpha_against_its_definition(spark):
     _, rows = labels(200, {"a": 0.9, "b": 0.7, "c": 0.8}, 5)
-    got = consensus.alpha(spark.createDataFrame(rows, "item long, annotator string, label string"), ["no", "yes"]).first()
+    got = consensus.alpha(spark.createDataFrame(rows, "item long, annotator string, label string")).first()
     units = defaultdict(list)
     for i, _, v in rows:
         units[i].append(v)
