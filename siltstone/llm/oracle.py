@@ -68,6 +68,10 @@ SELECT record_id
 FROM raw_record r JOIN chunking_config c ON c.dataset_short_name = r.dataset_short_name
   AND c.mode = CASE WHEN coalesce(trim(r.mode), '') = '' THEN 'paragraph' ELSE lower(trim(r.mode)) END
 WHERE len(regexp_extract_all(text, '[^ \t\r\n]+')) > max_tokens""",
+    "p2_rejoined": r"""
+SELECT record_id, CAST(coalesce(len(regexp_extract_all(text, '[^ \t\r\n]+')), 0) AS BIGINT) AS n_tokens, true AS sound, md5(text) AS text_hash
+FROM raw_record r JOIN chunking_config c ON c.dataset_short_name = r.dataset_short_name
+  AND c.mode = CASE WHEN coalesce(trim(r.mode), '') = '' THEN 'paragraph' ELSE lower(trim(r.mode)) END""",
     "p3_found": _VERDICTS + "SELECT pair_id FROM decided WHERE n >= 3 AND label = 'duplicate' AND pair_id IN (SELECT pair_id FROM rater_label)",
     "p3_consensus": _VERDICTS + "SELECT pair_id, label, n, round(CASE label WHEN 'duplicate' THEN yes WHEN 'distinct' THEN n - yes ELSE 0 END / n::DOUBLE, 6) AS agreement, round(1 / (1 + exp(-abs(s1 - s0))), 6) AS posterior FROM decided",
     "p3_annotators": _VERDICTS + "SELECT a AS annotator, n, round(acc, 4) AS accuracy FROM annotators",

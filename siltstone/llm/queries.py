@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siltstone.llm import bpe, consensus, leak, lookalike, mixing, neardup, pairs, split, topn
@@ -32,6 +32,23 @@ def p2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split.split_oversized(records, table(spark, sf_dir, "chunking_config"), "record_id", "text", "dataset_short_name", "mode")
 
 
+def p2_rejoined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each record put together again from its pieces without what they share, with its tokens and whether all pieces keep to the limit and the overlap."""
+    config = table(spark, sf_dir, "chunking_config")
+    mode = F.lower(F.trim("mode"))
+    records = table(spark, sf_dir, "raw_record", "record_id", "dataset_short_name", "mode").withColumn("mode", F.when(mode.isNull() | (mode == ""), "paragraph").otherwise(mode))
+    limits = records.join(config.select("dataset_short_name", "mode", "max_tokens", "overlap_tokens"), ["dataset_short_name", "mode"]).select("record_id", "max_tokens", "overlap_tokens")
+    before = Window.partitionBy("record_id").orderBy("piece")
+    pieces = p2_pieces(spark, sf_dir).join(limits, "record_id")
+    shared = F.coalesce(F.lag("end").over(before) - F.col("start"), F.lit(0))
+    pieces = pieces.withColumn("shared", shared)
+    pieces = pieces.withColumn("twice", split.token_count(F.substring(F.col("text"), F.lit(1), F.col("shared").cast("int")))).withColumn("rest", F.substring(F.col("text"), F.col("shared").cast("int") + 1, F.char_length("text")))
+    sound = (F.col("n_tokens") <= F.col("max_tokens")) & ((F.col("piece") == 0) | (F.col("twice") == F.least("overlap_tokens", F.col("max_tokens") - 1)))
+    whole = pieces.groupBy("record_id").agg(F.sum(F.col("n_tokens") - F.col("twice")).alias("n_tokens"), F.bool_and(sound).alias("sound"), F.array_sort(F.collect_list(F.struct("piece", "rest"))).alias("parts"), F.count("text").alias("texts"))
+    text = F.when(F.col("texts") > 0, F.md5(F.array_join(F.col("parts.rest"), "")))
+    return whole.select("record_id", "n_tokens", "sound", text.alias("text_hash"))
+
+
 def verdict_consensus(spark: SparkSession, sf_dir: str) -> consensus.Consensus:
     annotation = table(spark, sf_dir, "annotation", "annotation_id", "pair_id", "is_sd", "checker_is_sd")
     rater_label = table(spark, sf_dir, "rater_label", "label_id", "pair_id", "rater_id", "is_sd", "match_type", "error", "labelled_at")
@@ -112,5 +129,5 @@ def p9_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    own = [p1_found, p1_ranked, p2_found, p2_pieces, p3_found, p3_consensus, p3_annotators, p3_agreement, p4_found, p5_found, p5_groups, p6_found, p6_leaks, p7_ids, p8_mixture, p8_shares, p9_found, p9_forms]
+    own = [p1_found, p1_ranked, p2_found, p2_pieces, p2_rejoined, p3_found, p3_consensus, p3_annotators, p3_agreement, p4_found, p5_found, p5_groups, p6_found, p6_leaks, p7_ids, p8_mixture, p8_shares, p9_found, p9_forms]
     return {f.__name__: f for f in own}

@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_right
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -108,34 +107,42 @@ def pieces_of(text: str, most: int, least: int, overlap: int) -> list[tuple[int,
     return out
 
 
+def limits_of(config: DataFrame, *keys: str) -> DataFrame:
+    """Of each key (columns of the config's data set and mode) its limits; of several rows the least max_tokens."""
+    named = config.select(F.col("dataset_short_name").alias("ds"), F.lower(F.trim("mode")).alias("md"), F.struct(F.col("max_tokens").alias("most"), F.coalesce("min_tokens", F.lit(1)).alias("least"), F.coalesce("overlap_tokens", F.lit(0)).alias("overlap")).alias("limit"))
+    return named.where("limit.most > 0").groupBy(*keys).agg(F.min("limit").alias("limit"))
+
+
 def split_oversized(df: DataFrame, config: DataFrame, key: str, text: str, dataset: str, mode: str, default_mode: str = "paragraph") -> DataFrame:
     """One row a piece: key, piece (from 0), pieces, start, end (characters), n_tokens, cut, text.
 
-    config has dataset_short_name, mode, min_tokens, max_tokens and overlap_tokens, one row for each dataset and mode. A mode
-    counts without outer white space and case; a missing one is default_mode. Texts within the limit, and those for
-    which config has no limit, are one whole piece, made without Python. A null text is one piece with null text and no tokens,
+    config has dataset_short_name, mode, min_tokens, max_tokens and overlap_tokens, one row for each dataset and mode, and may have is_default, which
+    marks a dataset's limits for modes without a row. A mode counts without outer white space and case; a missing one is default_mode. Texts within the
+    limit, and those for which config has no limit, are one whole piece; Python doesn't see them. A null text is one piece with null text and no tokens,
     an empty or blank one is one piece without tokens. A run of characters longer than any limit is one token and
     is never cut. Repeated rows are cut alike; a null key passes through; an overlap of the limit or more counts as one less than it;
     empty tables give an empty result, or whole pieces where config is empty; other columns are ignored.
     """
     trimmed = F.lower(F.regexp_replace(F.col(f"`{mode}`"), r"^\s+|\s+$", ""))
     rows = df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"), F.col(f"`{dataset}`").alias("ds"), F.when(trimmed.isNull() | (trimmed == ""), default_mode).otherwise(trimmed).alias("md"))
-    limits = config.select(F.col("dataset_short_name").alias("ds"), F.lower(F.trim("mode")).alias("md"), F.col("max_tokens").alias("most"), F.coalesce("min_tokens", F.lit(1)).alias("least"), F.coalesce("overlap_tokens", F.lit(0)).alias("overlap")).where("most > 0")
-    counted = spread(rows).join(small_side(limits), ["ds", "md"], "left").withColumn("n", token_count(F.col("text")))
-    over = F.coalesce(F.col("n") > F.col("most"), F.lit(False))
-    whole = counted.where(~over).select("key", F.lit(0).alias("piece"), F.lit(1).alias("pieces"), F.lit(0).cast("long").alias("start"), F.coalesce(F.char_length("text"), F.lit(0)).cast("long").alias("end"), F.col("n").alias("n_tokens"), F.lit("end").alias("cut"), "text")
-
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = ["key", "piece", "pieces", "start", "end", "n_tokens", "cut", "text"]
-        for batch in batches:
-            out = []
-            for k, t, most, least, overlap in zip(batch["key"], batch["text"], batch["most"], batch["least"], batch["overlap"], strict=True):
-                got = pieces_of(t, int(most), int(least), int(overlap))
-                out += [(k, i, len(got), a, b, n, why, t[a:b]) for i, a, b, n, why in got]
-            if out:
-                yield pd.DataFrame(out, columns=columns)
-
-    kind = rows.schema["key"].dataType.simpleString()
-    schema = f"key {kind}, piece int, pieces int, start long, end long, n_tokens long, cut string, text string"
-    parts = counted.where(over).select("key", "text", "most", "least", "overlap").mapInPandas(cut, schema)
-    return whole.union(parts).withColumnRenamed("key", key)
+    limited = spread(rows).join(small_side(limits_of(config, "ds", "md")), ["ds", "md"], "left")
+    if "is_default" in config.columns:
+        default = limits_of(config.where("is_default"), "ds").withColumnRenamed("limit", "default")
+        limited = limited.join(small_side(default), "ds", "left").withColumn("limit", F.coalesce("limit", "default"))
+    counted = limited.withColumn("n", token_count(F.col("text")))
+    over = F.coalesce(F.col("n") > F.col("limit.most"), F.lit(False))
+
+    @F.pandas_udf("array<struct<piece:int,pieces:int,start:bigint,end:bigint,n_tokens:bigint,cut:string,text:string>>")
+    def cut(texts: pd.Series, most: pd.Series, least: pd.Series, overlap: pd.Series) -> pd.Series:
+        out = []
+        for t, *limit in zip(texts, most, least, overlap, strict=True):
+            got = pieces_of(t, *map(int, limit)) if t is not None else None
+            out.append(got and [{"piece": i, "pieces": len(got), "start": a, "end": b, "n_tokens": n, "cut": why, "text": t[a:b]} for i, a, b, n, why in got])
+        return pd.Series(out, dtype=object)
+
+    # only what is over its limit is sent to Python
+    parts = cut(F.when(over, F.col("text")), *(F.coalesce(f"limit.{c}", F.lit(0)) for c in ("most", "least", "overlap")))
+    length = F.coalesce(F.char_length("text"), F.lit(0)).cast("long")
+    whole = F.array(F.struct(F.lit(0).alias("piece"), F.lit(1).alias("pieces"), F.lit(0).cast("long").alias("start"), length.alias("end"), F.col("n").alias("n_tokens"), F.lit("end").alias("cut"), F.col("text").alias("text")))
+    made = counted.select("key", F.explode(F.coalesce(parts, whole)).alias("p"))
+    return made.select(F.col("key").alias(key), "p.*")

@@ -88,6 +88,13 @@ def test_split_table_nulls_empty_unknown_and_long(spark):
     assert split.split_oversized(df, config.limit(0), "record_id", "text", "ds", "mode").count() == len(rows)
 
 
+def test_split_falls_back_on_a_data_sets_default(spark):
+    config = spark.createDataFrame([("d", "paragraph", 1, 3, 0, True), ("d", "rl", 1, 5, 0, False)], "dataset_short_name string, mode string, min_tokens int, max_tokens int, overlap_tokens int, is_default boolean")
+    df = spark.createDataFrame([(i, "a b c d", ds, mode) for i, (ds, mode) in enumerate([("d", "dpo"), ("d", "rl"), ("e", "dpo"), ("d", None)])], "k long, text string, ds string, mode string")
+    got = split.split_oversized(df, config, "k", "text", "ds", "mode").groupBy("k").count().collect()
+    assert {r.k: r["count"] for r in got} == {0: 2, 1: 1, 2: 1, 3: 2}
+
+
 def labels(n_items, accuracy, seed, kinds=("no", "yes")):
     draw = random.Random(seed)
     truth, rows = {}, []
