@@ -17,24 +17,40 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siltstone.llm.classes import pairs_across, pairs_within
 from siltstone.runtime import materialize, spread
 
-# Letters of Latin, Cyrillic and Greek that are drawn alike, one class a word.
+# Letters of Latin, Cyrillic and Greek that are drawn alike, one class a word, after the public table of confusable characters of
+# Unicode Technical Standard 39; single-script classes of it and those that are told apart at a look (as α and a) are left out.
 LETTER_CLASSES = (
-    "AАΑ BВΒ CСϹ EЕΕ HНΗ IІΙ JЈ KКΚ MМΜ NΝ OОΟ PРΡ SЅ TТΤ XХΧ YУΥҮ ZΖ ГΓ ЛΛ ПΠ ФΦ "
-    "aа cсϲ eе hһ iі jјϳ oоο pрρ sѕ vνѵ xх yу qԛ wԝ dԁ lӏ"
+    "AАΑ BВΒ CСϹ EЕΕ FϜ GԌ HНΗ IІΙӀ JЈͿ KКΚ MМΜϺ NΝ OОΟ PРΡ QԚ SЅ TТΤ VѴ WԜ XХΧ YУΥҮ ZΖ ГΓ ЛΛ ПΠ ФΦ ƐԐ ƏӘ ƟӨ ƷӠ ÐĐƉ "
+    "aа cсϲ eе hһ iі jјϳ oоο pрρ sѕ vνѵ xх yу qԛ wԝ dԁ lӏ кκĸ ɛεԑ ɑα əә ɵө ʒӡ ɔͻ µμ"
 ).split()
-# Ligatures and the letters they are drawn from.
-LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st"}
 # Characters without width that aren't of Unicode's category Cf.
 WIDTHLESS = "͏ᅟᅠ឴឵᠋᠌᠍ㅤ" + "".join(chr(c) for c in range(0xFE00, 0xFE10))
+# Characters of the category Cf that are seen all the same (Unicode's property Prepended_Concatenation_Mark).
+SEEN = "\u0600\u0601\u0602\u0603\u0604\u0605\u06dd\u070f\u0890\u0891\u08e2\U000110bd\U000110cd"
+#: Blocks of Unicode that hold full-width forms and ligatures of letters.
+COMPATIBLE = ((0x80, 0x3001), (0xA720, 0xAC00), (0xFB00, 0xFB50), (0xFF00, 0xFFF0))
+
+
+def compatible_pairs() -> list[tuple[str, str]]:
+    """Full-width forms, and digraphs and ligatures of letters with what they are drawn from, by Unicode's own compatibility forms."""
+    out = []
+    for ch in (chr(code) for a, b in COMPATIBLE for code in range(a, b)):
+        kind, _, parts = unicodedata.decomposition(ch).partition(" ")
+        plain = unicodedata.normalize("NFKC", ch)
+        if kind == "<wide>" and ch != "\u3000":
+            out.append((chr(int(parts, 16)), ch))
+        elif kind == "<compat>" and len(plain) > 1 and all(unicodedata.category(x).startswith("L") for x in ch + plain):
+            out.append((plain, ch))
+    return out
 
 
 def look_alike_pairs() -> list[tuple[str, str]]:
     """The pairs that the classes grow from: letters, ligatures, full-width forms and space characters."""
     pairs = [(word[0], other) for word in LETTER_CLASSES for other in word[1:]]
-    pairs += [(spelled, joined) for joined, spelled in LIGATURES.items()]
-    pairs += [(chr(code - 0xFEE0), chr(code)) for code in range(0xFF01, 0xFF5F)]
+    pairs += compatible_pairs()
     pairs += [(" ", chr(code)) for code in range(0x80, 0x3001) if unicodedata.category(chr(code)) == "Zs"]
     return pairs
 
@@ -92,7 +108,7 @@ class Rewriter:
         """Without characters that have no width."""
         if text.isascii():
             return text
-        drop = {ch for ch in set(text) if ch > "\x7f" and (unicodedata.category(ch) == "Cf" or ch in WIDTHLESS)}
+        drop = {ch for ch in set(text) if ch > "\x7f" and (ch in WIDTHLESS or (unicodedata.category(ch) == "Cf" and ch not in SEEN))}
         return text.translate({ord(ch): None for ch in drop}) if drop else text
 
     def __call__(self, text: str) -> str:
@@ -136,7 +152,9 @@ def member_counts(df: DataFrame, text: str, members: list[str]) -> dict[str, int
 def fitted_table(df: DataFrame, text: str = "text", pairs: Iterable[tuple[str, str]] | None = None) -> tuple[tuple[str, str], ...]:
     """The rewrite table of a corpus, with representatives by their frequency in all its texts."""
     groups = classes(pairs if pairs is not None else look_alike_pairs())
-    frequency = member_counts(df, text, [m for g in groups for m in g])
+    # a spelled-out string stands whatever the frequencies, unless there is another of its length
+    decided = [[m for m in g if len(m) == max(map(len, g))] for g in groups]
+    frequency = member_counts(df, text, [m for g in decided if len(g) > 1 for m in g])
     return tuple(sorted(rewrite_table(groups, frequency).items()))
 
 
@@ -157,14 +175,8 @@ def consistent_form(df: DataFrame, text: str = "text", out: str = "form", table:
     return df.withColumn(out, form(F.col(f"`{text}`")))
 
 
-def same_looking_pairs(df: DataFrame, key: str = "doc_id", text: str = "text", pairs: Iterable[tuple[str, str]] | None = None) -> DataFrame:
-    """Pairs (key_a, key_b), key_a < key_b, of rows whose texts differ as strings and have one consistent form.
-
-    Copies of one string are never paired with each other: the strings of a form are paired first, then each
-    side is expanded to its rows, so that a string of which a third of all rows are copies costs only the rows of
-    the result. Null texts and texts without a visible character are in no pair; keys are taken as unique;
-    ties don't arise; an empty table gives an empty result; other columns are ignored.
-    """
+def looks(df: DataFrame, key: str, text: str, pairs: Iterable[tuple[str, str]] | None = None) -> DataFrame:
+    """(key, form, string): digests of the consistent form and of the text of each row with a visible character."""
     # aliases of its own: the input may have columns of these names
     source = spread(df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text")).where(F.col("text").isNotNull()))
     fixed = fitted_table(source, "text", pairs)
@@ -184,12 +196,28 @@ def same_looking_pairs(df: DataFrame, key: str = "doc_id", text: str = "text", p
                 yield pd.DataFrame({"key": pd.Series(keys, dtype=batch["key"].dtype), "form": forms, "string": strings})
 
     key_type = source.schema["key"].dataType.simpleString()
-    rows = materialize(source.mapInPandas(digests, f"key {key_type}, form binary, string binary"))
-    strings = rows.select("form", "string").distinct()
-    several = strings.groupBy("form").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("form")
-    variants = strings.join(several, "form")
-    linked = variants.alias("a").join(variants.alias("b"), "form").where("a.string < b.string").select(F.col("a.string").alias("sa"), F.col("b.string").alias("sb"))
-    left = rows.select(F.col("key").alias("ka"), F.col("string").alias("sa"))
-    right = rows.select(F.col("key").alias("kb"), F.col("string").alias("sb"))
-    both = linked.join(left, "sa").join(right, "sb")
-    return both.select(F.least("ka", "kb").alias(f"{key}_a"), F.greatest("ka", "kb").alias(f"{key}_b"))
+    return materialize(source.mapInPandas(digests, f"key {key_type}, form binary, string binary"))
+
+
+def same_looking_pairs(df: DataFrame, key: str = "doc_id", text: str = "text", pairs: Iterable[tuple[str, str]] | None = None) -> DataFrame:
+    """Pairs (key_a, key_b), key_a < key_b, of rows whose texts differ as strings and have one consistent form.
+
+    Copies of one string are never paired with each other: the strings of a form are paired first, then each
+    side is expanded to its rows, both in blocks, so that a string of which a third of all rows are copies costs only the rows of
+    the result. Null texts and texts without a visible character are in no pair; keys are taken as unique;
+    ties don't arise; an empty table gives an empty result; other columns are ignored.
+    """
+    rows = looks(df, key, text, pairs)
+    strings = rows.select(F.col("form").alias("cls"), F.col("string").alias("key")).distinct()
+    linked = materialize(pairs_within(strings).select(F.col("ka").alias("a"), F.col("kb").alias("b")))
+    found = pairs_across(linked, rows.select(F.col("string").alias("cls"), "key"))
+    return found.select(F.col("ka").alias(f"{key}_a"), F.col("kb").alias(f"{key}_b"))
+
+
+def same_looking_classes(df: DataFrame, key: str = "doc_id", text: str = "text", pairs: Iterable[tuple[str, str]] | None = None) -> DataFrame:
+    """(key, class_id, links): of each row with a visible character the least key of those that look the same, and with how many other strings
+    its text has its look in common. Rows without a visible character and null texts are left out; other cases as for the pairs."""
+    rows = looks(df, key, text, pairs)
+    strings = rows.groupBy("form", "string").agg(F.min("key").alias("least"))
+    classes = strings.groupBy("form").agg(F.min("least").alias("class_id"), (F.count(F.lit(1)) - 1).alias("links"))
+    return rows.join(classes, "form").select(F.col("key").alias(key), "class_id", "links")

@@ -19,11 +19,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siltstone.llm.classes import BLOCK, pairs_across, pairs_within
 from siltstone.llm.words import WordCodes, mix, shingles, words
-from siltstone.runtime import materialize, spread
+from siltstone.runtime import materialize, small_side, spread
 
-#: Members of a bucket above which its pairs are made block by block.
-BLOCK = 512
 #: Posterior probability under which a candidate is dropped.
 TOLERANCE = 1e-6
 #: Values compared between two looks at the posterior.
@@ -97,18 +96,22 @@ def candidates(reps: DataFrame, threshold: float, num_perm: int, rows: int, bloc
     """(a, b), a < b, of representatives (rid, n, sig) that share a band and whose sizes allow the threshold; each pair once."""
     bands = [F.xxhash64(F.lit(i), F.substring("sig", 2 * rows * i + 1, 2 * rows)) for i in range(num_perm // rows)]
     exploded = reps.select("rid", "n", F.explode(F.array(*bands)).alias("band"))
-    # counted by pre-aggregation, not by a window: a bucket of a third of all rows is no task of its own
-    shared = exploded.groupBy("band").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    members = exploded.join(shared, "band")
-    blocks = F.ceil(F.col("m") / F.lit(block)).cast("int")
-    own = F.pmod(F.xxhash64("rid"), blocks.cast("long")).cast("int")
-    members = members.select("rid", "n", "band", own.alias("blk"), blocks.alias("blks"))
+    # counted by pre-aggregation: a bucket of a third of all rows is no task of its own. Most buckets have one member and end here; the two of a
+    # bucket of two are its least and greatest
+    member = F.struct("rid", "n")
+    buckets = materialize(exploded.groupBy("band").agg(F.count(F.lit(1)).alias("m"), F.min(member).alias("a"), F.max(member).alias("b")).where("m > 1"))
+    sized = lambda x, y: F.least(x, y) >= F.lit(threshold) * F.greatest(x, y)
+    twos = buckets.where("m = 2").where(sized(F.col("a.n"), F.col("b.n"))).select(F.col("a.rid").alias("a"), F.col("b.rid").alias("b"))
+    more = buckets.where("m > 2").select("band", F.ceil(F.col("m") / F.lit(block)).cast("int").alias("blks"))
+    # written once, since both sides of a bucket's pairs read them
+    members = exploded.join(small_side(more), "band")
+    members = materialize(members.withColumn("blk", F.pmod(F.xxhash64("rid"), F.col("blks").cast("long")).cast("int")))
     # each member meets its own block and the others; in a bucket of one block that is one row
     grid = F.explode(F.sequence(F.lit(0), F.col("blks") - 1))
     left = members.select("band", F.col("rid").alias("a"), F.col("n").alias("na"), F.col("blk").alias("x"), grid.alias("y"))
     right = members.select("band", F.col("rid").alias("b"), F.col("n").alias("nb"), F.col("blk").alias("y"), grid.alias("x"))
-    pairs = left.join(right, ["band", "x", "y"]).where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.lit(threshold) * F.greatest("na", "nb")))
-    return pairs.select("a", "b").distinct()
+    pairs = left.join(right, ["band", "x", "y"]).where((F.col("a") < F.col("b")) & sized(F.col("na"), F.col("nb"))).select("a", "b")
+    return twos.union(pairs).distinct()
 
 
 def pruned(pairs: DataFrame, reps: DataFrame, threshold: float, num_perm: int, tolerance: float = TOLERANCE) -> DataFrame:
@@ -168,6 +171,7 @@ class NearDuplicates:
 
     def __init__(self, df: DataFrame, key: str, text: str, threshold: float = 0.8, ngram: int = 5, num_perm: int = 128, miss_at_threshold: float = 1e-4, tolerance: float = TOLERANCE, block: int = BLOCK):
         rows = band_rows(num_perm, threshold, miss_at_threshold)
+        self.block = block
         found = materialize(features(df, key, text, ngram, num_perm))
         self.members = found.select("key", "kind").distinct()
         reps = found.groupBy("kind").agg(F.min("key").alias("key"), F.first("n").alias("n"), F.first("sig").alias("sig"))
@@ -183,18 +187,12 @@ class NearDuplicates:
 
     def pairs(self, key: str) -> DataFrame:
         """Every pair (key_a, key_b, similarity), key_a < key_b: within a class, and between linked classes."""
-        a = self.members.select(F.col("key").alias("ka"), F.col("kind"))
-        b = self.members.select(F.col("key").alias("kb"), F.col("kind"))
-        within = a.join(b, "kind").where("ka < kb").select("ka", "kb", F.lit(1.0).alias("similarity"))
+        members = self.members.select(F.col("kind").alias("cls"), "key")
+        within = pairs_within(members, self.block).withColumn("similarity", F.lit(1.0))
         kinds = self.reps.select("rid", "kind")
-        across = (
-            self.links.join(kinds.select(F.col("rid").alias("a"), F.col("kind").alias("kind_a")), "a")
-            .join(kinds.select(F.col("rid").alias("b"), F.col("kind").alias("kind_b")), "b")
-            .join(a.withColumnRenamed("kind", "kind_a"), "kind_a")
-            .join(b.withColumnRenamed("kind", "kind_b"), "kind_b")
-            .select(F.least("ka", "kb").alias("ka"), F.greatest("ka", "kb").alias("kb"), "similarity")
-        )
-        return within.union(across).select(F.col("ka").alias(f"{key}_a"), F.col("kb").alias(f"{key}_b"), "similarity")
+        links = self.links.join(kinds.select(F.col("rid").alias("a"), F.col("kind").alias("kind_a")), "a").join(kinds.select(F.col("rid").alias("b"), F.col("kind").alias("kind_b")), "b")
+        across = pairs_across(links.select(F.col("kind_a").alias("a"), F.col("kind_b").alias("b"), "similarity"), members, self.block)
+        return within.unionByName(across).select(F.col("ka").alias(f"{key}_a"), F.col("kb").alias(f"{key}_b"), "similarity")
 
     def groups(self, key: str) -> DataFrame:
         """One row a text: its class (the class's least key), how many links the class has, and the group of linked classes (its least key)."""

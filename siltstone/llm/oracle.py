@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+from siltstone.llm import lookalike
+
 _BEST = r"""
 WITH usable AS (
   SELECT lower(regexp_replace(dataset, '^[\s\x{00a0}]+|[\s\x{00a0}]+$', '', 'g')) AS dataset, test_id, corpus_id, max(score) AS score
@@ -23,6 +27,26 @@ def _run(n: int, at: str = "i") -> str:
     return f"array_to_string(list_slice(ws, {at}, {at} + {n - 1}), ' ')"
 
 
+
+
+def _looks() -> str:
+    """(doc_id, form) of each document with a visible character. Composed letters go by a table of their own, since SQL only composes."""
+    groups = [[m for m in g if len(m) == 1] for g in lookalike.classes(lookalike.look_alike_pairs())]
+    least = {m: g[0] for g in groups for m in g[1:]}
+    table = dict(least)
+    for ch in map(chr, range(0xC0, 0x2000)):
+        apart = unicodedata.normalize("NFD", ch)
+        if len(apart) > 1 and apart[0] in least:
+            table[ch] = unicodedata.normalize("NFC", least[apart[0]] + apart[1:])
+    table = {a: b for a, b in table.items() if len(b) == 1}
+    quoted = lambda t: "'" + "".join(t).replace("'", "''") + "'"
+    text = f"regexp_replace(nfc_normalize(text), '[\\p{{Cf}}{lookalike.WIDTHLESS}]', '', 'g')"
+    for spelled, joined in lookalike.compatible_pairs():
+        text = f"replace({text}, {quoted(joined)}, {quoted(spelled)})" if len(spelled) > 1 else text
+    form = f"nfc_normalize(translate({text}, {quoted(table)}, {quoted(table.values())}))"
+    return f"WITH looks AS MATERIALIZED (SELECT doc_id, text, {form} AS form FROM documents WHERE text IS NOT NULL AND regexp_matches({form}, '[^\\p{{Z}}\\p{{Cc}}]'))"
+
+
 # Problem 3: the verdicts of each pair, then rounds of leave-one-out accuracies against the others' weighted vote; 400 rounds are far beyond settling.
 _YES, _NO = "('true', 't', 'yes', 'y', '1')", "('false', 'f', 'no', 'n', '0')"
 _VERDICTS = f"""
@@ -87,6 +111,19 @@ common AS (SELECT a.corpus_id AS x, b.corpus_id AS y, count(*) AS c FROM runs a
 SELECT x AS corpus_id_a, y AS corpus_id_b
 FROM common JOIN sizes p ON p.corpus_id = x JOIN sizes q ON q.corpus_id = y, dedup_config
 WHERE c::DOUBLE / (p.n + q.n - c) >= minhash_threshold""",
+    "p5_groups": f"""
+WITH RECURSIVE {_TEXTS},
+runs AS MATERIALIZED (SELECT DISTINCT corpus_id, unnest([{_run(3)} FOR i IN range(1, len(ws) - 1)]) AS g FROM texts WHERE len(ws) >= 3),
+kinds AS (SELECT corpus_id, md5(array_to_string(list_sort(list(g)), '|')) AS k FROM runs GROUP BY corpus_id),
+classes AS (SELECT k, min(corpus_id) AS class_id FROM kinds GROUP BY k),
+own AS MATERIALIZED (SELECT corpus_id, g FROM runs WHERE corpus_id IN (SELECT class_id FROM classes)),
+sizes AS (SELECT corpus_id, count(*) AS n FROM own GROUP BY corpus_id),
+common AS (SELECT a.corpus_id AS x, b.corpus_id AS y, count(*) AS c FROM own a JOIN own b USING (g) WHERE a.corpus_id <> b.corpus_id GROUP BY 1, 2),
+linked AS MATERIALIZED (SELECT x, y FROM common JOIN sizes p ON p.corpus_id = x JOIN sizes q ON q.corpus_id = y, dedup_config WHERE c::DOUBLE / (p.n + q.n - c) >= minhash_threshold),
+reached AS (SELECT class_id AS a, class_id AS b FROM classes UNION SELECT a, y FROM reached JOIN linked ON b = x),
+roots AS (SELECT a AS class_id, min(b) AS group_id FROM reached GROUP BY a),
+degrees AS (SELECT x AS class_id, count(*) AS links FROM linked GROUP BY x)
+SELECT corpus_id, class_id, group_id, coalesce(links, 0) AS links FROM kinds JOIN classes USING (k) JOIN roots USING (class_id) LEFT JOIN degrees USING (class_id)""",
     "p6_found": rf"""
 WITH {_TEXTS},
 items AS (SELECT test_id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') AS ws FROM benchmark_item WHERE text IS NOT NULL),
@@ -99,6 +136,9 @@ windows AS (SELECT DISTINCT corpus_id, {_run(13)} AS g FROM (SELECT corpus_id, w
 SELECT DISTINCT corpus_id, test_id FROM windows JOIN good USING (g)""",
 }
 
+ORACLE["p9_found"] = _looks() + " SELECT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM looks a JOIN looks b USING (form) WHERE a.doc_id < b.doc_id AND a.text <> b.text"
+ORACLE["p9_classes"] = _looks() + " SELECT doc_id, min(doc_id) OVER w AS class_id, links FROM looks JOIN (SELECT form, count(DISTINCT text) - 1 AS links FROM looks GROUP BY form) USING (form) WINDOW w AS (PARTITION BY form)"
+
 
 def oracle_sql() -> dict[str, str]:
     return ORACLE

@@ -128,6 +128,10 @@ def p9_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalike.consistent_form(table(spark, sf_dir, "documents", "doc_id", "text")).select("doc_id", "form")
 
 
+def p9_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookalike.same_looking_classes(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def queries() -> dict[str, Query]:
-    own = [p1_found, p1_ranked, p2_found, p2_pieces, p2_rejoined, p3_found, p3_consensus, p3_annotators, p3_agreement, p4_found, p5_found, p5_groups, p6_found, p6_leaks, p7_ids, p8_mixture, p8_shares, p9_found, p9_forms]
+    own = [p1_found, p1_ranked, p2_found, p2_pieces, p2_rejoined, p3_found, p3_consensus, p3_annotators, p3_agreement, p4_found, p5_found, p5_groups, p6_found, p6_leaks, p7_ids, p8_mixture, p8_shares, p9_found, p9_forms, p9_classes]
     return {f.__name__: f for f in own}
