@@ -20,9 +20,8 @@ def in_blocks(members: DataFrame, block: int = BLOCK) -> DataFrame:
     return known.withColumn("blk", F.when(F.col("blks") == 1, 0).otherwise(F.pmod(F.xxhash64("key"), F.col("blks").cast("long"))).cast("int"))
 
 
-def pairs_within(members: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(ka, kb), ka < kb, of every two keys of a class. members: cls, key, each key once in a class."""
-    placed = in_blocks(members, block)
+def pairs_within(placed: DataFrame) -> DataFrame:
+    """(ka, kb), ka < kb, of every two keys of a class. placed: members in blocks, each key once in a class."""
     several = placed.groupBy("cls").agg(F.count(F.lit(1)).alias("m"), F.first("blks").alias("blks")).where("m > 1")
     number = lambda upto: F.explode(F.sequence(F.lit(0), upto))
     grid = several.select("cls", "blks", number(F.col("blks") - 1).alias("x")).select("cls", "x", number(F.col("x")).alias("y"))
@@ -32,11 +31,9 @@ def pairs_within(members: DataFrame, block: int = BLOCK) -> DataFrame:
     return met.select(F.least("p", "q").alias("ka"), F.greatest("p", "q").alias("kb"))
 
 
-def pairs_across(links: DataFrame, members: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(ka, kb, rest of links), ka < kb, of every key of one class with every key of the other. links: a, b, two different classes, once; members: cls, key."""
+def pairs_across(links: DataFrame, placed: DataFrame) -> DataFrame:
+    """(ka, kb, rest of links), ka < kb, of every key of one class with every key of the other. links: a, b, two different classes, once; placed: members in blocks."""
     rest = [c for c in links.columns if c not in ("a", "b")]
-    ends = links.select(F.col("a").alias("cls")).union(links.select(F.col("b"))).distinct()
-    placed = in_blocks(members.join(ends, "cls", "left_semi"), block)
     sizes = placed.groupBy("cls").agg(F.first("blks").alias("blks"))
     number = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
     sized = links.join(sizes.select(F.col("cls").alias("a"), F.col("blks").alias("na")), "a").join(sizes.select(F.col("cls").alias("b"), F.col("blks").alias("nb")), "b")

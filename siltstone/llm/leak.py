@@ -5,15 +5,17 @@ with edits as many as samples are taken from) the walk writes the word it stands
 distance so become strings at a small Hamming distance, and bit sampling (the words at a few sampled steps, as a
 key) brings them together. As many samples are drawn as the target recall needs for the worst mix of edits; then the
 words are compared.
-Items are a bounded index that every task holds, a block of items at a time; the corpus is read once a block and not
-shuffled.
+Items are a bounded index that every task holds, a block at a time: it is made, searched for and let go before the next. The corpus is read once a
+block and not shuffled.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 from itertools import combinations_with_replacement
 
 import numpy as np
@@ -22,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.llm.words import WordCodes, mix, run_codes, word_code, words
+from siltstone.operators.ranking import running_offsets
 from siltstone.runtime import materialize, spread
 
 #: Words of items that one index holds; more items go through in blocks of about so many words.
@@ -91,8 +94,9 @@ class Sample:
 class Index:
     """The windows of a block of items that aren't wording shared with other items."""
 
-    def __init__(self, items: list[tuple[str, str, list[int]]], window: int, shared_run: int, max_edits: int, recall: float, seed: int = 11):
-        self.window, self.max_edits, self.runs = window, max_edits, None
+    def __init__(self, items: list[tuple[str, str, list[int]]], window: int, shared_run: int, max_edits: int, recall: float, exact: bool = False, seed: int = 11):
+        self.window, self.max_edits, self.runs, self.parts = window, max_edits, None, None
+        self.exact = exact and max_edits > 0
         self.ids = [item for item, _, _ in items]
         token_lists = [words(text) for _, text, _ in items]
         vocabulary = sorted({w for tokens in token_lists for w in tokens})
@@ -111,12 +115,13 @@ class Index:
                     owner.append(k)
             at += len(tokens) + 1
         self.symbols, self.starts, self.owner = np.concatenate(symbols), np.array(starts, dtype=np.int64), np.array(owner, dtype=np.int64)
-        self.walks = self.enough_walks(recall, np.random.default_rng(seed), seed)
+        self.recall, self.recalls = 1.0, {}
+        self.walks = [] if self.exact else self.enough_walks(recall, np.random.default_rng(seed), seed)
 
     def __getstate__(self) -> dict:
         """Without the tables, which a worker makes in less time than they take to send."""
         bare = [(bits, [Sample(sample.steps) for sample in samples]) for bits, samples in self.walks]
-        return self.__dict__ | {"walks": bare, "runs": None}
+        return self.__dict__ | {"walks": bare, "runs": None, "parts": None}
 
     def build(self) -> None:
         """Sort the index's windows by the keys of each sample, once in a process."""
@@ -164,7 +169,6 @@ class Index:
         sampled = SAMPLED if not self.max_edits else SAMPLED_WITH_EDITS
         steps = 3 * self.window if not self.max_edits else max(sampled, 2 * (self.window - self.max_edits))
         new = lambda: Sample(np.sort(draw.choice(steps, sampled, replace=False)))
-        self.recall, self.recalls = 1.0, {}
         if not self.max_edits or not len(self.starts):
             return [(walk_bits(self.codes, steps, seed), [new()])]
         cases = {kinds: self.edited(kinds, trials, draw) for kinds in combinations_with_replacement(range(3), self.max_edits)}
@@ -204,10 +208,37 @@ class Index:
             maybe &= ahead[last] - ahead[np.minimum(starts, len(own))] >= self.window - run + 1 - self.max_edits * run
         return maybe
 
+    def met_by_parts(self, symbols: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place in starts, window of the index) of all that may be within max_edits. Of a window cut into max_edits + 1 parts, an edited text
+        has one part unchanged, moved by max_edits words at most; so no pair is lost."""
+        if self.parts is None:
+            bounds = np.linspace(0, self.window, self.max_edits + 2).astype(int)
+            self.parts = []
+            for a, b in zip(bounds, bounds[1:]):
+                codes = run_codes(self.symbols.astype(np.uint64), b - a)[self.starts + a]
+                order = np.argsort(codes, kind="stable")
+                self.parts.append((a, b - a, codes[order], order))
+        places, theirs = [np.empty(0, dtype=np.int64)], [np.empty(0, dtype=np.int64)]
+        for a, size, known, order in self.parts:
+            own = run_codes(symbols.astype(np.int64).astype(np.uint64), size)
+            for move in range(-self.max_edits, self.max_edits + 1):
+                at = starts + a + move
+                inside = np.flatnonzero((at >= starts) & (at < len(own)))
+                codes = own[at[inside]]
+                low, high = np.searchsorted(known, codes), np.searchsorted(known, codes, side="right")
+                count = high - low
+                offset = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+                places.append(np.repeat(inside, count))
+                theirs.append(order[np.repeat(low, count) + offset])
+        return np.concatenate(places), np.concatenate(theirs)
+
     def hits(self, symbols: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(place in starts, item, edits) of every window that is within max_edits of an item's window and met it in a sample."""
+        """(place in starts, item, edits) of every window that is within max_edits of an item's window and met it in a sample (or in a part, if the search is exact)."""
         self.build()
         places, theirs = [], []
+        if self.exact:
+            place, their = self.met_by_parts(symbols, starts)
+            places, theirs = [place, place[:0]], [their, their[:0]]
         for bits, samples in self.walks:
             embedded = embed(symbols, starts, self.window, bits, self.end)
             for sample in samples:
@@ -264,46 +295,75 @@ def items_with_shared_runs(items: DataFrame, item: str, text: str, run: int) ->
     return source.join(shared, "item", "left").withColumn("shared", F.coalesce("shared", F.array().cast("array<int>")))
 
 
-def leaked_items(
-    corpus: DataFrame, items: DataFrame, key: str, text: str, item: str, item_text: str,
-    window: int = 13, shared_run: int = 8, max_edits: int = 0, recall: float = 0.95, extra: list[str] | None = None, block_words: int = BLOCK_WORDS,
-) -> DataFrame:
-    """(key, item, edits, windows, *extra): the items of which a corpus text holds a window of words within max_edits.
-
-    Only windows count of which no run of shared_run words occurs in another item. edits is the least of all
-    windows that matched, windows their number on the row where it is greatest; extra columns are the least value of
-    the key's rows. Without edits every match is found; with edits about the share recall of single windows with the
-    worst mix of max_edits edits, and other windows and a passage of several windows more surely.
+def in_segments(known: DataFrame, window: int, most: int) -> DataFrame:
+    """(item, segment, text, shared, n): items of more than most words as several segments, which share window - 1 words, so that each window is in one."""
 
-    Null keys and texts, and texts shorter than a window, hold nothing; a key on several rows counts once; ties don't
-    arise; very long texts go through in blocks of windows; empty tables give an empty result; other columns are ignored.
-    """
-    extra = extra or []
-    renamed = [F.col(f"`{c}`").alias(f"x{i}") for i, c in enumerate(extra)]
-    source = spread(corpus.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"), *renamed).where("key is not null and text is not null"))
-    kept = ["key", *(f"x{i}" for i in range(len(extra)))]
-    if max_edits:  # many walks a text: a key's text is searched once, which is worth a shuffle of the texts
-        source = source.groupBy("key").agg(F.first("text").alias("text"), *(F.min(c).alias(c) for c in kept[1:]))
-    spark = corpus.sparkSession
-    known = materialize(items_with_shared_runs(items, item, item_text, shared_run))
-    total = known.agg(F.sum(F.size(F.split("text", r"\s+")))).first()[0] or 0
-    blocks = max(1, math.ceil(total / block_words))
-    kinds = ", ".join(f"{c} {source.schema[c].dataType.simpleString()}" for c in kept)
-    parts = []
-    for b in range(blocks):
-        of_block = known.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == b).orderBy("item")
-        index = spark.sparkContext.broadcast(Index([tuple(r) for r in of_block.collect()], window, shared_run, max_edits, recall))
-
-        def search(batches: Iterator[pd.DataFrame], index=index) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for item, text, shared in zip(batch["item"], batch["text"], batch["shared"], strict=True):
+                line, places = words(text), np.sort(np.array(shared, dtype=np.int64))
+                for k, at in enumerate(range(0, max(1, len(line) - window + 1), most)):
+                    part = line[at : at + most + window - 1]
+                    rows.append((item, k, " ".join(part), (places[(places >= at) & (places < at + len(part))] - at).tolist(), len(part)))
+            if rows:
+                yield pd.DataFrame(rows, columns=["item", "segment", "text", "shared", "n"])
+
+    return known.mapInPandas(cut, f"item {known.schema['item'].dataType.simpleString()}, segment int, text string, shared array<int>, n long")
+
+
+class LeakSearch:
+    """found: (key, item, edits, windows, extra...); recall: the least share of edited windows that an index was measured to find, 1 for an exact search."""
+
+    def __init__(
+        self, corpus: DataFrame, items: DataFrame, key: str, text: str, item: str, item_text: str,
+        window: int = 13, shared_run: int = 8, max_edits: int = 0, recall: float = 0.95, exact: bool = False, extra: list[str] | None = None, block_words: int = BLOCK_WORDS,
+    ):
+        extra = extra or []
+        renamed = [F.col(f"`{c}`").alias(f"x{i}") for i, c in enumerate(extra)]
+        kept = ["key", *(f"x{i}" for i in range(len(extra)))]
+        source = spread(corpus.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"), *renamed).where("key is not null and text is not null"))
+        if max_edits:  # many walks a text: a key's text is searched once, which is worth a shuffle of the texts
+            source = source.groupBy("key").agg(F.first("text").alias("text"), *(F.min(c).alias(c) for c in kept[1:]))
+        known = materialize(in_segments(items_with_shared_runs(items, item, item_text, shared_run), window, block_words))
+        total = known.agg(F.sum("n")).first()[0] or 0
+        blocks = max(1, math.ceil(total / block_words))
+        # blocks by running numbers of words, so that none has more than twice block_words
+        placed = known.withColumn("block", F.lit(0)) if blocks == 1 else materialize(running_offsets(known, ["item", "segment"], "n").withColumn("block", F.floor(F.col("start") / block_words).cast("int")))
+        spark = corpus.sparkSession
+        self.recall, parts = 1.0, []
+        for b in range(blocks):
+            rows = placed.where(F.col("block") == b).orderBy("item", "segment").select("item", "text", "shared").collect()
+            index = Index([tuple(r) for r in rows], window, shared_run, max_edits, recall, exact)
+            self.recall = min(self.recall, index.recall)
+            shared = spark.sparkContext.broadcast(index)
+            part = self.searched(source, kept, shared)
+            if blocks > 1:  # a block's index is let go before the next is made
+                part = materialize(part)
+                shared.destroy()
+            parts.append(part)
+        found = reduce(DataFrame.union, parts)
+        least = [F.min(f"x{i}").alias(c) for i, c in enumerate(extra)]
+        # an item's windows may be in several blocks, and a place of a text meet some of each
+        per_item = found.groupBy("key", "row", "item").agg(F.min("edits").alias("edits"), F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"), *(F.min(c).alias(c) for c in kept[1:])) if blocks > 1 else found
+        self.found = per_item.withColumn("windows", F.size("places").cast("long")).groupBy(F.col("key").alias(key), F.col("item").alias(item)).agg(F.min("edits").alias("edits"), F.max("windows").alias("windows"), *least)
+
+    @staticmethod
+    def searched(source: DataFrame, kept: list[str], index) -> DataFrame:
+        """(kept, row, item, edits, places) of each text and item that met: the words at which its windows begin. row is a digest of the text."""
+        kinds = ", ".join(f"{c} {source.schema[c].dataType.simpleString()}" for c in kept)
+
+        def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             ix: Index = index.value
             get, gap = ix.symbol.get, ix.window + ix.max_edits
             for batch in batches:
                 pieces, firsts, rows, at = [], [], [], 0
+                base = np.zeros(len(batch), dtype=np.int64)
                 for r, t in enumerate(batch["text"]):
                     line = [get(w, 0) for w in words(t)]
                     if len(line) >= ix.window:
                         pieces.append(np.array(line + [-1] * gap, dtype=np.int32))
-                        n = len(line) - ix.window + 1
+                        n, base[r] = len(line) - ix.window + 1, at
                         firsts.append(np.arange(at, at + n))
                         rows.append(np.full(n, r))
                         at += len(line) + gap
@@ -319,16 +379,27 @@ def leaked_items(
                 place = np.concatenate([a + p for a, p, _, _ in got])
                 if not len(place):
                     continue
-                found = pd.DataFrame({"row": row_of[place], "item": np.concatenate([i for _, _, i, _ in got]), "edits": np.concatenate([e for _, _, _, e in got]), "place": place})
-                best = found.groupby(["row", "item"], as_index=False).agg(edits=("edits", "min"), windows=("place", "nunique"))
+                found = pd.DataFrame({"row": row_of[place], "item": np.concatenate([i for _, _, i, _ in got]), "edits": np.concatenate([e for _, _, _, e in got]), "place": starts[place] - base[row_of[place]]})
+                found["item"] = [ix.ids[i] for i in found["item"]]  # segments of an item are one item
+                best = found.groupby(["row", "item"], as_index=False).agg(edits=("edits", "min"), places=("place", "unique"))
                 out = batch.iloc[best["row"].to_numpy(dtype=np.int64)][kept].reset_index(drop=True)
-                out["item"] = [ix.ids[i] for i in best["item"]]
-                out["edits"], out["windows"] = best["edits"].astype("int32"), best["windows"].astype("int64")
+                out["row"] = [hashlib.blake2b(batch["text"].iloc[r].encode("utf-8", "surrogatepass"), digest_size=16).digest() for r in best["row"]]
+                out["item"], out["edits"], out["places"] = best["item"], best["edits"].astype("int32"), best["places"]
                 yield out
 
-        parts.append(source.mapInPandas(search, f"{kinds}, item string, edits int, windows long"))
-    found = parts[0]
-    for part in parts[1:]:
-        found = found.union(part)
-    least = [F.min(f"x{i}").alias(c) for i, c in enumerate(extra)]
-    return found.groupBy(F.col("key").alias(key), F.col("item").alias(item)).agg(F.min("edits").alias("edits"), F.max("windows").alias("windows"), *least)
+        return source.mapInPandas(search, f"{kinds}, row binary, item string, edits int, places array<bigint>")
+
+
+def leaked_items(corpus: DataFrame, items: DataFrame, key: str, text: str, item: str, item_text: str, **settings) -> DataFrame:
+    """(key, item, edits, windows, *extra): the items of which a corpus text holds a window of words within max_edits.
+
+    Only windows count of which no run of shared_run words occurs in another item. edits is the least of all
+    windows that matched, windows their number on the row where it is greatest; extra columns are the least value of
+    the key's rows. Without edits every match is found; with edits about the share recall of single windows with the
+    worst mix of max_edits edits, and other windows and a passage of several windows more surely; with exact=True all of them, by parts
+    that the edits leave in place of walks, at a cost that grows with how common the items' wording is.
+
+    Null keys and texts, and texts shorter than a window, hold nothing; a key on several rows counts once; ties don't
+    arise; very long texts go through in blocks of windows, very long items in segments; empty tables give an empty result; other columns are ignored.
+    """
+    return LeakSearch(corpus, items, key, text, item, item_text, **settings).found

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.classes import pairs_across, pairs_within
+from siltstone.llm.classes import in_blocks, pairs_across, pairs_within
 from siltstone.runtime import materialize, spread
 
 # Letters of Latin, Cyrillic and Greek that are drawn alike, one class a word, after the public table of confusable characters of
@@ -209,8 +209,8 @@ def same_looking_pairs(df: DataFrame, key: str = "doc_id", text: str = "text", p
     """
     rows = looks(df, key, text, pairs)
     strings = rows.select(F.col("form").alias("cls"), F.col("string").alias("key")).distinct()
-    linked = materialize(pairs_within(strings).select(F.col("ka").alias("a"), F.col("kb").alias("b")))
-    found = pairs_across(linked, rows.select(F.col("string").alias("cls"), "key"))
+    linked = materialize(pairs_within(in_blocks(strings)).select(F.col("ka").alias("a"), F.col("kb").alias("b")))
+    found = pairs_across(linked, in_blocks(rows.select(F.col("string").alias("cls"), "key")))
     return found.select(F.col("ka").alias(f"{key}_a"), F.col("kb").alias(f"{key}_b"))
 
 

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.classes import BLOCK, pairs_across, pairs_within
+from siltstone.llm.classes import BLOCK, in_blocks, pairs_across, pairs_within
 from siltstone.llm.words import WordCodes, mix, shingles, words
 from siltstone.runtime import materialize, small_side, spread
 
@@ -187,11 +187,11 @@ class NearDuplicates:
 
     def pairs(self, key: str) -> DataFrame:
         """Every pair (key_a, key_b, similarity), key_a < key_b: within a class, and between linked classes."""
-        members = self.members.select(F.col("kind").alias("cls"), "key")
-        within = pairs_within(members, self.block).withColumn("similarity", F.lit(1.0))
+        placed = materialize(in_blocks(self.members.select(F.col("kind").alias("cls"), "key"), self.block))
+        within = pairs_within(placed).withColumn("similarity", F.lit(1.0))
         kinds = self.reps.select("rid", "kind")
         links = self.links.join(kinds.select(F.col("rid").alias("a"), F.col("kind").alias("kind_a")), "a").join(kinds.select(F.col("rid").alias("b"), F.col("kind").alias("kind_b")), "b")
-        across = pairs_across(links.select(F.col("kind_a").alias("a"), F.col("kind_b").alias("b"), "similarity"), members, self.block)
+        across = pairs_across(links.select(F.col("kind_a").alias("a"), F.col("kind_b").alias("b"), "similarity"), placed)
         return within.unionByName(across).select(F.col("ka").alias(f"{key}_a"), F.col("kb").alias(f"{key}_b"), "similarity")
 
     def groups(self, key: str) -> DataFrame:

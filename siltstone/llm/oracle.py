@@ -40,7 +40,8 @@ def _looks() -> str:
             table[ch] = unicodedata.normalize("NFC", least[apart[0]] + apart[1:])
     table = {a: b for a, b in table.items() if len(b) == 1}
     quoted = lambda t: "'" + "".join(t).replace("'", "''") + "'"
-    text = f"regexp_replace(nfc_normalize(text), '[\\p{{Cf}}{lookalike.WIDTHLESS}]', '', 'g')"
+    # NUL would end a string here; another control character stands for it
+    text = f"regexp_replace(nfc_normalize(replace(text, chr(0), chr(1))), '[\\p{{Cf}}{lookalike.WIDTHLESS}]', '', 'g')"
     for spelled, joined in lookalike.compatible_pairs():
         text = f"replace({text}, {quoted(joined)}, {quoted(spelled)})" if len(spelled) > 1 else text
     form = f"nfc_normalize(translate({text}, {quoted(table)}, {quoted(table.values())}))"
@@ -136,6 +137,27 @@ windows AS (SELECT DISTINCT corpus_id, {_run(13)} AS g FROM (SELECT corpus_id, w
 SELECT DISTINCT corpus_id, test_id FROM windows JOIN good USING (g)""",
 }
 
+_WIDE = rf"""
+items AS MATERIALIZED (SELECT test_id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') AS ws FROM benchmark_item WHERE text IS NOT NULL),
+short AS (SELECT test_id, i, {_run(8)} AS g FROM (SELECT test_id, ws, unnest(range(1, len(ws) - 6)) AS i FROM items)),
+shared AS (SELECT g FROM short GROUP BY g HAVING count(DISTINCT test_id) > 1),
+taken AS (SELECT test_id, i FROM short WHERE g IN (FROM shared)),
+wide AS MATERIALIZED (SELECT test_id, i, list_slice(ws, i, i + 12) AS w FROM (SELECT test_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM items) x
+  WHERE NOT EXISTS (FROM taken t WHERE t.test_id = x.test_id AND t.i BETWEEN x.i AND x.i + 5))"""
+# Of a window's three parts two edits leave one unchanged, at most two words away; then the words, written as letters, are compared by Levenshtein's distance.
+ORACLE["p6_exact"] = rf"""
+WITH {_TEXTS}, {_WIDE},
+parts AS (SELECT test_id, i, a, array_to_string(w[a + 1:a + n], ' ') AS g FROM wide, (VALUES (0, 4), (4, 4), (8, 5)) v(a, n)),
+grams AS (SELECT corpus_id, q, array_to_string(ws[q:q + n - 1], ' ') AS g FROM (SELECT corpus_id, ws, n, unnest(range(1, len(ws) - n + 2)) AS q FROM texts, (VALUES (4), (5)) v(n))),
+near AS (SELECT DISTINCT corpus_id, q - a - move AS p, test_id, i FROM grams JOIN (SELECT DISTINCT * FROM parts) USING (g), range(-2, 3) m(move)),
+spelled AS (
+  SELECT corpus_id, p, test_id, w, ws[p:p + 14] AS t, list_distinct(list_concat(w, ws[p:p + 14])) AS alphabet
+  FROM near JOIN texts USING (corpus_id) JOIN wide USING (test_id, i) WHERE p >= 1 AND p <= len(ws) - 12),
+letters AS (SELECT corpus_id, p, test_id, array_to_string([chr(64 + list_position(alphabet, x)) FOR x IN w], '') AS a, array_to_string([chr(64 + list_position(alphabet, x)) FOR x IN t], '') AS b FROM spelled),
+measured AS (SELECT corpus_id, p, test_id, list_min([levenshtein(a, b[1:n]) FOR n IN range(11, 16)]) AS edits FROM letters),
+named AS (SELECT corpus_id, min(lower(regexp_replace(dataset, '^[\s\x{{00a0}}]+|[\s\x{{00a0}}]+$', '', 'g'))) AS dataset FROM annotation WHERE corpus_text IS NOT NULL GROUP BY 1)
+SELECT corpus_id, test_id, CAST(min(edits) AS INTEGER) AS edits, count(DISTINCT p) AS windows, any_value(dataset) AS dataset
+FROM measured JOIN named USING (corpus_id) WHERE edits <= 2 GROUP BY 1, 2"""
 ORACLE["p9_found"] = _looks() + " SELECT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM looks a JOIN looks b USING (form) WHERE a.doc_id < b.doc_id AND a.text <> b.text"
 ORACLE["p9_classes"] = _looks() + " SELECT doc_id, min(doc_id) OVER w AS class_id, links FROM looks JOIN (SELECT form, count(DISTINCT text) - 1 AS links FROM looks GROUP BY form) USING (form) WINDOW w AS (PARTITION BY form)"
 

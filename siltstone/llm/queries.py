@@ -103,6 +103,20 @@ def p6_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leak.leaked_items(corpus, items, "corpus_id", "corpus_text", "test_id", "text", max_edits=2, extra=["dataset"])
 
 
+def p6_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """p6_leaks by the exact search, which its recall is measured against."""
+    corpus = table(spark, sf_dir, "annotation", "corpus_id", "corpus_text", "dataset").withColumn("dataset", topn.clean_key("dataset"))
+    items = table(spark, sf_dir, "benchmark_item", "test_id", "text")
+    return leak.leaked_items(corpus, items, "corpus_id", "corpus_text", "test_id", "text", max_edits=2, exact=True, extra=["dataset"])
+
+
+def p6_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row: leaks and windows that the exact search finds, and those of them that p6_leaks finds."""
+    exact, found = p6_exact(spark, sf_dir), p6_leaks(spark, sf_dir).select("corpus_id", "test_id", F.col("windows").alias("met"))
+    both = exact.join(found, ["corpus_id", "test_id"], "left")
+    return both.agg(F.count(F.lit(1)).alias("leaks"), F.count("met").alias("leaks_found"), F.sum("windows").alias("windows"), F.sum("met").alias("windows_found"))
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_corpus(table(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -133,5 +147,5 @@ def p9_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    own = [p1_found, p1_ranked, p2_found, p2_pieces, p2_rejoined, p3_found, p3_consensus, p3_annotators, p3_agreement, p4_found, p5_found, p5_groups, p6_found, p6_leaks, p7_ids, p8_mixture, p8_shares, p9_found, p9_forms, p9_classes]
+    own = [p1_found, p1_ranked, p2_found, p2_pieces, p2_rejoined, p3_found, p3_consensus, p3_annotators, p3_agreement, p4_found, p5_found, p5_groups, p6_found, p6_leaks, p6_exact, p6_recall, p7_ids, p8_mixture, p8_shares, p9_found, p9_forms, p9_classes]
     return {f.__name__: f for f in own}

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from siltstone.llm import leak, neardup
+from siltstone.llm import classes, leak, neardup
 from siltstone.llm.words import words
 
 WORDS = [f"w{i}" for i in range(400)]
@@ -159,3 +159,56 @@ def test_edit_distance_to_a_beginning():
     one = np.array([[1, 2, 3, 4]] * 4)
     two = np.array([[1, 2, 3, 4, 9], [1, 2, 4, 9, 9], [1, 7, 2, 3, 4], [1, 2, 3, -1, -1]])
     assert leak.edit_distance(one, two).tolist() == [0, 1, 1, 1]
+
+
+@pytest.mark.parametrize("block", [2, 512])
+def test_pairs_of_classes_in_blocks(spark, block):
+    """With one class of a third of all members."""
+    draw = random.Random(block)
+    members = [(0, k) for k in range(40)] + [(draw.randint(1, 25), k) for k in range(40, 120)]
+    links = sorted({tuple(sorted(draw.sample(range(26), 2))) for _ in range(20)} | {(0, 1)})
+    placed = classes.in_blocks(spark.createDataFrame(members, "cls int, key int").repartition(5), block).cache()
+    got = [(r.ka, r.kb) for r in classes.pairs_within(placed).collect()]
+    assert sorted(got) == sorted((a, b) for c, a in members for d, b in members if c == d and a < b)
+    got = [(r.ka, r.kb, r.s) for r in classes.pairs_across(spark.createDataFrame([(*x, 0.5) for x in links], "a int, b int, s double"), placed).collect()]
+    assert sorted(got) == sorted((min(p, q), max(p, q), 0.5) for a, b in links for c, p in members if c == a for d, q in members if d == b)
+
+
+def test_leaks_in_blocks_and_segments_are_those_of_one_index(spark):
+    """Items longer than a block come in segments; a window on either side of a cut is found, and the exact search loses none of the edited ones."""
+    draw = random.Random(9)
+    item = [f"i{draw.randrange(300)}" for _ in range(150)]
+    items = spark.createDataFrame([("long", " ".join(item)), ("short", " ".join(f"s{i}" for i in range(20))), ("none", None)], "test_id string, t string")
+    rows = []
+    for k in range(0, 137, 4):
+        passage = item[k : k + 13]
+        rows.append((f"c{k:03}", " ".join(["x"] * 5 + passage + ["y"] * 5)))
+        passage = list(passage)
+        del passage[draw.randrange(13)]
+        passage.insert(draw.randrange(12), "new")
+        rows.append((f"e{k:03}", " ".join(["x"] * 5 + passage + item[k + 13 : k + 14] + ["y"] * 5)))
+    rows.append(("twice", " ".join(item[:40] + ["z"] * 9 + item[90:130])))
+    df = spark.createDataFrame(rows, "k string, t string")
+    search = lambda **s: {(r.k, r.test_id): (r.edits, r.windows) for r in leak.leaked_items(df, items, "k", "t", "test_id", "t", **s).collect()}
+    plain = search()
+    assert set(plain) >= {(k, "long") for k, _ in rows if k[0] in "ct"} and search(block_words=30) == plain
+    exact = search(max_edits=2, exact=True)
+    assert {k for k, _ in exact} == {k for k, _ in rows} and search(max_edits=2, exact=True, block_words=30) == exact
+    found = leak.LeakSearch(df, items, "k", "t", "test_id", "t", max_edits=2)
+    got = {(r.k, r.test_id): (r.edits, r.windows) for r in found.found.collect()}
+    assert found.recall >= 0.95 and set(got) <= set(exact) and len(got) >= 0.95 * len(exact)
+    assert sum(w for _, w in got.values()) >= 0.95 * sum(w for _, w in exact.values())
+
+
+def test_recall_on_held_out_windows_with_two_edits():
+    """Fresh windows with the worst mixes of two edits, followed by other words than those that the walks were chosen with."""
+    draw = np.random.default_rng(77)
+    items = [(f"t{k}", " ".join(f"w{draw.integers(2000)}" for _ in range(60)), []) for k in range(60)]
+    index = leak.Index(items, 13, 8, 2, 0.95)
+    for kinds in ((0, 0), (1, 1), (0, 1), (2, 2)):
+        starts, rows = index.edited(kinds, 1500, draw)
+        symbols = np.concatenate([rows, np.full((len(rows), 15), -1, dtype=np.int32)], axis=1)
+        place, item, _ = index.hits(symbols.ravel(), np.arange(len(rows)) * symbols.shape[1])
+        owner = {int(s): int(o) for s, o in zip(index.starts, index.owner)}
+        met = {(int(p), int(i)) for p, i in zip(place, item)}
+        assert np.mean([(k, owner[int(s)]) in met for k, s in enumerate(starts)]) >= 0.94, kinds

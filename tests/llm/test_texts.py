@@ -163,6 +163,21 @@ def test_same_looking_and_visibly_different(spark):
     assert lookalike.same_looking_pairs(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("one, two, same", [
+    ("\u0600\u0661", "\u0661", False), ("a\u06ddb", "ab", False), ("\uffe5", "\u00a5", True), ("\u0133", "ij", True), ("\u0474", "V", True), ("\u01c4", "D\u017d", True), ("\u03ba", "\u043a", True),
+    ("\u03b1", "a", False), ("\u0131", "i", False), ("\u2026", "...", False), ("\u2167", "VIII", False), ("\uff30", "\u0420", True), ("\ufb01", "fi", True), ("a\u00adb", "ab", True),
+])
+def test_what_looks_the_same(one, two, same):
+    rewrite = lookalike.Rewriter(tuple(lookalike.rewrite_table(lookalike.classes(lookalike.look_alike_pairs()), {}).items()))
+    assert (rewrite(one) == rewrite(two)) is same
+
+
+def test_classes_of_looks(spark):
+    df = spark.createDataFrame([(5, "A b"), (3, "\u0410 b"), (7, "A b"), (9, "A\u00a0b"), (1, "c"), (2, None), (4, " ")], "doc_id long, text string")
+    assert {r.doc_id: (r.class_id, r.links) for r in lookalike.same_looking_classes(df).collect()} == {5: (3, 2), 3: (3, 2), 7: (3, 2), 9: (3, 2), 1: (1, 0)}
+    assert lookalike.same_looking_classes(df.limit(0)).count() == 0
+
+
 def test_representatives_follow_frequency_and_forms_are_stable(spark):
     groups = lookalike.classes(lookalike.look_alike_pairs())
     russian = lookalike.rewrite_table(groups, {"а": 10, "a": 1})
