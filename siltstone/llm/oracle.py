@@ -5,6 +5,7 @@ from __future__ import annotations
 import unicodedata
 
 from siltstone.llm import lookalike
+from siltstone.plans.texts import BPE
 
 _BEST = r"""
 WITH usable AS (
@@ -158,6 +159,22 @@ measured AS (SELECT corpus_id, p, test_id, list_min([levenshtein(a, b[1:n]) FOR
 named AS (SELECT corpus_id, min(lower(regexp_replace(dataset, '^[\s\x{{00a0}}]+|[\s\x{{00a0}}]+$', '', 'g'))) AS dataset FROM annotation WHERE corpus_text IS NOT NULL GROUP BY 1)
 SELECT corpus_id, test_id, CAST(min(edits) AS INTEGER) AS edits, count(DISTINCT p) AS windows, any_value(dataset) AS dataset
 FROM measured JOIN named USING (corpus_id) WHERE edits <= 2 GROUP BY 1, 2"""
+ORACLE["p7_digests"] = BPE + "SELECT doc_id, CAST(coalesce(len(ids), 0) AS INTEGER) AS n_tokens, md5(coalesce(array_to_string(ids, ','), '')) AS digest FROM documents LEFT JOIN tokens USING (doc_id)"
+# Sources in the order in which the budget fills them up: the first k are full and the rest gets its weight's share of what they leave.
+ORACLE["p8_plan"] = BPE + r""",
+sizes AS (SELECT replace(lower(regexp_replace(source, '^\s+|\s+$', '', 'g')), '-', '_') AS source, coalesce(len(ids), 0) AS n FROM documents LEFT JOIN tokens USING (doc_id)),
+have AS (SELECT source, CAST(sum(n) AS BIGINT) AS n FROM sizes GROUP BY source),
+goals AS (
+  SELECT mix_name, replace(lower(regexp_replace(t.source, '^\s+|\s+$', '', 'g')), '-', '_') AS source, greatest(coalesce(weight, 0), 0) AS w, greatest(coalesce(max_repeats, 1), 0) AS r, budget_share * (SELECT sum(n) FROM sizes) AS budget
+  FROM mixture_target t),
+caps AS (SELECT mix_name, g.source, w, budget, coalesce(n, 0) AS n, coalesce(n, 0) * r AS cap FROM goals g LEFT JOIN have h ON h.source = g.source),
+filled AS (
+  SELECT *, cap / w AS ratio, row_number() OVER o AS k, (budget - coalesce(sum(cap) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(w) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+  FROM caps WHERE w > 0 WINDOW o AS (PARTITION BY mix_name ORDER BY cap / w, source)),
+levels AS (SELECT mix_name, arg_min(level, k) AS level FROM filled WHERE level < ratio GROUP BY mix_name)
+SELECT mix_name, source, n AS available_tokens, round(budget, 3) AS budget_tokens, round(w / nullif(sum(w) OVER (PARTITION BY mix_name), 0) * budget, 3) AS target_tokens,
+  round(CASE WHEN w > 0 THEN least(cap, w * coalesce(level, 1e300)) ELSE 0 END, 3) AS allotted_tokens, true AS near, true AS capped
+FROM caps LEFT JOIN levels USING (mix_name)"""
 ORACLE["p9_found"] = _looks() + " SELECT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM looks a JOIN looks b USING (form) WHERE a.doc_id < b.doc_id AND a.text <> b.text"
 ORACLE["p9_classes"] = _looks() + " SELECT doc_id, min(doc_id) OVER w AS class_id, links FROM looks JOIN (SELECT form, count(DISTINCT text) - 1 AS links FROM looks GROUP BY form) USING (form) WINDOW w AS (PARTITION BY form)"
 

@@ -121,6 +121,11 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_corpus(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def p7_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = p7_ids(spark, sf_dir)
+    return ids.select("doc_id", F.size("ids").alias("n_tokens"), F.md5(F.array_join(F.col("ids").cast("array<string>"), ",")).alias("digest"))
+
+
 def mixed(spark: SparkSession, sf_dir: str) -> mixing.Mixture:
     documents = table(spark, sf_dir, "documents", "doc_id", "source", "text")
     return mixing.mixture(documents, table(spark, sf_dir, "mixture_target"), "doc_id", "source", bpe.token_count(F.col("text")))
@@ -134,6 +139,16 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed(spark, sf_dir).shares()
 
 
+def p8_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each source of a mix is to give, whether what it gives is off by less than its longest document, and whether its repeats keep to the cap."""
+    made = mixed(spark, sf_dir)
+    longest = made.sized.groupBy("source").agg(F.max("tokens").alias("longest"))
+    shares = made.shares().join(longest, "source", "left")
+    near = F.abs(F.col("reached_tokens") - F.col("allotted_tokens")) <= F.coalesce("longest", F.lit(0))
+    numbers = [F.round(c, 3).alias(c) for c in ("budget_tokens", "target_tokens", "allotted_tokens")]
+    return shares.select("mix_name", "source", "available_tokens", *numbers, near.alias("near"), (F.col("most_copies") <= F.col("max_repeats")).alias("capped"))
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalike.same_looking_pairs(table(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -147,5 +162,5 @@ def p9_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    own = [p1_found, p1_ranked, p2_found, p2_pieces, p2_rejoined, p3_found, p3_consensus, p3_annotators, p3_agreement, p4_found, p5_found, p5_groups, p6_found, p6_leaks, p6_exact, p6_recall, p7_ids, p8_mixture, p8_shares, p9_found, p9_forms, p9_classes]
+    own = [p1_found, p1_ranked, p2_found, p2_pieces, p2_rejoined, p3_found, p3_consensus, p3_annotators, p3_agreement, p4_found, p5_found, p5_groups, p6_found, p6_leaks, p6_exact, p6_recall, p7_ids, p7_digests, p8_mixture, p8_shares, p8_plan, p9_found, p9_forms, p9_classes]
     return {f.__name__: f for f in own}
