@@ -1,4 +1,4 @@
-"""Distributions and tests on numpy: t, normal, Wilcoxon, Shapiro-Wilk, bootstrap and GEE. No SciPy is needed."""
+"""Distributions and tests on numpy: t, normal, Wilcoxon, Shapiro-Wilk, bootstrap, GEE and a mixed model. No SciPy is needed."""
 
 from __future__ import annotations
 
@@ -244,3 +244,61 @@ def gee_exchangeable(y, arm, cluster, rounds: int = 50) -> tuple[float, float, f
     inverse = np.linalg.inv(bread)
     se = math.sqrt((inverse @ meat @ inverse)[1, 1])
     return float(beta[1]), se, float(2 * normal_cdf(-abs(beta[1] / se))) if se > 0 else math.nan
+
+
+def mixed_logistic(hits, trials, nodes: int = 1, rounds: int = 200) -> tuple[float, float, float, float]:
+    """(effect, its standard error, two-sided p, deviation of the clusters) of a logistic model with a normal intercept for each cluster.
+
+    hits and trials have a row a cluster and two columns: the arm, then the one it is compared with. The intercepts are integrated out by adaptive Gauss-Hermite
+    quadrature around each cluster's mode; one node is Laplace's approximation. All nan where the likelihood has no inner maximum."""
+    hits, trials = np.asarray(hits, float), np.asarray(trials, float)
+    z, w = np.polynomial.hermite.hermgauss(nodes)
+    log_w, arm = np.log(w) + z * z, np.array([1.0, 0.0])
+
+    def inner(theta, v):
+        eta = theta[0] + theta[1] * arm + math.exp(theta[2]) * v[..., None]
+        return (hits * eta - trials * np.logaddexp(0, eta)).sum(axis=-1) - v * v / 2, 1 / (1 + np.exp(-eta))
+
+    def likelihood(theta) -> float:
+        sigma, v = math.exp(theta[2]), np.zeros(len(hits))
+        for _ in range(60):
+            p = inner(theta, v)[1]
+            curve = sigma * sigma * (trials * p * (1 - p)).sum(axis=1) + 1
+            step = np.clip((sigma * (hits - trials * p).sum(axis=1) - v) / curve, -1, 1)
+            v += step
+            if np.abs(step).max(initial=0) < 1e-10:
+                break
+        p = inner(theta, v)[1]
+        scale = np.sqrt(2 / (sigma * sigma * (trials * p * (1 - p)).sum(axis=1) + 1))
+        at = np.stack([inner(theta, v + scale * node)[0] + lw for node, lw in zip(z, log_w, strict=True)])
+        top = at.max(axis=0)
+        return float((top + np.log(np.exp(at - top).sum(axis=0)) + np.log(scale) - 0.5 * math.log(2 * math.pi)).sum())
+
+    def slopes(theta, h=1e-4):
+        e = np.eye(3) * h
+        up, down, here = [likelihood(theta + x) for x in e], [likelihood(theta - x) for x in e], likelihood(theta)
+        gradient = np.array([(a - b) / (2 * h) for a, b in zip(up, down)])
+        hessian = np.diag([(a + b - 2 * here) / (h * h) for a, b in zip(up, down)])
+        for i, j in ((0, 1), (0, 2), (1, 2)):
+            hessian[i, j] = hessian[j, i] = (likelihood(theta + e[i] + e[j]) - likelihood(theta + e[i] - e[j]) - likelihood(theta - e[i] + e[j]) + likelihood(theta - e[i] - e[j])) / (4 * h * h)
+        return here, gradient, hessian
+
+    rate = min(max(hits.sum() / max(trials.sum(), 1), 1e-3), 1 - 1e-3)
+    theta = np.array([math.log(rate / (1 - rate)), 0.0, -0.5])
+    for _ in range(rounds):
+        here, gradient, hessian = slopes(theta)
+        values, vectors = np.linalg.eigh(-hessian)
+        step = np.clip(vectors @ ((vectors.T @ gradient) / np.maximum(np.abs(values), 1e-6)), -1, 1)
+        size = 1.0
+        while size > 1e-8 and likelihood(theta + size * step) < here:
+            size /= 2
+        theta = theta + size * step
+        if np.abs(size * step).max() < 1e-7 or np.abs(theta).max() > 12:
+            break
+    hessian = slopes(theta)[2]
+    # without spread between the clusters, log sigma runs off and the other two are what is left
+    free = slice(0, 2) if theta[2] < -6 else slice(0, 3)
+    if np.abs(theta[:2]).max() > 12 or theta[2] > 5 or np.linalg.eigvalsh(-hessian[free, free]).min() <= 0:
+        return math.nan, math.nan, math.nan, math.nan
+    se = math.sqrt(np.linalg.inv(-hessian[free, free])[1, 1])
+    return float(theta[1]), se, 2 * normal_cdf(-abs(theta[1]) / se), math.exp(theta[2])

@@ -114,7 +114,7 @@ def paired_tests(pairs: DataFrame, key: str, times: int = 10_000, seed: int = 42
 
 
 def clustered_tests(counts: DataFrame, key: str, times: int = 10_000, seed: int = 42) -> DataFrame:
-    """Clustered bootstrap and GEE of two arms; counts: key, sample, hits_a, trials_a, hits_b, trials_b. With a separated arm, the GEE gives way to Wilcoxon's test."""
+    """Clustered bootstrap, GEE and binomial mixed model (mixed, mixed_p) of two arms; counts: key, sample, hits_a, trials_a, hits_b, trials_b. With a separated arm, the GEE gives way to Wilcoxon's test."""
 
     def test(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("sample", kind="stable")
@@ -126,10 +126,12 @@ def clustered_tests(counts: DataFrame, key: str, times: int = 10_000, seed: int
         cluster = np.concatenate([np.repeat(np.arange(len(part)), cols[1].astype(int)), np.repeat(np.arange(len(part)), cols[3].astype(int))])
         if st.separated(np.concatenate(ya), np.concatenate(yb)):
             effect, effect_p, method = float("nan"), st.wilcoxon(cols[0] / cols[1], cols[2] / cols[3])[1], "wilcoxon"
+            mixed, mixed_p = float("nan"), float("nan")
         else:
             effect, _, effect_p = st.gee_exchangeable(y, arm, cluster)
             method = "gee"
-        return pd.DataFrame([[part[key].iloc[0], len(part), diff, low, high, p, effect, effect_p, method]], columns=[key, "n", "diff", "low", "high", "p", "effect", "effect_p", "method"])
+            mixed, _, mixed_p, _ = st.mixed_logistic(np.stack([cols[0], cols[2]], axis=1), np.stack([cols[1], cols[3]], axis=1))
+        return pd.DataFrame([[part[key].iloc[0], len(part), diff, low, high, p, effect, effect_p, method, mixed, mixed_p]], columns=[key, "n", "diff", "low", "high", "p", "effect", "effect_p", "method", "mixed", "mixed_p"])
 
     kind = counts.schema[key].dataType.simpleString()
-    return counts.groupBy(key).applyInPandas(test, f"{key} {kind}, n long, diff double, low double, high double, p double, effect double, effect_p double, method string")
+    return counts.groupBy(key).applyInPandas(test, f"{key} {kind}, n long, diff double, low double, high double, p double, effect double, effect_p double, method string, mixed double, mixed_p double")

@@ -36,9 +36,23 @@ def find_files(spark: SparkSession, folder: str, endings: tuple[str, ...] = DATA
     return sorted(out)
 
 
-def read_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """(line, file) of text files in plain, gzip or zstandard form; bytes that aren't UTF-8 become replacement characters."""
-    return spark.read.text(paths).select(F.col("value").alias("line"), F.col("_metadata.file_name").alias("file"))
+def read_lines(spark: SparkSession, paths: str | list[str], skip_unreadable: bool = False) -> DataFrame:
+    """(line, file) of text files in plain, gzip or zstandard form; bytes that aren't UTF-8 become replacement characters. With skip_unreadable a
+    file that breaks off gives what could be read of it, and the others go on; files_without_lines tells those that gave nothing."""
+    return spark.read.option("ignoreCorruptFiles", str(skip_unreadable).lower()).text(paths).select(F.col("value").alias("line"), F.col("_metadata.file_name").alias("file"))
+
+
+def files_without_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(file) of the paths that can't be read or are empty."""
+    listed = spark.createDataFrame([(p.rstrip("/").rsplit("/", 1)[-1],) for p in paths], "file string")
+    return listed.join(read_lines(spark, paths, skip_unreadable=True).select("file").distinct(), "file", "left_anti")
+
+
+def rows_from(spark: SparkSession, path: str, file: str, offset: int) -> DataFrame:
+    """Parquet rows that are left after so many rows of a file were done: that file from the offset on, and the files behind it by name."""
+    df = spark.read.parquet(path)
+    name, place = F.col("_metadata.file_name"), F.col("_metadata.row_index")
+    return df.where((name > file) | ((name == file) & (place >= offset)))
 
 
 def parse_lines(lines: DataFrame, schema: T.StructType | str, keep_bad: bool = False) -> DataFrame:
@@ -72,13 +86,22 @@ def aliased(df: DataFrame, name: str) -> Column | None:
     return next((F.col(f"`{lowered[a]}`") for a in ALIASES.get(name, (name,)) if a in lowered), None)
 
 
-def read_vectors(df: DataFrame) -> DataFrame:
-    """(id, text, embedding) by aliases: id made from file and place where there is none; rows without a vector are dropped."""
+def dimension(df: DataFrame, vector: str = "embedding") -> int | None:
+    """The dimension of all vectors; an error where they differ; None where there is none."""
+    least, most = df.agg(F.min(F.size(vector)), F.max(F.size(vector))).first()
+    if least != most:
+        raise ValueError(f"vectors of {least} to {most} numbers")
+    return least
+
+
+def read_vectors(df: DataFrame, dims: int | None = None) -> DataFrame:
+    """(id, text, embedding) by aliases: id made from file and place where there is none; rows without a vector are dropped. With dims, a vector of another
+    dimension is an error when it is read; dimension(df) infers it."""
     vector, text, key = aliased(df, "embedding"), aliased(df, "text"), aliased(df, "id")
     if vector is None:
         raise ValueError(f"no vector column among {df.columns}")
     made = F.concat(F.lit("emb_"), F.monotonically_increasing_id().cast("string"))
-    return df.select((key.cast("string") if key is not None else made).alias("id"), (text if text is not None else F.lit(None).cast("string")).alias("text"), vector.cast("array<float>").alias("embedding")).where("embedding is not null")
+    return df.select((key.cast("string") if key is not None else made).alias("id"), (text if text is not None else F.lit(None).cast("string")).alias("text"), vector.cast("array<float>").alias("embedding")).where("embedding is not null").where(F.lit(True) if dims is None else F.coalesce(F.assert_true(F.size("embedding") == dims, F.lit(f"a vector hasn't {dims} numbers")).isNull(), F.lit(True)))
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
@@ -94,6 +117,13 @@ def read_json_files(spark: SparkSession, folder: str, schema: T.StructType | str
     return df.select("*", *(F.get(parts, i).alias(n) for i, n in enumerate(("file_dataset", "file_test_id", "file_corpus_id"))))
 
 
+def json_file_errors(spark: SparkSession, folder: str, schema: T.StructType) -> DataFrame:
+    """(file, record) of the documents that don't parse."""
+    wide = T.StructType([*schema.fields, T.StructField("__bad", T.StringType())])
+    df = spark.read.option("pathGlobFilter", "[!_]*.json").text(folder, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.col("value").alias("record"))
+    return df.where(F.from_json("record", wide, {"columnNameOfCorruptRecord": "__bad"})["__bad"].isNotNull())
+
+
 def long_variants(df: DataFrame, original: str, prefix: str) -> DataFrame:
     """(original, variant, text) of each column whose name has the prefix; blank originals and blank texts are left out."""
     names = [c for c in df.columns if c.startswith(prefix)]
@@ -152,6 +182,26 @@ class Registry:
         return df.limit(limit) if limit is not None else df
 
 
+# Names of the public data sets that are known, and the tasks of the one that is a union.
+DATASETS = ("gsm8k", "codeforces", "allenai", "mbpp", "humaneval", "popqa", "zebralogic", "agieval")
+UNION_NAME, UNION_TASKS = "bigbenchhard", ("boolean_expressions", "causal_judgement", "date_understanding", "logical_deduction_three_objects", "word_sorting")
+
+
+def read_any(spark: SparkSession, path: str) -> DataFrame:
+    """A file or folder of Parquet or JSON lines, by its name or what it holds."""
+    names = [path] if path.endswith(DATA_ENDINGS) else find_files(spark, path)
+    return spark.read.parquet(*names) if names[0].endswith(".parquet") else spark.read.json(names)
+
+
+def folder_registry(root: str, files: dict[str, str] | None = None) -> Registry:
+    """The known data sets as local copies: a folder a name under root, or a path of its own in files; a union's tasks are folders under its name."""
+    files, registry = files or {}, Registry()
+    for name in (*DATASETS, *(f"{UNION_NAME}/{t}" for t in UNION_TASKS)):
+        registry.add(name.rsplit("/", 1)[-1], lambda spark, path=files.get(name, f"{root}/{name}"): read_any(spark, path))
+    registry.add_union(UNION_NAME, list(UNION_TASKS))
+    return registry
+
+
 TRIALS = "sample_id long, test_split string, correct string"
 RATES = "epoch string, checkpoint string, sample_id long, pass_rate double, n_correct int, n_samples int"
 

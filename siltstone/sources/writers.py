@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def write_json_lines(df: DataFrame, path: str, compression: str | None = None, mode: str = "error") -> None:
-    """UTF-8 JSON lines; compression may be gzip, bzip2 or deflate."""
+def write_json_lines(df: DataFrame, path: str, compression: str | None = None, mode: str = "error", verify: bool = False) -> None:
+    """UTF-8 JSON lines; compression may be gzip, bzip2 or deflate. With verify, a first record is read again and must have all columns."""
     writer = df.write.mode(mode).option("ignoreNullFields", "false")
     (writer.option("compression", compression) if compression else writer).json(path)
+    if verify:
+        line = df.sparkSession.read.text(path).first()
+        if line is not None and set(json.loads(line[0])) != set(df.columns):
+            raise ValueError(f"first record of {path} has not the columns {df.columns}")
 
 
 def write_split(df: DataFrame, flag: str, path: str, mode: str = "error") -> None:

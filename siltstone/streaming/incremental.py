@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from siltstone.runtime import remove
+
 
 def event_stream(spark: SparkSession, path: str, schema: T.StructType, stamp: str = "ts", late: str = "10 minutes", **options: str) -> DataFrame:
     """Parquet files of a folder as a stream with a watermark. A stamp without a zone is read as UTC."""
@@ -36,6 +38,22 @@ def merged_best(known: DataFrame, new: DataFrame, group: str, item: str, score:
     return both.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).drop("rank")
 
 
+def written_whole(result: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Keep the whole result of a stream's aggregation under path, written anew with each batch, until all that is there is read."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(path)
+
+    return result.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def newest_version(spark: SparkSession, table_path: str) -> DataFrame:
+    """The state that keep_best has reached."""
+    files = spark._jvm.org.apache.hadoop.fs.Path(table_path)
+    names = [s.getPath().getName() for s in files.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(files)]
+    return spark.read.parquet(f"{table_path}/v={max(int(n[2:]) for n in names if n.startswith('v='))}")
+
+
 def keep_best(stream: DataFrame, table_path: str, checkpoint: str, group: str, item: str, score: str, k: int) -> StreamingQuery:
     """Maintain the k best rows a group in versions under table_path. A batch that is run again writes its own version again, so each counts once."""
     spark = stream.sparkSession
@@ -44,5 +62,7 @@ def keep_best(stream: DataFrame, table_path: str, checkpoint: str, group: str, i
     def merge(batch: DataFrame, number: int) -> None:
         before = spark.read.schema(schema).parquet(f"{table_path}/v={number - 1}") if number else spark.createDataFrame([], schema)
         merged_best(before, batch.select(group, item, score), group, item, score, k).write.mode("overwrite").parquet(f"{table_path}/v={number}")
+        if number > 1:  # a batch that is run again needs the version before its own, no older one
+            remove(spark, f"{table_path}/v={number - 2}")
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -2,11 +2,14 @@
 
 import gzip
 import json
+import os
 
 import pytest
 import zstandard
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from siltstone import runtime
 from siltstone.sources import readers, writers
 
 ROWS = [{"id": str(i), "text": f"text {i} é 😀"} for i in range(5)]
@@ -147,3 +150,58 @@ def test_reports(spark):
     assert [r.line.split("&")[1].strip() for r in writers.latex_rows(rows, "k", "v", "p").orderBy("k").collect()] == ["0.123**" + " " + chr(92) * 2, "0.500" + " " + chr(92) * 2]
     got = writers.markdown_overview(spark.createDataFrame([("d", "o1", "v1", 1), ("d", "o1", "v2", 2), ("d", "o2", "w", 1), ("d", "o3", "z", 1)], "ds string, o string, v string, l int"), "ds", "o", "v", "l", originals=2, length=2).collect()
     assert sorted(r.section for r in got) == ["### o1\n- **1** v1\n- **2** v2", "### o2\n- **1** w"]
+
+
+def test_unreadable_files_are_told_and_skipped(spark, tmp_path):
+    with gzip.open(tmp_path / "good.gz", "wt") as f:
+        f.write('{"a": 1}\n')
+    (tmp_path / "bad.gz").write_bytes(b"no gzip at all")
+    paths = [str(tmp_path / n) for n in ("good.gz", "bad.gz")]
+    assert [r.file for r in readers.read_lines(spark, paths, skip_unreadable=True).collect()] == ["good.gz"]
+    assert [r.file for r in readers.files_without_lines(spark, paths).collect()] == ["bad.gz"]
+    docs = tmp_path / "docs"
+    docs.mkdir()
+    (docs / "d__t__c.json").write_text('{"x": 1}')
+    (docs / "d__t__b.json").write_text('{"x": ')
+    schema = T.StructType([T.StructField("x", T.IntegerType())])
+    assert [r.file for r in readers.json_file_errors(spark, str(docs), schema).collect()] == ["d__t__b.json"]
+
+
+def test_dimensions_resume_and_registry(spark, tmp_path):
+    df = spark.createDataFrame([(1, [1.0, 2.0]), (2, [3.0, 4.0]), (3, None)], "id long, vector array<double>")
+    assert readers.dimension(readers.read_vectors(df)) == 2 and readers.read_vectors(df, 2).count() == 2
+    with pytest.raises(Exception, match="hasn't 3 numbers"):
+        readers.read_vectors(df, 3).collect()
+    with pytest.raises(ValueError, match="1 to 2"):
+        readers.dimension(df.union(spark.createDataFrame([(4, [1.0])], df.schema)).where("vector is not null"), "vector")
+    spark.range(10).coalesce(1).write.parquet(str(tmp_path / "p"))
+    name = next(p.name for p in (tmp_path / "p").glob("*.parquet"))
+    assert sorted(r.id for r in readers.rows_from(spark, str(tmp_path / "p"), name, 7).collect()) == [7, 8, 9]
+    for task in readers.UNION_TASKS:
+        spark.createDataFrame([("q", "a")], "input string, target string").write.json(str(tmp_path / "root" / readers.UNION_NAME / task))
+    for found in (tmp_path / "root").rglob("*.json"):
+        found.rename(found.with_suffix(".jsonl"))
+    spark.createDataFrame([("q",)] * 3, "question string").write.parquet(str(tmp_path / "root" / "gsm8k"))
+    known = readers.folder_registry(str(tmp_path / "root"))
+    assert known.load(spark, "gsm8k", 2).count() == 2
+    assert sorted(r.task for r in known.load(spark, readers.UNION_NAME).collect()) == sorted(readers.UNION_TASKS)
+    with pytest.raises(KeyError):
+        known.load(spark, "other")
+
+
+def test_first_record_is_verified(spark, tmp_path):
+    df = spark.createDataFrame([("é", None)], "a string, b string").coalesce(1)
+    writers.write_json_lines(df, str(tmp_path / "x"), verify=True)
+    writers.write_json_lines(df.limit(0), str(tmp_path / "y"), verify=True)
+    assert "é" in next((tmp_path / "x").glob("*.json")).read_text()
+
+
+def test_small_sides_are_bounded_in_bytes(spark):
+    assert runtime.is_small(spark.range(10), 10) and not runtime.is_small(spark.range(11), 10)
+    wide = spark.range(4).select(F.repeat(F.lit("x"), 1000).alias("t"), F.array(F.lit(1)).alias("v"))
+    assert runtime.is_small(wide, 10, 5000) and not runtime.is_small(wide, 10, 3000)
+    with runtime.intermediates():
+        kept = runtime.materialize(spark.range(3))
+        path = kept.inputFiles()[0].removeprefix("file:")
+        assert os.path.exists(path)
+    assert not os.path.exists(path)

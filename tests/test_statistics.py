@@ -60,3 +60,27 @@ def test_gee_without_clusters_is_logistic_regression():
     assert effect == pytest.approx(math.log((30 / 10) / (15 / 25)), abs=1e-6) and p < 0.01
     assert se == pytest.approx(math.sqrt(1 / 30 + 1 / 10 + 1 / 15 + 1 / 25), rel=1e-3)
     assert st.separated([1, 1], [0, 1]) and not st.separated([0, 1], [1, 0])
+
+
+def test_mixed_model_against_a_fine_grid():
+    draw = np.random.default_rng(6)
+    own = draw.normal(0, 1.2, 60)
+    trials = np.full((60, 2), 12.0)
+    hits = draw.binomial(12, 1 / (1 + np.exp(-(0.3 + own[:, None] + np.array([0.8, 0.0])))))
+    grid = np.linspace(-8, 8, 4001)
+
+    def likelihood(b0, b1, sigma):
+        eta = b0 + b1 * np.array([1.0, 0.0]) + sigma * grid[:, None, None]
+        return np.log((np.exp((hits * eta - trials * np.logaddexp(0, eta)).sum(axis=2)) * np.exp(-grid * grid / 2)[:, None]).sum(axis=0) * (grid[1] - grid[0]) / np.sqrt(2 * np.pi)).sum()
+
+    effect, se, p, sigma = st.mixed_logistic(hits, trials, nodes=15)
+    intercept = max(np.linspace(-1, 1, 401), key=lambda b: likelihood(b, effect, sigma))
+    best = likelihood(intercept, effect, sigma)
+    for step in (-0.02, 0.02):
+        assert likelihood(intercept, effect + step, sigma) < best and likelihood(intercept, effect, sigma + step) < best
+    # the standard error is the curvature of the profile
+    assert effect == pytest.approx(0.8, abs=3 * se) and 0.08 < se < 0.2 and p < 1e-4 and 0.9 < sigma < 1.6
+    assert st.mixed_logistic(hits, trials)[0] == pytest.approx(effect, abs=0.02)
+    same = st.mixed_logistic(np.full((30, 2), 5.0), np.full((30, 2), 10.0))
+    assert same[0] == pytest.approx(0, abs=1e-6) and same[2] == pytest.approx(1)
+    assert all(np.isnan(x) for x in st.mixed_logistic(np.stack([np.full(20, 10.0), np.zeros(20)], axis=1), np.full((20, 2), 10.0)))
