@@ -336,9 +336,11 @@ def score_quantiles(tests: DataFrame, corpus: DataFrame, percents: dict[str, flo
     at = lambda p: (F.col("m") - 1) * F.lit(p / 100)
     ranks = F.array(*(x for p in percents.values() for x in (F.floor(at(p)), F.ceil(at(p)))))
     held = running.where(F.exists(ranks, lambda r: (r >= F.col("before")) & (r < F.col("upto"))))
-    held = materialize(held.select("test_id", "bin", "before", "m"))
+    held = held.select("test_id", "bin", "before", "m")
+    rows = held.collect()  # two bins a test and percent at most
+    held = partials.sparkSession.createDataFrame(rows, held.schema)
     wanted: dict = {}
-    for r in held.select("test_id", "bin").collect():
+    for r in rows:
         wanted.setdefault(r["test_id"], []).append(r["bin"])
     counts = folded(tests, corpus, lambda: Counted(wanted, -1.0, 1.0, bins, True, places), **names)
     place = F.floor((F.col("score") + 1.0) / F.lit(2.0 / bins))

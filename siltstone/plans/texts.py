@@ -322,6 +322,20 @@ ORACLE = {
     "cross_source_near_dups": rf"WITH w AS (SELECT doc_id, {_SOURCE} AS source, regexp_extract_all(lower(text), '[\p{{L}}\p{{M}}\p{{N}}_]+') AS ws FROM documents WHERE text IS NOT NULL), g AS (SELECT DISTINCT doc_id, source, unnest([array_to_string(list_slice(ws, i, i + 4), ' ') FOR i IN range(1, len(ws) - 3)]) AS x FROM w WHERE len(ws) >= 5), n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY 1), c AS (SELECT p.doc_id AS a, q.doc_id AS b, count(*) AS c FROM g p JOIN g q ON p.x = q.x AND p.doc_id < q.doc_id AND p.source <> q.source GROUP BY 1, 2) SELECT a, b, round(c / (x.n + y.n - c)::DOUBLE, 6) AS similarity FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE c / (x.n + y.n - c)::DOUBLE >= 0.5",
     "quality_stats": "SELECT content_type, CAST(min(length(text)) AS INTEGER) AS least, CAST(max(length(text)) AS INTEGER) AS most, count_if(text = '') AS empty, count_if(text IS NULL) AS missing FROM documents GROUP BY 1",
 }
+ORACLE["sanitized"] = r"""
+WITH c AS (SELECT doc_id, nfc_normalize(regexp_replace(regexp_replace(replace(coalesce(text, ''), chr(0), ''), '[\x{01}-\x{08}\x{0b}\x{0c}\x{0e}-\x{1f}\x{7f}-\x{9f}]', '', 'g'), '\x{fffd}{2,}', chr(65533), 'g')) AS t FROM documents)
+SELECT doc_id, sha256(t) AS id, CAST(length(t) AS INTEGER) AS n FROM c"""
+# Longest first, so that a batch's first length is its longest.
+ORACLE["dynamic_batches"] = BPE + """,
+sized AS (SELECT doc_id, doc_id // 64 AS shard, coalesce(len(ids), 0) AS n FROM documents LEFT JOIN tokens USING (doc_id) WHERE text IS NOT NULL),
+placed AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY shard ORDER BY n DESC, doc_id) AS k FROM sized),
+batches AS (
+  SELECT shard, doc_id, k, n AS longest, 1 AS size, 0 AS batch FROM placed WHERE k = 1
+  UNION ALL
+  SELECT p.shard, p.doc_id, p.k, CASE WHEN b.longest * (size + 1) > 4096 OR size >= 512 THEN p.n ELSE b.longest END, CASE WHEN b.longest * (size + 1) > 4096 OR size >= 512 THEN 1 ELSE size + 1 END,
+    batch + CASE WHEN b.longest * (size + 1) > 4096 OR size >= 512 THEN 1 ELSE 0 END
+  FROM batches b JOIN placed p ON p.shard = b.shard AND p.k = b.k + 1)
+SELECT shard, doc_id, CAST(batch AS INTEGER) AS batch FROM batches"""
 #: Without SQL: Python's Unicode and compression routines, and the chunker. Tested on literal texts.
-UNCHECKED = ["dynamic_batches", "sanitized", "latex_plain", "compression_ratio", "garbage_split", "chunk_documents", "prepared_chunks"]
+UNCHECKED = ["latex_plain", "compression_ratio", "garbage_split", "chunk_documents", "prepared_chunks"]
 QUERIES = {name: globals()[name] for name in [*ORACLE, *UNCHECKED]}
