@@ -151,7 +151,7 @@ We gebruiken hier geen lus.
 Πρώτα ελέγχουμε αν η λίστα είναι κενή.
 """.strip().split("\n")
 #: Answers that a fit takes from a table, and their greatest length.
-SAMPLE_ROWS, SAMPLE_LENGTH = 5000, 4000
+SAMPLE_ROWS, SAMPLE_LENGTH = 2000, 4000
 #: Features' worth of smoothing, log-odds over which a sentence declines (the lesser of a number and so much a word), and over which one without code teaches.
 FILL, LIMIT, LIMIT_A_WORD, SURE = 100.0, 10.0, 2.0, 12.0
 _END = re.compile(r"(?<=[.!?…。])\s+|\s*\n\s*")

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from siltstone.llm.classes import BLOCK, in_blocks, pairs_across, pairs_within
 from siltstone.llm.words import WordCodes, mix, shingles, words
-from siltstone.runtime import materialize, small_side, spread
+from siltstone.runtime import materialize, spread
 
 #: Posterior probability under which a candidate is dropped.
 TOLERANCE = 1e-6
@@ -104,7 +104,7 @@ def candidates(reps: DataFrame, threshold: float, num_perm: int, rows: int, bloc
     twos = buckets.where("m = 2").where(sized(F.col("a.n"), F.col("b.n"))).select(F.col("a.rid").alias("a"), F.col("b.rid").alias("b"))
     more = buckets.where("m > 2").select("band", F.ceil(F.col("m") / F.lit(block)).cast("int").alias("blks"))
     # written once, since both sides of a bucket's pairs read them
-    members = exploded.join(small_side(more), "band")
+    members = exploded.join(more, "band")
     members = materialize(members.withColumn("blk", F.pmod(F.xxhash64("rid"), F.col("blks").cast("long")).cast("int")))
     # each member meets its own block and the others; in a bucket of one block that is one row
     grid = F.explode(F.sequence(F.lit(0), F.col("blks") - 1))
