@@ -336,6 +336,51 @@ batches AS (
     batch + CASE WHEN b.longest * (size + 1) > 4096 OR size >= 512 THEN 1 ELSE 0 END
   FROM batches b JOIN placed p ON p.shard = b.shard AND p.k = b.k + 1)
 SELECT shard, doc_id, CAST(batch AS INTEGER) AS batch FROM batches"""
-#: Without SQL: Python's Unicode and compression routines, and the chunker. Tested on literal texts.
-UNCHECKED = ["latex_plain", "compression_ratio", "garbage_split", "chunk_documents", "prepared_chunks"]
+
+
+def _starts(column: str, beginnings: tuple[str, ...]) -> str:
+    return "(" + " OR ".join(f"starts_with({column}, {_quoted(x)})" for x in beginnings) + ")"
+
+
+def _quoted(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+def _count(x: str, column: str) -> str:
+    return f"((length({column}) - length(replace({column}, {_quoted(x)}, ''))) // {len(x)})"
+
+
+def _strip(x: str) -> str:
+    return rf"regexp_replace({x}, '^[{_SP}]+|[{_SP}]+$', '', 'g')"
+
+
+# Depths never under 0 are running sums over their least; blocks are runs of lines between separators, code blocks runs of code.
+ORACLE["chunk_documents"] = f"""
+WITH lines AS (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL)),
+summed AS (SELECT *, {_strip("line")} AS bare, sum({_count(chr(92) + "begin{", "line")} - {_count(chr(92) + "end{", "line")}) OVER (PARTITION BY doc_id ORDER BY i) AS s FROM lines),
+deep AS (SELECT *, bare = '' AND s - least(0, min(s) OVER (PARTITION BY doc_id ORDER BY i)) = 0 AS separates FROM summed),
+grouped AS (SELECT *, sum(separates::INT) OVER (PARTITION BY doc_id ORDER BY i) AS grp FROM deep),
+marked AS (SELECT *, i = min(CASE WHEN bare <> '' THEN i END) OVER (PARTITION BY doc_id, grp) AS first FROM grouped WHERE NOT separates),
+scored AS (
+  SELECT *, CASE WHEN {_starts("bare", chunking.CODE_STARTS)} THEN 1.0 WHEN {" OR ".join(f"ends_with(bare, {_quoted(x)})" for x in chunking.CODE_ENDS)} THEN 0.5 WHEN {_starts("bare", chunking.COMMENT_STARTS)} THEN 1.0
+    WHEN NOT first AND length(line) - length(regexp_replace(line, '^[{_SP}]+', '')) >= 4 AND NOT {_starts("bare", chunking.LIST_STARTS)} THEN 0.5 ELSE 0.0 END::DOUBLE AS score FROM marked),
+blocks AS (SELECT doc_id, grp, {_strip("string_agg(line, chr(10) ORDER BY i)")} AS block, avg(score) FILTER (bare <> '') AS code FROM scored GROUP BY doc_id, grp),
+typed AS (
+  SELECT doc_id, block, row_number() OVER (PARTITION BY doc_id ORDER BY grp) AS b,
+    CASE WHEN {" + ".join(_count(m, "block") for m in chunking.MATH_MARKS)} + CASE WHEN contains(block, '$$') THEN 2 ELSE 0 END >= 3 THEN 'math' WHEN code > 0.3 THEN 'code' ELSE 'prose' END AS kind
+  FROM blocks WHERE block <> ''),
+islands AS (SELECT *, b - row_number() OVER (PARTITION BY doc_id, kind ORDER BY b) AS island FROM typed),
+codes AS (SELECT doc_id, min(b) AS b, string_agg(block, chr(10) || chr(10) ORDER BY b) AS t FROM islands WHERE kind = 'code' GROUP BY doc_id, island),
+code_lines AS (SELECT doc_id, b, unnest(ls) AS line, unnest(range(len(ls))) AS i FROM (SELECT doc_id, b, string_split(t, chr(10)) AS ls FROM codes)),
+cut AS (SELECT *, sum((i > 0 AND {_starts("line", chunking.DEFINITION_STARTS)})::INT) OVER (PARTITION BY doc_id, b ORDER BY i) AS part FROM code_lines),
+parts AS (SELECT doc_id, b, part, {_strip("string_agg(line, chr(10) ORDER BY i)")} AS p FROM cut GROUP BY doc_id, b, part),
+several AS (SELECT * FROM parts WHERE p <> '' QUALIFY count(*) OVER (PARTITION BY doc_id, b) > 1),
+split AS (SELECT doc_id, b, unnest(ps) AS p, unnest(range(len(ps))) AS part FROM (SELECT doc_id, b, string_split(t, chr(10) || chr(10)) AS ps FROM codes)),
+every AS (
+  SELECT doc_id, b, part, p AS text, 'code' AS content_type FROM several
+  UNION ALL SELECT doc_id, b, part, {_strip("p")}, 'code' FROM split WHERE {_strip("p")} <> '' AND (doc_id, b) NOT IN (SELECT doc_id, b FROM several)
+  UNION ALL SELECT doc_id, b, 0, block, kind FROM typed WHERE kind <> 'code')
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY b, part) - 1 AS INTEGER) AS position, text, content_type FROM every"""
+#: Without SQL: Python's compatibility forms and compression. Tested on literal texts.
+UNCHECKED = ["latex_plain", "compression_ratio", "garbage_split", "prepared_chunks"]
 QUERIES = {name: globals()[name] for name in [*ORACLE, *UNCHECKED]}
