@@ -29,9 +29,9 @@ from siltstone.runtime import materialize, spread
 
 #: Words of items that one index holds; more items go through in blocks of about so many words.
 BLOCK_WORDS = 2_000_000
-#: Steps that a sample takes, and windows embedded at once.
+#: Steps that a sample takes, and windows embedded at once; fewer in an exact search, where a common run meets many windows of the index.
 SAMPLED, SAMPLED_WITH_EDITS = 10, 12
-AT_ONCE = 16_384
+AT_ONCE, AT_ONCE_EXACT = 16_384, 1024
 #: Samples of one walk, and the most walks.
 SAMPLES_A_WALK, MOST_WALKS = 6, 40
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -375,7 +375,8 @@ class LeakSearch:
                     starts, row_of = starts[maybe], row_of[maybe]
                     if not len(starts):
                         continue
-                got = [(a, *ix.hits(symbols, starts[a : a + AT_ONCE])) for a in range(0, len(starts), AT_ONCE)]
+                step = AT_ONCE_EXACT if ix.exact else AT_ONCE
+                got = [(a, *ix.hits(symbols, starts[a : a + step])) for a in range(0, len(starts), step)]
                 place = np.concatenate([a + p for a, p, _, _ in got])
                 if not len(place):
                     continue

@@ -16,12 +16,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.llm.classes import BLOCK, in_blocks, pairs_across, pairs_within
 from siltstone.llm.words import WordCodes, mix, shingles, words
-from siltstone.runtime import materialize, spread
+from siltstone.runtime import materialize, small_side, spread
 
 #: Posterior probability under which a candidate is dropped.
 TOLERANCE = 1e-6
@@ -92,33 +92,36 @@ def features(df: DataFrame, key: str, text: str, ngram: int, num_perm: int, seed
     return spread(source).mapInPandas(compute, f"key {source.schema['key'].dataType.simpleString()}, kind binary, n long, sig binary")
 
 
+def alike_in_size(threshold: float) -> Column:
+    """Whether two sets of na and nb shingles can reach the threshold."""
+    return F.least("na", "nb") >= F.lit(threshold) * F.greatest("na", "nb")
+
+
 def candidates(reps: DataFrame, threshold: float, num_perm: int, rows: int, block: int = BLOCK) -> DataFrame:
-    """(a, b), a < b, of representatives (rid, n, sig) that share a band and whose sizes allow the threshold; each pair once."""
+    """(a, b), a < b, of representatives (rid, n, sig) that share a band, in large buckets only where the sizes allow the threshold; each pair once."""
     bands = [F.xxhash64(F.lit(i), F.substring("sig", 2 * rows * i + 1, 2 * rows)) for i in range(num_perm // rows)]
     exploded = reps.select("rid", "n", F.explode(F.array(*bands)).alias("band"))
     # counted by pre-aggregation: a bucket of a third of all rows is no task of its own. Most buckets have one member and end here; the two of a
     # bucket of two are its least and greatest
-    member = F.struct("rid", "n")
-    buckets = materialize(exploded.groupBy("band").agg(F.count(F.lit(1)).alias("m"), F.min(member).alias("a"), F.max(member).alias("b")).where("m > 1"))
-    sized = lambda x, y: F.least(x, y) >= F.lit(threshold) * F.greatest(x, y)
-    twos = buckets.where("m = 2").where(sized(F.col("a.n"), F.col("b.n"))).select(F.col("a.rid").alias("a"), F.col("b.rid").alias("b"))
+    buckets = materialize(exploded.groupBy("band").agg(F.count(F.lit(1)).alias("m"), F.min("rid").alias("a"), F.max("rid").alias("b")).where("m > 1"))
+    twos = buckets.where("m = 2").select("a", "b")
     more = buckets.where("m > 2").select("band", F.ceil(F.col("m") / F.lit(block)).cast("int").alias("blks"))
     # written once, since both sides of a bucket's pairs read them
-    members = exploded.join(more, "band")
+    members = exploded.join(small_side(more), "band")
     members = materialize(members.withColumn("blk", F.pmod(F.xxhash64("rid"), F.col("blks").cast("long")).cast("int")))
     # each member meets its own block and the others; in a bucket of one block that is one row
     grid = F.explode(F.sequence(F.lit(0), F.col("blks") - 1))
     left = members.select("band", F.col("rid").alias("a"), F.col("n").alias("na"), F.col("blk").alias("x"), grid.alias("y"))
     right = members.select("band", F.col("rid").alias("b"), F.col("n").alias("nb"), F.col("blk").alias("y"), grid.alias("x"))
-    pairs = left.join(right, ["band", "x", "y"]).where((F.col("a") < F.col("b")) & sized(F.col("na"), F.col("nb"))).select("a", "b")
+    pairs = left.join(right, ["band", "x", "y"]).where((F.col("a") < F.col("b")) & alike_in_size(threshold)).select("a", "b")
     return twos.union(pairs).distinct()
 
 
 def pruned(pairs: DataFrame, reps: DataFrame, threshold: float, num_perm: int, tolerance: float = TOLERANCE) -> DataFrame:
-    """Candidates whose signatures, compared step by step, leave the threshold within reach."""
+    """Candidates whose sizes and whose signatures, compared step by step, leave the threshold within reach."""
     looks = least_matches(num_perm, threshold, tolerance)
-    left = reps.select(F.col("rid").alias("a"), F.col("sig").alias("sa"))
-    right = reps.select(F.col("rid").alias("b"), F.col("sig").alias("sb"))
+    left = reps.select(F.col("rid").alias("a"), F.col("n").alias("na"), F.col("sig").alias("sa"))
+    right = reps.select(F.col("rid").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb"))
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -134,7 +137,7 @@ def pruned(pairs: DataFrame, reps: DataFrame, threshold: float, num_perm: int, t
             yield batch.iloc[left_in][["a", "b"]]
 
     kind = reps.schema["rid"].dataType.simpleString()
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInPandas(compare, f"a {kind}, b {kind}")
+    return pairs.join(left, "a").join(right, "b").where(alike_in_size(threshold)).select("a", "b", "sa", "sb").mapInPandas(compare, f"a {kind}, b {kind}")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, threshold: float, ngram: int) -> DataFrame:
