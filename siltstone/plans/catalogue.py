@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules of this folder; each has QUERIES and ORACLE by name.
-MODULES = ["similarity", "texts", "text_pairs", "annotations", "samples", "evaluations", "events", "files"]
+MODULES = ["similarity", "texts", "text_pairs", "annotations", "samples", "evaluations", "events", "files", "answers"]
 
 
 def _gathered(what: str) -> dict:
