@@ -143,6 +143,7 @@ def labelled_sample(df: DataFrame, text: str, lang: str) -> list[tuple[str, str]
         return []
     wanted = F.coalesce(*(F.when(F.col("lang") == r["lang"], F.lit(min(1.0, 2 * SAMPLE_ROWS / r["count"]))) for r in counts), F.lit(0.0))
     held: dict[str, list[str]] = {}
-    for r in rows.where(place < wanted).orderBy("h", "text").limit(4 * SAMPLE_ROWS * len(counts)).collect():
+    # each text once: copies of one must not make up a profile
+    for r in rows.where(place < wanted).distinct().orderBy("h", "text").limit(4 * SAMPLE_ROWS * len(counts)).collect():
         held.setdefault(r["lang"], []).append(r["text"])
     return [(lang, t) for lang, texts in sorted(held.items()) for t in texts[:SAMPLE_ROWS]]

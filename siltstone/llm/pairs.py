@@ -280,7 +280,7 @@ def pairs_sample(rows: DataFrame) -> list[tuple[str | None, str]]:
     n = rows.count()
     kept = rows.select("prompt", "text", (F.xxhash64("text", "prompt").cast("double") / F.lit(2.0**64) + 0.5).alias("place"))
     kept = kept.where(F.char_length("text").between(1, declines.SAMPLE_LENGTH) & (F.coalesce(F.char_length("prompt"), F.lit(0)) <= declines.SAMPLE_LENGTH))
-    kept = kept.where(F.col("place") <= min(1.0, 2 * declines.SAMPLE_ROWS / max(1, n)))
+    kept = kept.where(F.col("place") <= min(1.0, 2 * declines.SAMPLE_ROWS / max(1, n))).distinct()
     return [(r["prompt"], r["text"]) for r in kept.orderBy("place", "text", "prompt").limit(declines.SAMPLE_ROWS).collect()]
 
 
