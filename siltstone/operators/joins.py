@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions.text import normalized
 from siltstone.operators.dedup import keep_first
+from siltstone.operators.sets import set_similarity_join as set_similarity_join
 from siltstone.runtime import materialize
 
 #: Starts of ranges that every task may hold.
@@ -254,24 +255,3 @@ def minhash_decontaminated(
         parts.append(own.mapInPandas(search, f"key {own.schema['key'].dataType.simpleString()}"))
     hit = reduce(DataFrame.union, parts).distinct()
     return train.join(hit.withColumnRenamed("key", key), key, "left_anti")
-
-
-def set_similarity_join(sets: DataFrame, key: str, group: str, values: str, threshold: float) -> DataFrame:
-    """(a, b, similarity) of keys of different groups whose arrays of distinct values reach the threshold of Jaccard.
-
-    Prefix filter: of two sets that reach it, the rarest values of each (all but a share `threshold` of them, and one) have one in common.
-    So only rare values are joined on, and values that most sets hold never meet; the candidates are then verified exactly."""
-    base = sets.select(F.col(key).alias("k"), F.col(group).alias("g"), F.col(values).alias("v"), F.size(values).alias("n")).where("n > 0")
-    each = base.select("k", "g", "n", F.explode("v").alias("x"))
-    counts = each.groupBy("x").agg(F.count(F.lit(1)).alias("c"))
-    listed = each.join(counts, "x").groupBy("k", "g", "n").agg(F.sort_array(F.collect_list(F.struct("c", "x"))).alias("s"))
-    most = (F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1).cast("int")
-    prefix = listed.select("k", "g", "n", F.explode(F.slice("s", F.lit(1), most)).alias("e")).select("k", "g", "n", "e.x")
-    left = prefix.select(F.col("k").alias("a"), F.col("g").alias("ga"), F.col("n").alias("na"), "x")
-    right = prefix.select(F.col("k").alias("b"), F.col("g").alias("gb"), F.col("n").alias("nb"), "x")
-    sized = F.least("na", "nb") >= F.lit(threshold) * F.greatest("na", "nb") - 1e-9
-    pairs = left.join(right, "x").where((F.col("a") < F.col("b")) & (F.col("ga") != F.col("gb")) & sized).select("a", "b").distinct()
-    both = pairs.join(base.select(F.col("k").alias("a"), F.col("v").alias("va")), "a").join(base.select(F.col("k").alias("b"), F.col("v").alias("vb")), "b")
-    common = F.size(F.array_intersect("va", "vb"))
-    scored = both.select("a", "b", common.alias("c"), (F.size("va") + F.size("vb")).alias("s"))
-    return scored.select("a", "b", (F.col("c") / (F.col("s") - F.col("c"))).alias("similarity")).where(F.col("similarity") >= threshold)

@@ -228,11 +228,12 @@ def dedup_report(spark, sf_dir):
 
 def cross_source_near_dups(spark, sf_dir):
     """Documents of different sources that share half of their runs of five words or more."""
-    from siltstone.functions.similarity import grams
     from siltstone.operators.joins import set_similarity_join
 
-    rows = docs(spark, sf_dir, "doc_id", "text", "source").where("text is not null").select("doc_id", source_of().alias("source"), grams(text.words(F.col("text")), 5).alias("v"))
-    return rounded(set_similarity_join(rows, "doc_id", "source", "v", 0.5))
+    # Letters, marks, numbers and underscores, as in the SQL; Java's \w has joiners and other connectors too.
+    words = F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{M}\p{N}_]+)"), 1)
+    rows = docs(spark, sf_dir, "doc_id", "text", "source").where("text is not null").select("doc_id", source_of().alias("source"), words.alias("v"))
+    return rounded(set_similarity_join(rows, "doc_id", "source", "v", 0.5, runs=5))
 
 
 def request_lines(spark, sf_dir):

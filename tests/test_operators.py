@@ -298,3 +298,28 @@ def test_epochs_and_regression(spark):
     t = fit.r * np.sqrt(3 / (1 - fit.r**2))  # with three degrees of freedom, the distribution has a closed form
     assert (fit.slope, fit.p) == (pytest.approx(0.93), pytest.approx(1 - 2 / np.pi * (np.arctan(t / np.sqrt(3)) + t * np.sqrt(3) / (t * t + 3))))
     assert annotation.regression(df.select(F.lit(1.0).alias("x"), F.lit(2.0).alias("y")), "x", "y").first().p is None
+
+
+@pytest.mark.parametrize("sizes", [{}, {"mark_bytes": 2000, "index_bytes": 2000}])
+def test_set_similarity_join_of_runs_in_blocks(spark, sizes):
+    draw = random.Random(5)
+    texts = [[draw.choice("abcdefgh") for _ in range(draw.randrange(40))] for _ in range(40)]
+    rows = [(f"k{i:03}", draw.choice("xyz"), draw.choice(texts)[draw.randrange(5) : draw.randrange(20, 40)]) for i in range(200)] + [("k900", None, texts[0]), ("k901", "x", None), ("k902", "y", [])]
+    runs = lambda v: {tuple(v[i : i + 3]) for i in range(len(v or []) - 2)}
+    sets = [(k, g, runs(v)) for k, g, v in rows if g and runs(v)]
+    want = {(a, b): len(v & w) / len(v | w) for a, g, v in sets for b, h, w in sets if a < b and g != h and len(v & w) / len(v | w) >= 0.5}
+    got = joins.set_similarity_join(spark.createDataFrame(rows, "k string, g string, v array<string>"), "k", "g", "v", 0.5, runs=3, **sizes).collect()
+    assert len(want) > 100 and {(r.a, r.b): r.similarity for r in got} == pytest.approx(want) and len(got) == len(want)
+
+
+def test_set_similarity_join_shuffles_less_than_its_values(spark):
+    draw = random.Random(6)
+    rows = [(i, i % 7, [f"{draw.getrandbits(60):015x}" for _ in range(400)]) for i in range(1500)]
+    rows += [(i + 5000, 9, v[:300] + v[:1]) for i, _, v in rows[:20]]
+    path = spark.conf.get("spark.checkpoint.dir") + "/sets-of-values"
+    spark.createDataFrame(rows, "k int, g int, v array<string>").repartition(4).write.mode("overwrite").parquet(path)
+
+    shuffled = lambda: spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+    before = shuffled()
+    assert joins.set_similarity_join(spark.read.parquet(path), "k", "g", "v", 0.5).count() == 20
+    assert 0 < shuffled() - before < 1500 * 400 * 5
